@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagweave.llm import huffman, packing
-from tagweave.llm.common import read
+from tagweave.llm import bktree, huffman, langid, packing
+from tagweave.llm.common import crc_mod, read
 
 
 def tokenizer_path() -> str:
@@ -20,11 +21,22 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(crc_mod("doc_id", 3) != 1))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_bk_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bktree.simhash_components(read(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_files, op10_best_fit_packing)
+    f.__name__: f for f in (op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
