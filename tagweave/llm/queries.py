@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import bktree, huffman, langid, packing
+from tagweave.llm import bktree, huffman, langid, packing, toxicity
 from tagweave.llm.common import crc_mod, read
 
 
@@ -17,6 +17,15 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    labelled = docs.where(crc_mod("doc_id", 4) != 2).join(labels, "doc_id")
+    out = toxicity.score(docs, toxicity.learn(docs, labelled))
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.array_join("toxic_words", ",").alias("toxic_words"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,6 +46,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,6 @@ through the library's BPE model; its ids are remembered in a bounded table per P
 
 from __future__ import annotations
 
-import array
 import functools
 import json
 import re
@@ -33,14 +32,25 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """Chunk -> ids as bytes (unsigned 32 bits each); emptied when it has ``most`` entries."""
+    """Chunk -> ids as bytes (unsigned 32 bits each); emptied when it has ``most`` entries.
 
-    def __init__(self, lead: str, encode, most: int):
+    ``lead`` is what stands before a chunk: nothing, or the blank at which the text was cut.
+    """
+
+    def __init__(self, lead: str, encoder: Encoder, most: int):
         super().__init__()
-        self.lead, self.encode, self.most = lead, encode, most
+        self.lead, self.encoder, self.most = lead, encoder, most
+        self.lead_letter = encoder.letters[0x20] if lead else ""
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self.encode(self.lead + chunk)
+        enc = self.encoder
+        if chunk.isalpha():  # the same letters as \p{L}: one pre-token
+            letters = chunk if chunk.isascii() else chunk.encode("utf-8").decode("latin-1").translate(enc.letters)
+            found = b"".join([enc.id_bytes[t.id] for t in enc.tokenize(self.lead_letter + letters)])
+        elif chunk[-1:] in _ENDS and chunk[:-1].isalpha():
+            found = self[chunk[:-1]] + enc.ends[chunk[-1]]
+        else:
+            found = b"".join([enc.piece(p) for p in enc.pattern.findall(self.lead + chunk)])
         if len(chunk) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -51,7 +61,7 @@ class _Chunks(dict):
 class Encoder:
     """Ids of a text under one vocabulary file; special-token strings count as ordinary text."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,28 +73,17 @@ class Encoder:
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
             and spec.get("normalizer") is None and spec["model"].get("type") == "BPE" and not spec.get("truncation")
         )
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
-        self.blank = self.letters[0x20]
         self.pattern = regex.compile(PRETOKEN)
-        self.ends = {} if self.plain else {c: self._piece(c) for c in _ENDS}
-        self.first, self.later = _Chunks("", self._chunk, most // 4), _Chunks(" ", self._chunk, most)
         self.size = self.tokenizer.get_vocab_size()
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(self.size)]
+        self.ends = {} if self.plain else {c: self.piece(c) for c in _ENDS}
+        self.first, self.later = _Chunks("", self, most // 4), _Chunks(" ", self, most)
 
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():
-            piece = piece.replace(" ", self.blank)
-        else:
-            piece = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        return array.array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha():  # the same letters as \p{L}: one pre-token
-            return self._piece(chunk)
-        if word[-1:] in _ENDS and word[:-1].isalpha():
-            return (self.later[word[:-1]] if chunk[:1] == " " else self._piece(chunk[:-1])) + self.ends[word[-1]]
-        return b"".join([self._piece(piece) for piece in self.pattern.findall(chunk)])
+    def piece(self, piece: str) -> bytes:
+        letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(letters)])
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
