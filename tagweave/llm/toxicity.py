@@ -6,9 +6,12 @@ once. Viterbi search finds the likeliest reading under a character language mode
 counted over all documents. Letters set apart by spaces are joined first. Word weights are learned from
 labelled documents and applied to the restored words.
 
-Learning has these steps: character 4-grams of all texts; document counts by label of every restored word
-of all labelled texts; of the words whose counts differ by more than ``Z_LEAST`` standard errors the
-``MODEL_WORDS`` most telling ones (the size of the model); a logistic regression on their presence
+Words count in squeezed form, repeated letters written once, so that a word typed with more letters is
+the same word. Learning has these steps: character 4-grams of all texts; document counts by label of
+every restored word of all labelled texts; of the words whose counts differ by more than ``Z_LEAST``
+standard errors the most telling ``CANDIDATES``; of these again the ``MODEL_WORDS`` (the size of the
+model) that still differ so when each pair of neighbours counts once, which copies of a document don't
+multiply; a logistic regression on their presence
 over about ``FIT_ROWS`` labelled rows, drawn by a hash of the id where there are more. The character model then learns
 the telling words anew, since they are what is disguised.
 
@@ -27,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import common
 
 A = 27  # word end and the letters a-z
-Z_LEAST, MODEL_WORDS, FIT_ROWS = 6.0, 256, 40_000
+Z_LEAST, CANDIDATES, MODEL_WORDS, FIT_ROWS = 6.0, 2048, 256, 40_000
 HELD, KNOWN = 200_000, 400_000
 
 # Signs of leetspeak and the letters that they stand for.
@@ -42,7 +46,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¢": "c",
 }
 WILD = "*"  # stands for any vowel
-LEET_COST, LOST_SIGN, LOST_DIGIT, EDGE_SIGN, NOISE, WILD_COST = 1.0, 6.0, 8.0, 0.4, 0.5, 2.0
+LEET_COST, LOST_SIGN, LOST_DIGIT, EDGE_SIGN, LEADING, NOISE, WILD_COST = 1.0, 6.0, 8.0, 0.4, 3.0, 0.5, 2.0
 #: A repeated letter of a run of two, of a longer run: read as typed once more, or dropped.
 TWICE_KEPT, TWICE_LOST, LONG_KEPT, LONG_LOST = 0.0, 5.0, 3.0, 0.3
 
@@ -123,14 +127,15 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
             long = run > 2 or (run == 2 and after)
             out.append([(letter, 0.0)] if run == 1 else [(letter, LONG_KEPT if long else TWICE_KEPT), (-letter, LONG_LOST if long else TWICE_LOST)])
         elif c in LEET:
-            inside = first <= k <= last
-            lost = LOST_DIGIT if c.isdigit() else LOST_SIGN if inside and run == 1 and not after else EDGE_SIGN
-            readings = [(ord(x) - 96, LEET_COST + (not inside) * 1.0) for x in LEET[c]]
+            single, inside = run == 1 and not after, first <= k <= last
+            edge = EDGE_SIGN if not single or c == "!" and k > last else LEADING
+            lost = LOST_DIGIT if c.isdigit() else LOST_SIGN if inside and single else edge
+            readings = [(ord(x) - 96, LEET_COST) for x in LEET[c]]
             again = [(-r, LONG_LOST) for r, _ in readings] if run > 1 else []
             out.append([*readings, *again, (0, lost)])
         elif c == WILD:
-            inside = first < k < last
-            out.append([*([(ord(x) - 96, WILD_COST) for x in "aeiou"] if inside else []), (0, NOISE if not inside or run > 1 or after else WILD_COST + 1)])
+            single = run == 1 and not after
+            out.append([*([(ord(x) - 96, WILD_COST) for x in "aeiou"] if single else []), (0, LEADING if single else NOISE)])
         else:
             out.append([(0, NOISE)])
     return out
@@ -160,27 +165,39 @@ def viterbi(token: str, lm: list[float]) -> str:
     return "".join(reversed(letters))
 
 
-def _clear(core: str) -> bool:
-    """Only one reading: letters a-z, none twice in a row."""
-    return core.isascii() and core.isalpha() and not any(a == b for a, b in zip(core, core[1:]))
+_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in LEET and chr(c) != WILD) + "«»„“”‘’…–—¿"
+_RUNS = re.compile(r"(.)\1+")
 
 
-_EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in LEET and chr(c) != WILD) + "«»„“”‘’…–—¿"
+def squeeze(word: str) -> str:
+    """The word with repeated letters written once."""
+    return _RUNS.sub(r"\1", word)
 
 
 def restore(token: str, lm: list[float]) -> list[str]:
     """The words behind one lower-case token: read as one word and, if signs part it, by its parts."""
     core = token.translate(FOLD).strip(_EDGES)
-    if _clear(core):
-        return [core]
+    if core.isascii() and core.isalpha():
+        return [viterbi(core, lm) if _LONG_RUN.search(core) else core]
     if not any("a" <= c <= "z" for c in core):
         return []
     parts = _PARTS.findall(core)
     long = [p for p in parts if len(p) > 1] if len(parts) > 1 else []
-    found = [viterbi(core, lm), *(p if _clear(p) else viterbi(p, lm) for p in long)]
+    found = [viterbi(core, lm), *(p if p.isalpha() else viterbi(p, lm) for p in long)]
     return [w for w in dict.fromkeys(found) if w]
 
 
+_LONG_RUN = re.compile(r"(.)\1\1")
+
+
+def squeezed(token: str, lm: list[float]) -> list[str]:
+    """The squeezed words behind a token. Letters alone need no decoding: their readings squeeze alike."""
+    core = token.translate(FOLD).strip(_EDGES)
+    if core.isascii() and core.isalpha():
+        return [squeeze(core)]
+    return list(dict.fromkeys(map(squeeze, restore(token, lm))))
+
+
 def tokens_of(text: str) -> list[str]:
     """Lower-case tokens; letters set apart by blanks are one token more."""
     low = text.lower()
@@ -225,13 +242,9 @@ class _Words(dict):
 
     def __missing__(self, token: str):
         if self.wanted is None:
-            found = restore(token, self.lm)
+            found = squeezed(token, self.lm)
         else:
-            core = token.strip(_EDGES)
-            if _clear(core):
-                found = (self.wanted[core],) if core in self.wanted else None
-            else:
-                found = tuple({self.wanted[w] for w in restore(token, self.lm) if w in self.wanted}) or None if self._possible(token) else None
+            found = tuple({self.wanted[w] for w in squeezed(token, self.lm) if w in self.wanted}) or None if self._possible(token) else None
         if len(token) <= 64:
             self[token] = found
         return found
@@ -268,6 +281,30 @@ class _WordLabels:
         yield flush()
 
 
+class _Contexts:
+    """Candidate words with a hash of the tokens around them, by label."""
+
+    SCHEMA = pa.schema([("k", pa.int32()), ("toxic", pa.int32()), ("around", pa.int64())])
+
+    def __init__(self, lm, wanted: dict[str, int]):
+        self.lm, self.wanted = lm, wanted
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(_as_list(self.lm.value), self.wanted)
+        for batch in common.slices(batches, 256):
+            if len(words) > KNOWN:
+                words.clear()
+            rows = set()
+            for label, text in zip(batch.column("toxic").to_pylist(), common.texts(batch), strict=True):
+                tokens = tokens_of(text)
+                found = list(map(words.__getitem__, tokens))
+                for at, own in enumerate(found):
+                    if own:
+                        around = xxhash.xxh64_intdigest(" ".join((*tokens[max(0, at - 1) : at], "\n", *tokens[at + 1 : at + 2]))) >> 1
+                        rows.update((k, label, around) for k in own)
+            yield common.table(dict(zip(("k", "toxic", "around"), zip(*sorted(rows)), strict=True)) if rows else {"k": [], "toxic": [], "around": []}, self.SCHEMA)
+
+
 def hits(text: str, words: _Words) -> list[int]:
     """The model's words in a text, by number."""
     return sorted({k for found in filter(None, map(words.__getitem__, set(tokens_of(text)))) for k in found})
@@ -351,8 +388,17 @@ def learn(docs: DataFrame, labelled: DataFrame, model_words: int = MODEL_WORDS,
     words = labelled.select("text", "toxic").mapInArrow(_WordLabels(lm), "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p = (F.col("n0") + F.col("n1")) / (n0 + n1)
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    best = words.where((F.col("n0") + F.col("n1") >= 3) & (p < 1)).withColumn("z", F.abs(z)).where(F.col("z") > z_least).orderBy(F.desc("z"), "word").limit(model_words).collect()
-    telling = sorted(r.word for r in best)
+    first = words.where((F.col("n0") + F.col("n1") >= 3) & (p < 1)).withColumn("z", F.abs(z)).where(F.col("z") > z_least).orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()
+    wanted = {r.word: k for k, r in enumerate(first)}
+    contexts = labelled.select("text", "toxic").mapInArrow(_Contexts(lm, wanted), "k int, toxic int, around bigint") if first else None
+    around = {(r.k, r.toxic): r.n for r in contexts.groupBy("k", "toxic").agg(F.countDistinct("around").alias("n")).collect()} if first else {}
+    best = []
+    for k, r in enumerate(first):
+        m0, m1 = min(r.n0, around.get((k, 0), 0)), min(r.n1, around.get((k, 1), 0))
+        share = (m0 + m1) / (n0 + n1)
+        if m0 + m1 and abs(m1 / n1 - m0 / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1)) > z_least:
+            best.append(r.word)
+    telling = sorted(best[:model_words])
     model = Model(telling, np.zeros(len(telling)), 0.0, counts)
     fit = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * fit_rows / (n0 + n1))
     lm = spark.sparkContext.broadcast(model.lm.tobytes())
