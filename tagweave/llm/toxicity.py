@@ -7,7 +7,7 @@ counted over all documents. Letters set apart by spaces are joined first. Word w
 labelled documents and applied to the restored words.
 
 Words count in squeezed form, repeated letters written once, so that a word typed with more letters is
-the same word. Learning has these steps: character 4-grams of all texts; document counts by label of
+the same word, and so do the stems that they go on from, for inflected words. Learning has these steps: character 4-grams of all texts; document counts by label of
 every restored word of all labelled texts; of the words whose counts differ by more than ``Z_LEAST``
 standard errors the most telling ``CANDIDATES``; of these again the ``MODEL_WORDS`` (the size of the
 model) that still differ so when each pair of neighbours counts once, which copies of a document don't
@@ -38,6 +38,7 @@ from tagweave.llm import common
 
 A = 27  # word end and the letters a-z
 Z_LEAST, CANDIDATES, MODEL_WORDS, FIT_ROWS = 6.0, 2048, 256, 40_000
+STEMS = (4, 8)  # lengths of the stems that are counted beside words
 HELD, KNOWN = 200_000, 400_000
 
 # Signs of leetspeak and the letters that they stand for.
@@ -216,18 +217,29 @@ def _as_list(data: bytes) -> list[float]:
     return np.frombuffer(data, np.float32).astype(float).tolist()
 
 
+def features(word: str) -> list[str]:
+    """What is counted of a squeezed word: itself, and marked by a dash each stem that it goes on from."""
+    return [word, *(word[:k] + "-" for k in range(STEMS[0], min(len(word) - 1, STEMS[1]) + 1))]
+
+
+def of_document(found: Iterator[list[str]]) -> set[str]:
+    """Features of a document from those of its different tokens; a stem of two of them counts twofold."""
+    counts = Counter(f for fs in found for f in fs)
+    return set(counts) | {f + "2" for f, n in counts.items() if n > 1 and f[-1] == "-"}
+
+
 class _Words(dict):
-    """Token -> words of the model (or all restored words) behind it; made anew when large."""
+    """Token -> features of the model (or all features) behind it; made anew when large."""
 
     def __init__(self, lm: list[float], wanted: dict[str, int] | None = None):
         super().__init__()
-        self.lm, self.wanted = lm, wanted
+        self.lm, self.wanted = lm, wanted if wanted is None else {f.rstrip("2") for f in wanted}
         self.masks = {self._mask(w) for w in wanted or ()}
 
     @staticmethod
     def _mask(word: str) -> int:
         m = 0
-        for c in word:
+        for c in word.rstrip("-2"):
             m |= 1 << ord(c) - 97
         return m
 
@@ -242,9 +254,11 @@ class _Words(dict):
 
     def __missing__(self, token: str):
         if self.wanted is None:
-            found = squeezed(token, self.lm)
+            found = [f for w in squeezed(token, self.lm) for f in features(w)]
+        elif self._possible(token):
+            found = sorted({f for w in squeezed(token, self.lm) for f in features(w) if f in self.wanted}) or None
         else:
-            found = tuple({self.wanted[w] for w in squeezed(token, self.lm) if w in self.wanted}) or None if self._possible(token) else None
+            found = None
         if len(token) <= 64:
             self[token] = found
         return found
@@ -272,10 +286,7 @@ class _WordLabels:
             if len(words) > KNOWN:
                 words.clear()
             for label, text in zip(batch.column("toxic").to_pylist(), common.texts(batch), strict=True):
-                found: set[str] = set()
-                for w in map(words.__getitem__, set(tokens_of(text))):
-                    found.update(w)
-                counts[label].update(found)
+                counts[label].update(of_document(map(words.__getitem__, set(tokens_of(text)))))
             if len(counts[0]) + len(counts[1]) > HELD:
                 yield flush()
         yield flush()
@@ -284,7 +295,7 @@ class _WordLabels:
 class _Contexts:
     """Candidate words with a hash of the tokens around them, by label."""
 
-    SCHEMA = pa.schema([("k", pa.int32()), ("toxic", pa.int32()), ("around", pa.int64())])
+    SCHEMA = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("around", pa.int64())])
 
     def __init__(self, lm, wanted: dict[str, int]):
         self.lm, self.wanted = lm, wanted
@@ -301,13 +312,14 @@ class _Contexts:
                 for at, own in enumerate(found):
                     if own:
                         around = xxhash.xxh64_intdigest(" ".join((*tokens[max(0, at - 1) : at], "\n", *tokens[at + 1 : at + 2]))) >> 1
-                        rows.update((k, label, around) for k in own)
-            yield common.table(dict(zip(("k", "toxic", "around"), zip(*sorted(rows)), strict=True)) if rows else {"k": [], "toxic": [], "around": []}, self.SCHEMA)
+                        rows.update((f, label, around) for f in own)
+            yield common.table(dict(zip(("word", "toxic", "around"), zip(*sorted(rows)), strict=True)) if rows else {"word": [], "toxic": [], "around": []}, self.SCHEMA)
 
 
-def hits(text: str, words: _Words) -> list[int]:
+def hits(text: str, words: _Words, wanted: dict[str, int]) -> list[int]:
     """The model's words in a text, by number."""
-    return sorted({k for found in filter(None, map(words.__getitem__, set(tokens_of(text)))) for k in found})
+    found = list(filter(None, map(words.__getitem__, set(tokens_of(text)))))
+    return sorted({wanted[f] for f in of_document(found) if f in wanted}) if found else []
 
 
 class _Hits:
@@ -319,7 +331,7 @@ class _Hits:
         for batch in common.slices(batches, 256):
             if len(words) > KNOWN:
                 words.clear()
-            yield self.answer(batch, [hits(t, words) for t in common.texts(batch)])
+            yield self.answer(batch, [hits(t, words, self.wanted) for t in common.texts(batch)])
 
 
 class _Features(_Hits):
@@ -350,7 +362,7 @@ class Model:
         self.words, self.weights, self.bias = words, [float(w) for w in weights], float(bias)
         extra = np.zeros(A**4, np.int64)
         if words:
-            extra = char_counts(" ".join(words)) * max(1, int(counts.reshape(-1, A)[:, 0].sum() // (100 * len(words))))
+            extra = char_counts(" ".join(w for w in words if w.isalpha())) * max(1, int(counts.reshape(-1, A)[:, 0].sum() // (100 * len(words))))
         self.lm = language_model(counts + extra).astype(np.float32)
 
     def score(self, found: list[int]) -> float:
@@ -390,11 +402,11 @@ def learn(docs: DataFrame, labelled: DataFrame, model_words: int = MODEL_WORDS,
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
     first = words.where((F.col("n0") + F.col("n1") >= 3) & (p < 1)).withColumn("z", F.abs(z)).where(F.col("z") > z_least).orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()
     wanted = {r.word: k for k, r in enumerate(first)}
-    contexts = labelled.select("text", "toxic").mapInArrow(_Contexts(lm, wanted), "k int, toxic int, around bigint") if first else None
-    around = {(r.k, r.toxic): r.n for r in contexts.groupBy("k", "toxic").agg(F.countDistinct("around").alias("n")).collect()} if first else {}
+    contexts = labelled.select("text", "toxic").mapInArrow(_Contexts(lm, wanted), "word string, toxic int, around bigint") if first else None
+    around = {(r.word, r.toxic): r.n for r in contexts.groupBy("word", "toxic").agg(F.countDistinct("around").alias("n")).collect()} if first else {}
     best = []
-    for k, r in enumerate(first):
-        m0, m1 = min(r.n0, around.get((k, 0), 0)), min(r.n1, around.get((k, 1), 0))
+    for r in first:
+        m0, m1 = (min(n, around.get((r.word.rstrip("2"), y), 0)) for y, n in ((0, r.n0), (1, r.n1)))
         share = (m0 + m1) / (n0 + n1)
         if m0 + m1 and abs(m1 / n1 - m0 / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1)) > z_least:
             best.append(r.word)
