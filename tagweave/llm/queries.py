@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import bktree, huffman, langid, licenses, packing, toxicity
+from tagweave.llm import bktree, huffman, langid, licenses, mixing, packing, toxicity
 from tagweave.llm.common import crc_mod, read
 
 
@@ -31,6 +31,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(docs, licenses.build_index(docs)))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = mixing.mix(docs, mixing.default_levels(), mixing.WEIGHTS, budget=0.5, max_epochs=2)
+    return out.select("doc_id", mixing.domain_of().alias("domain"), "lang", "source", "epoch", "take")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -51,6 +57,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_license_scan, op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_source_mixing, op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
