@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import bktree, huffman, langid, licenses, mixing, packing, toxicity
+from tagweave.llm import bktree, huffman, langid, licenses, mixing, packing, simhash, toxicity
 from tagweave.llm.common import crc_mod, read
 
 
@@ -26,6 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.array_join("toxic_words", ",").alias("toxic_words"))
 
 
+def op2_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edited_pairs(read(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return licenses.digest(licenses.scan(docs, licenses.build_index(docs)))
@@ -57,6 +61,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_license_scan, op4_source_mixing, op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash_fingerprints, op3_license_scan, op4_source_mixing, op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
