@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import bktree, huffman, langid, licenses, mixing, packing, simhash, toxicity
+from tagweave.llm import bktree, huffman, langid, licenses, mixing, packing, pii, simhash, toxicity
 from tagweave.llm.common import crc_mod, read
 
 
@@ -45,6 +45,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.huffman_round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: A deployment has its own key; this one makes results repeatable.
+PII_KEY = "tagweave example key"
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select("doc_id", "text", *(F.col("pseudonyms")[k].alias(f"n_{k}") for k in pii.KINDS))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.learn(docs.where(crc_mod("doc_id", 3) != 1))
@@ -61,6 +70,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash_fingerprints, op3_license_scan, op4_source_mixing, op5_token_files, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash_fingerprints, op3_license_scan, op4_source_mixing, op5_token_files, op6_pii_pseudonyms, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
