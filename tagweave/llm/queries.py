@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import bktree, huffman, langid, licenses, mixing, packing, pii, simhash, toxicity
+from tagweave.llm import bktree, hilbert, huffman, langid, licenses, mixing, packing, pii, simhash, toxicity
 from tagweave.llm.common import crc_mod, read
 
 
@@ -61,6 +61,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_bk_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bktree.simhash_components(read(spark, sf_dir, "documents"))
 
@@ -70,6 +74,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash_fingerprints, op3_license_scan, op4_source_mixing, op5_token_files, op6_pii_pseudonyms, op7_language_id, op9_bk_tree_near_dedup, op10_best_fit_packing)
+    f.__name__: f for f in (op1_toxicity, op2_simhash_fingerprints, op3_license_scan, op4_source_mixing, op5_token_files, op6_pii_pseudonyms, op7_language_id, op8_hilbert_neighbours, op9_bk_tree_near_dedup, op10_best_fit_packing)
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLE_SQL: dict[str, str] = {}
