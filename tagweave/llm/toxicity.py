@@ -7,9 +7,9 @@ counted over all documents. Letters set apart by spaces are joined first. Word w
 labelled documents and applied to the restored words.
 
 Words count in squeezed form, repeated letters written once, so that a word typed with more letters is
-the same word, and so do the stems that they go on from, for inflected words. Learning has these steps: character 4-grams of all texts; document counts by label of
-every restored word of all labelled texts; of the words whose counts differ by more than ``Z_LEAST``
-standard errors the most telling ``CANDIDATES``; of these again the ``MODEL_WORDS`` (the size of the
+the same word, and so do the stems that they go on from, for inflected words. Learning has these steps: character 4-grams of all texts; document counts of the restored words of all
+texts labelled toxic; of those in ``LEAST`` documents and ``SHARE`` of them at least, document counts in all
+other labelled texts; of the words that toxic texts have more by over ``Z_LEAST`` standard errors the most telling ``CANDIDATES``; of these again the ``MODEL_WORDS`` (the size of the
 model) that still differ so when each pair of neighbours counts once, which copies of a document don't
 multiply; a logistic regression on their presence
 over about ``FIT_ROWS`` labelled rows, drawn by a hash of the id where there are more. The character model then learns
@@ -39,6 +39,8 @@ from tagweave.llm import common
 A = 27  # word end and the letters a-z
 Z_LEAST, CANDIDATES, MODEL_WORDS, FIT_ROWS = 6.0, 2048, 256, 40_000
 STEMS = (4, 8)  # lengths of the stems that are counted beside words
+#: A telling word is in so many toxic documents and this share of them at least; the share bounds how many are broadcast.
+LEAST, SHARE = 6, 1e-3
 HELD, KNOWN = 200_000, 400_000
 
 # Signs of leetspeak and the letters that they stand for.
@@ -234,7 +236,9 @@ class _Words(dict):
     def __init__(self, lm: list[float], wanted: dict[str, int] | None = None):
         super().__init__()
         self.lm, self.wanted = lm, wanted if wanted is None else {f.rstrip("2") for f in wanted}
-        self.masks = {self._mask(w) for w in wanted or ()}
+        self.starts = {f[: STEMS[0]].rstrip("-") for f in self.wanted or ()}
+        masks = sorted({self._mask(f) for f in self.wanted or ()}, key=int.bit_count)
+        self.masks = [m for k, m in enumerate(masks) if not any(o & ~m == 0 for o in masks[:k])] if len(masks) <= 4096 else None
 
     @staticmethod
     def _mask(word: str) -> int:
@@ -245,6 +249,8 @@ class _Words(dict):
 
     def _possible(self, token: str) -> bool:
         """Whether the lattice holds all letters of a wanted word; if not, decoding cannot yield one."""
+        if self.masks is None:
+            return True
         m = 0
         for c in set(token.translate(FOLD)):
             for x in "aeiou" if c == WILD else LEET.get(c, c):
@@ -252,44 +258,47 @@ class _Words(dict):
                     m |= 1 << ord(x) - 97
         return any(w & ~m == 0 for w in self.masks)
 
+    def _found(self, words: list[str]) -> list[str] | None:
+        known = [w for w in words if w[: STEMS[0]] in self.starts]
+        return sorted({f for w in known for f in features(w) if f in self.wanted}) or None if known else None
+
     def __missing__(self, token: str):
-        if self.wanted is None:
-            found = [f for w in squeezed(token, self.lm) for f in features(w)]
-        elif self._possible(token):
-            found = sorted({f for w in squeezed(token, self.lm) for f in features(w) if f in self.wanted}) or None
+        core = token.strip(_EDGES)
+        core = core if core.isascii() else core.translate(FOLD).strip(_EDGES)
+        if core.isascii() and core.isalpha():  # its readings squeeze alike
+            words = [squeeze(core)]
+        elif self.wanted is None or self._possible(core):
+            words = squeezed(core, self.lm)
         else:
-            found = None
+            words = []
+        found = [f for w in words for f in features(w)] if self.wanted is None else self._found(words)
         if len(token) <= 64:
             self[token] = found
         return found
 
 
-class _WordLabels:
-    """Partial document counts of restored words by label."""
+class _WordCounts:
+    """Partial document counts of features, of all or of the wanted ones."""
 
-    SCHEMA = pa.schema([("word", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
+    SCHEMA = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
-    def __init__(self, lm):
-        self.lm = lm
+    def __init__(self, lm, wanted=None):
+        self.lm, self.wanted = lm, wanted
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(_as_list(self.lm.value))
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def flush():
-            keys = list(counts[0] | counts[1])
-            out = common.table({"word": keys, "n0": [counts[0][w] for w in keys], "n1": [counts[1][w] for w in keys]}, self.SCHEMA)
-            counts[0].clear(), counts[1].clear()
-            return out
-
+        wanted = None if self.wanted is None else self.wanted.value
+        words = _Words(_as_list(self.lm.value), wanted)
+        counts: Counter = Counter()
         for batch in common.slices(batches, 256):
             if len(words) > KNOWN:
                 words.clear()
-            for label, text in zip(batch.column("toxic").to_pylist(), common.texts(batch), strict=True):
-                counts[label].update(of_document(map(words.__getitem__, set(tokens_of(text)))))
-            if len(counts[0]) + len(counts[1]) > HELD:
-                yield flush()
-        yield flush()
+            for text in common.texts(batch):
+                found = of_document(filter(None, map(words.__getitem__, set(tokens_of(text)))))
+                counts.update(found if wanted is None else (f for f in found if f in wanted))
+            if len(counts) > HELD:
+                yield common.table({"word": list(counts), "n": list(counts.values())}, self.SCHEMA)
+                counts.clear()
+        yield common.table({"word": list(counts), "n": list(counts.values())}, self.SCHEMA)
 
 
 class _Contexts:
@@ -397,19 +406,23 @@ def learn(docs: DataFrame, labelled: DataFrame, model_words: int = MODEL_WORDS,
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Model([], np.zeros(0), -np.inf, counts)
-    words = labelled.select("text", "toxic").mapInArrow(_WordLabels(lm), "word string, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p = (F.col("n0") + F.col("n1")) / (n0 + n1)
-    z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    first = words.where((F.col("n0") + F.col("n1") >= 3) & (p < 1)).withColumn("z", F.abs(z)).where(F.col("z") > z_least).orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()
-    wanted = {r.word: k for k, r in enumerate(first)}
+    def counted(label: int, wanted=None) -> DataFrame:
+        rows = labelled.where(F.col("toxic") == label).select("text").mapInArrow(_WordCounts(lm, wanted), "word string, n bigint")
+        return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+    in_toxic = {r.word: r.n for r in counted(1).where(F.col("n") >= max(LEAST, SHARE * n1)).collect()}
+    in_clean = {r.word: r.n for r in counted(0, spark.sparkContext.broadcast(dict.fromkeys(in_toxic))).collect()} if in_toxic else {}
+
+    def z(m0: int, m1: int) -> float:
+        p = (m0 + m1) / (n0 + n1)
+        return (m1 / n1 - m0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) if 0 < p < 1 else 0.0
+
+    ranked = sorted((-z(in_clean.get(w, 0), n), w) for w, n in in_toxic.items())
+    first = [w for s, w in ranked[:CANDIDATES] if -s > z_least]
+    wanted = {w: k for k, w in enumerate(first)}
     contexts = labelled.select("text", "toxic").mapInArrow(_Contexts(lm, wanted), "word string, toxic int, around bigint") if first else None
     around = {(r.word, r.toxic): r.n for r in contexts.groupBy("word", "toxic").agg(F.countDistinct("around").alias("n")).collect()} if first else {}
-    best = []
-    for r in first:
-        m0, m1 = (min(n, around.get((r.word.rstrip("2"), y), 0)) for y, n in ((0, r.n0), (1, r.n1)))
-        share = (m0 + m1) / (n0 + n1)
-        if m0 + m1 and abs(m1 / n1 - m0 / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1)) > z_least:
-            best.append(r.word)
+    best = [w for w in first if z(min(in_clean.get(w, 0), around.get((w.rstrip("2"), 0), 0)), min(in_toxic[w], around.get((w.rstrip("2"), 1), 0))) > z_least]
     telling = sorted(best[:model_words])
     model = Model(telling, np.zeros(len(telling)), 0.0, counts)
     fit = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * fit_rows / (n0 + n1))
