@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tagweave.llm import common
 
 A = 27  # word end and the letters a-z
-Z_LEAST, CANDIDATES, MODEL_WORDS, FIT_ROWS = 6.0, 2048, 256, 40_000
+Z_LEAST, CANDIDATES, MODEL_WORDS, FIT_ROWS = 6.0, 768, 256, 40_000
 STEMS = (4, 8)  # lengths of the stems that are counted beside words
 #: A telling word is in so many toxic documents and this share of them at least; the share bounds how many are broadcast.
 LEAST, SHARE = 6, 1e-3
@@ -311,18 +311,25 @@ class _Contexts:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(_as_list(self.lm.value), self.wanted)
+        rows: set = set()  # copies of a document add nothing
+
+        def flush():
+            out = dict(zip(("word", "toxic", "around"), zip(*rows), strict=True)) if rows else {"word": [], "toxic": [], "around": []}
+            rows.clear()
+            return common.table(out, self.SCHEMA)
+
         for batch in common.slices(batches, 256):
             if len(words) > KNOWN:
                 words.clear()
-            rows = set()
             for label, text in zip(batch.column("toxic").to_pylist(), common.texts(batch), strict=True):
                 tokens = tokens_of(text)
-                found = list(map(words.__getitem__, tokens))
-                for at, own in enumerate(found):
+                for at, own in enumerate(map(words.__getitem__, tokens)):
                     if own:
                         around = xxhash.xxh64_intdigest(" ".join((*tokens[max(0, at - 1) : at], "\n", *tokens[at + 1 : at + 2]))) >> 1
                         rows.update((f, label, around) for f in own)
-            yield common.table(dict(zip(("word", "toxic", "around"), zip(*sorted(rows)), strict=True)) if rows else {"word": [], "toxic": [], "around": []}, self.SCHEMA)
+            if len(rows) > HELD:
+                yield flush()
+        yield flush()
 
 
 def hits(text: str, words: _Words, wanted: dict[str, int]) -> list[int]:
