@@ -1,14 +1,231 @@
-"""Queries over the driver's tables, one for each operator family."""
+"""Queries over the driver's tables, and their SQL over the raw markup where it can say them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagweave.functions import strings as N
+from tagweave.functions.urls import resolve_url
+from tagweave.operators import lists as L
+from tagweave.operators import pages as P
+from tagweave.operators import select as R
+from tagweave.operators import text as RT
+from tagweave.operators.parse import parse_errors, parse_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_pages(pages_of(spark, sf_dir))
+
+
+def _sql_text(column: str) -> str:
+    """Text of markup without tags: references decoded, white space as one space."""
+    out = column
+    for name, sign in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        out = f"replace({out}, '&{name};', '{sign}')"
+    return f"trim(regexp_replace({out}, '[ \\t\\n\\f\\r]+', ' ', 'g'), ' ')"
+
+
+# What the template of the pages shows to a regular expression: links, list items and the like stand in it
+# without markup inside, so the SQL sees the same.
+_LINKS = """SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label,
+unnest(generate_series(1, len(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>')))) AS n FROM pages"""
+_HOST = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
+
+
+@query(f"SELECT page_id, n::INT AS ord, label AS text, {_HOST} || href AS href FROM ({_LINKS})")
+def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every navigation link, absolute."""
+    nodes = nodes_of(spark, sf_dir)
+    found = RT.with_text(nodes, R.select(nodes, "nav li a[href]"))
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
+    return found.select("page_id", order.alias("ord"), "text", resolve_url("base_uri", N.attr("href")).alias("href"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return nav_links(spark, sf_dir)
+
+
+def _matches(css: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = nodes_of(spark, sf_dir)
+        return RT.with_text(nodes, R.select(nodes, css)).select("page_id", "text")
+
+    return run
+
+
+def _selector(name: str, css: str, where: str) -> None:
+    """A selector over navigation links; the SQL is a condition on links with their number n of m."""
+    QUERIES[name] = _matches(css)
+    ORACLE_SQL[name] = f"SELECT page_id, label AS text FROM (SELECT *, max(n) OVER (PARTITION BY page_id) AS m FROM ({_LINKS})) WHERE {where}"
+
+
+_selector("select_tag", "nav a", "true")
+_selector("select_child", "nav > ul > li > a", "true")
+_selector("select_attr_start", "a[href^=/th]", "lower(href) LIKE '/th%'")
+_selector("select_attr_end", "a[href$='.']", "href LIKE '%.'")
+_selector("select_attr_contains", "a[href*=ou]", "lower(href) LIKE '%ou%'")
+_selector("select_attr_regex", "a[href~=^/[a-d]]", "regexp_matches(href, '^/[a-d]')")
+_selector("select_attr_not", "a[href!=/the]", "lower(href) <> '/the'")
+_selector("select_index_eq", "nav li:eq(1) a", "n = 2")
+_selector("select_index_lt", "nav li:lt(2) a", "n <= 2")
+_selector("select_index_gt", "nav li:gt(2) a", "n > 3")
+_selector("select_nth_even", "nav li:nth-child(2n) a", "n % 2 = 0")
+_selector("select_first_child", "nav li:first-child a", "n = 1")
+_selector("select_not_first", "nav li:not(:first-child) a", "n > 1")
+_selector("select_next_sibling", "nav li + li a", "n > 1")
+_selector("select_later_sibling", "nav li:eq(0) ~ li a", "n > 1")
+_selector("select_has", "nav li:has(a[href^=/th]) > a", "lower(href) LIKE '/th%'")
+_selector("select_contains", "nav a:contains(th)", "contains(lower(label), 'th')")
+_selector("select_matches", "nav a:matches(^[A-Z])", "regexp_matches(label, '^[A-Z]')")
+_selector("select_union", "nav a[href^=/th], nav li:eq(0) > a", "lower(href) LIKE '/th%' OR n = 1")
+_selector("select_is", "nav :is(a, b)", "true")
+
+
+@query(f"SELECT page_id, {_sql_text("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title FROM pages WHERE regexp_matches(html, '<title>[^<]*</title>')")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.titles(nodes_of(spark, sf_dir))
+
+
+@query(f"SELECT page_id, {_sql_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS text FROM pages WHERE regexp_matches(html, '<h1>[^<]*</h1>')")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches("article:has(h1) > h1")(spark, sf_dir)
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.select(nodes_of(spark, sf_dir), "html:root[lang]")
+    return found.select("page_id", N.attr("lang").alias("lang"))
+
+
+@query(f"SELECT page_id, {_sql_text("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} AS text FROM pages WHERE regexp_matches(html, '<div class=.ad.>[^<]*</div>')")
+def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nodes_of(spark, sf_dir)
+    return RT.with_text(nodes, R.select(nodes, "div.ad"), "own").select("page_id", "text")
+
+
+@query("SELECT page_id, regexp_extract(html, '<script>([^<]*</p>[^<]*)</script>', 1) AS data FROM pages WHERE regexp_matches(html, '<script>[^<]*</p>[^<]*</script>')")
+def script_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nodes_of(spark, sf_dir)
+    return RT.with_text(nodes, R.select(nodes, "head script"), "data", "data").select("page_id", "data")
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) AS comment FROM pages")
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes_of(spark, sf_dir).where("kind = 'comment'").select("page_id", F.col("value").alias("comment"))
+
+
+@query(f"SELECT {_HOST} AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_LINKS}) GROUP BY 1")
+def links_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused: parsed, selected and counted without the nodes in between."""
+    pages = pages_of(spark, sf_dir)
+    found = P.select_pages(pages, "nav a[href]").select("page_id").groupBy("page_id").agg(F.count("*").alias("n"))
+    host = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
+    return pages.select("page_id", "url").join(found, "page_id").groupBy(host.alias("host")).agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
+
+
+@query(f"SELECT page_id, string_agg(label, ' ' ORDER BY n) AS text FROM ({_LINKS}) GROUP BY 1")
+def list_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nodes_of(spark, sf_dir)
+    return L.joined_text(nodes, R.select(nodes, "nav a"))
+
+
+@query(f"SELECT page_id, string_agg(href, ' ' ORDER BY n) AS hrefs FROM ({_LINKS}) GROUP BY 1")
+def list_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.select(nodes_of(spark, sf_dir), "nav a")
+    return L.each_attr(found, "href").select("page_id", F.array_join("values", " ").alias("hrefs"))
+
+
+@query(f"SELECT page_id, label AS text FROM (SELECT *, max(n) OVER (PARTITION BY page_id) AS m FROM ({_LINKS})) WHERE n = 2")
+def list_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nodes_of(spark, sf_dir)
+    after = L.next_sibling(nodes, R.select(nodes, "nav li:first-child"), ":has(a)")
+    return RT.with_text(nodes, after).select("page_id", "text")
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\f\\r ]+', ' ', 'g'), ' ') AS text FROM documents")
+def text_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.trim(N.normalise_whitespace(F.col("text"))).alias("text"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text FROM documents")
+def text_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", N.escape_text(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, NOT regexp_matches(text, '[^ \\t\\n\\f\\r]') AS blank, regexp_full_match(text, '[0-9]+') AS digits FROM documents")
+def text_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", N.is_blank(t).alias("blank"), N.is_numeric(t).alias("digits"))
+
+
+@query()
+def nodes_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes_of(spark, sf_dir)
+
+
+@query()
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.metadata(nodes_of(spark, sf_dir))
+
+
+@query()
+def sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.sanitise(pages_of(spark, sf_dir), "relaxed")
+
+
+@query()
+def serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.serialise(pages_of(spark, sf_dir))
+
+
+@query()
+def pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.serialise(pages_of(spark, sf_dir), pretty=True)
+
+
+@query()
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.edit(pages_of(spark, sf_dir), "div.ad", "remove")
+
+
+@query()
+def bold_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where formatting left open is opened again."""
+    return _matches("article p > b")(spark, sf_dir)
+
+
+@query()
+def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.stream_elements(pages_of(spark, sf_dir))
+
+
+@query()
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_errors(pages_of(spark, sf_dir))
+
+
+@query()
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.form_data(pages_of(spark, sf_dir))
