@@ -67,6 +67,10 @@ def class_names(value: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.coalesce(value, F.lit("")), f"[{SPACE}]+"), lambda c: c != ""))
 
 
-def css_identifier(name: Column) -> Column:
-    """A name with everything but letters, digits, - and _ escaped, for use in a selector."""
-    return F.regexp_replace(F.regexp_replace(name, "([^A-Za-z0-9_\\-\\u0080-\\uffff])", "\\\\$1"), "^([0-9])", "\\\\3$1 ")
+def strip_leading_whitespace(text: Column) -> Column:
+    return F.regexp_replace(text, "^\\s+", "")
+
+
+def is_absolute_url(text: Column) -> Column:
+    """Longer than two signs and with a colon."""
+    return F.coalesce((F.length(text) > 2) & text.contains(":"), F.lit(False))

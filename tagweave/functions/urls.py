@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tagweave.markup import tags as T
-from tagweave.markup import urls
+from tagweave.markup import scripts, urls
 
 
 @F.pandas_udf(StringType())
@@ -20,3 +20,15 @@ def resolve_url(base: pd.Series, rel: pd.Series) -> pd.Series:
 def unescape(text: pd.Series) -> pd.Series:
     """Character references decoded."""
     return text.map(lambda t: None if t is None else T.unescape(t))
+
+
+@F.pandas_udf(StringType())
+def unpack_script(text: pd.Series) -> pd.Series:
+    """The source of packed scripts; others as they are."""
+    return text.map(lambda t: None if t is None else scripts.unpack(t))
+
+
+@F.pandas_udf(StringType())
+def css_escape(text: pd.Series) -> pd.Series:
+    """Names as CSS identifiers."""
+    return text.map(lambda t: None if t is None else scripts.css_escape(t))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import strings as N
 from tagweave.markup import edit as E
-from tagweave.markup import match, safelist
+from tagweave.markup import match, safelist, scripts
 from tagweave.markup import text as X
 from tagweave.markup.tags import FORM_SUBMIT
 from tagweave.operators import select as R
@@ -93,6 +93,29 @@ def edit(pages: DataFrame, css: str, operation: str, argument: str = "") -> Data
     return per_page(pages, work, HTML)
 
 
+PATHS = pa.schema([("page_id", pa.int64()), ("ord", pa.int32()), ("selector", pa.string())])
+
+
+def css_selectors(pages: DataFrame, css: str) -> DataFrame:
+    """For every match a selector that finds it alone."""
+    selector.parse(css)
+
+    def work(k, h, u):
+        doc = document(h, u)
+        return [(k, i, scripts.css_selector(e, doc)) for i, e in enumerate(match.select(doc, css, doc.base_uri))]
+
+    return per_page(pages, work, PATHS)
+
+
+VALID = pa.schema([("page_id", pa.int64()), ("valid", pa.bool_())])
+
+
+def is_valid(pages: DataFrame, safe: safelist.Safelist | str = "basic") -> DataFrame:
+    """Whether a body fragment has nothing that a safelist would drop and no errors."""
+    rules = safelist.PRESETS[safe]() if isinstance(safe, str) else safe
+    return per_page(pages, lambda k, h, u: [(k, safelist.is_valid(h, rules))], VALID)
+
+
 # The metadata fields with the selectors and attributes that they come from.
 METADATA = {
     "ogTitle": ("meta[property=og:title]", "content"), "ogSiteName": ("meta[property=og:site_name]", "content"), "ogType": ("meta[property=og:type]", "content"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import strings as N
 from tagweave.functions.urls import resolve_url
+from tagweave.operators import find
 from tagweave.operators import lists as L
+from tagweave.operators import navigate as V
 from tagweave.operators import pages as P
 from tagweave.operators import select as R
 from tagweave.operators import text as RT
@@ -229,3 +231,38 @@ def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.form_data(pages_of(spark, sf_dir))
+
+
+def _finder(name: str, where: str, run) -> None:
+    """A finder over navigation links, as ``_selector``."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes = nodes_of(spark, sf_dir)
+        return RT.with_text(nodes, run(nodes).where("tag = 'a'")).select("page_id", "text")
+
+    QUERIES[name] = build
+    ORACLE_SQL[name] = f"SELECT page_id, label AS text FROM (SELECT *, max(n) OVER (PARTITION BY page_id) AS m FROM ({_LINKS})) WHERE {where}"
+
+
+_finder("find_tag", "true", lambda n: find.by_tag(n, "A"))
+_finder("find_attribute", "true", lambda n: find.by_attribute(n, "href"))
+_finder("find_attribute_prefix", "true", lambda n: find.by_attribute_starting(n, "hr"))
+_finder("find_attribute_value", "lower(href) = '/the'", lambda n: find.by_attribute_value(n, "href", "/the"))
+_finder("find_attribute_ending", "lower(href) LIKE '%on'", lambda n: find.by_attribute_value_ending(n, "href", "on"))
+_finder("find_attribute_matching", "regexp_matches(href, 'n.$')", lambda n: find.by_attribute_value_matching(n, "href", "n.$"))
+_finder("find_own_text", "contains(lower(label), 'an')", lambda n: find.containing_own_text(n, "an"))
+_finder("find_matching_text", "regexp_matches(label, '[.,]$')", lambda n: find.matching_text(n, "[.,]$"))
+_finder("navigate_child", "n = 2", lambda n: V.child(n, V.child(n, R.select(n, "nav > ul"), 1), 0))
+_finder("navigate_last_child", "n = m", lambda n: V.child(n, V.child(n, R.select(n, "nav > ul"), -1), 0))
+_finder("navigate_subtree", "true", lambda n: V.subtree(n, R.select(n, "nav"), "element"))
+
+
+@query(f"SELECT page_id, label AS text FROM ({_LINKS})")
+def navigate_text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = nodes_of(spark, sf_dir)
+    return V.text_nodes(nodes, R.select(nodes, "nav a")).select("page_id", F.col("value").alias("text"))
+
+
+@query()
+def element_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.css_selectors(pages_of(spark, sf_dir), "nav a, article > p")

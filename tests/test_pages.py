@@ -138,3 +138,32 @@ def test_registered_queries_have_fixed_columns(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["page_id", "ord", "text", "href"]
+
+
+def test_finders_and_navigation(nodes):
+    from tagweave.operators import find
+    from tagweave.operators import navigate as V
+
+    assert ids(find.by_id(nodes, "b")) == ["b"] and ids(find.by_tag(nodes, "LI")) == ["a", "b", "c"] and ids(find.by_class(nodes, "q")) == []
+    assert ids(find.by_attribute_value_not(nodes, "id", "a").where("tag = 'li'")) == ["b", "c"] and ids(find.containing_text(nodes, "2").where("tag = 'li'")) == ["b"]
+    assert ids(find.by_index_equals(nodes, 2).where("tag = 'li'")) == ["c"] and ids(find.by_index_less(nodes, 1).where("tag = 'li'")) == ["a"]
+    ul = R.select(nodes, "ul")
+    assert ids(V.child(nodes, ul, 0)) == ["a"] and ids(V.child(nodes, ul, -1)) == ["c"] and ids(V.child_node(nodes, ul, 1)) == ["b"]
+    assert ids(V.next_node(nodes, find.by_id(nodes, "a"))) == ["b"] and ids(V.prev_node(nodes, find.by_id(nodes, "c"))) == ["b"]
+    assert ids(V.first_sibling(nodes, find.by_id(nodes, "c"))) == ["a"] and ids(V.last_sibling(nodes, find.by_id(nodes, "a"))) == ["c"]
+    assert [r.value for r in V.text_nodes(nodes, R.select(nodes, "li")).orderBy("pre").collect()] == ["1", "2", "3"]
+    assert V.subtree(nodes, ul).count() == 7 and V.has_text(nodes, R.select(nodes, "li, input")).count() == 3 and V.roots(nodes).count() == 2
+
+
+def test_selectors_of_elements_and_scripts(spark):
+    from tagweave.markup import scripts
+
+    doc = parse("<div id=x><p>1<p class='a b'>2</div><p><i>3</i></p><div id=y.z>4</div><div id=d></div><div id=d></div>")
+    for e in doc.walk():
+        if e.kind == "element":
+            assert match.select(doc, scripts.css_selector(e, doc)) == [e]
+    packed = "eval(function(p,a,c,k,e,d){return p}('0 1(2)',62,3,'var|x|y'.split('|'),0,{}))"
+    assert scripts.unpack(packed) == "var x(y)" and scripts.unpack("f()") == "f()"
+    assert scripts.entity("amp") == "&" and scripts.is_base_entity("copy") and not scripts.is_base_entity("hearts") and scripts.is_named_entity("hearts")
+    df = spark.createDataFrame([(1, "", "<b>x</b>"), (2, "", "<x>y</x>")], "page_id bigint, url string, html string")
+    assert [r.valid for r in P.is_valid(df).orderBy("page_id").collect()] == [True, False]
