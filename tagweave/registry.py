@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +36,18 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+_parsed: dict[tuple[str, str], DataFrame] = {}
+
+
 def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_pages(pages_of(spark, sf_dir))
+    """The nodes of the pages, parsed once in a session: selectors and texts scan them several times.
+
+    They spill to disk where memory is short and are parsed again where an executor is lost; a corpus that
+    is queried for long is better kept as a table (``write_nodes``)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _parsed:
+        _parsed[key] = parse_pages(pages_of(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return _parsed[key]
 
 
 def _sql_text(column: str) -> str:
