@@ -34,6 +34,8 @@ HEADER = struct.Struct("<8sIIIIQQQ")  # magic, vocabulary, limit, block, bytes o
 LIMIT, BLOCK = 18, 1024
 NULL_ID = -(1 << 63)
 SHARD_TOKENS = 1 << 21
+#: Chunks of text whose ids a worker remembers.
+CHUNKS = 1_200_000
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
@@ -172,7 +174,7 @@ class _Tokenise:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(self.path), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(self.path, CHUNKS), TaskContext.get().partitionId(), 0
         kind = "<u2" if max(enc.size, self.end_id) < 1 << 16 else "<u4"
         end = np.asarray([self.end_id], "<u4").tobytes()
         for batch in common.slices(batches):

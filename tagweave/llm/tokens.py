@@ -61,7 +61,7 @@ class _Chunks(dict):
 class Encoder:
     """Ids of a text under one vocabulary file; special-token strings count as ordinary text."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -94,5 +94,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int = 500_000) -> Encoder:
+    """The worker's encoder; it outlives a task, and its table takes about 200 bytes for each chunk."""
+    return Encoder(path, most)
