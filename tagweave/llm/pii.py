@@ -14,6 +14,11 @@ invert them.
 * Dates: the day's number in its 400 years (146,097 = 189 x 773 days in the calendar) as two digits
   of these bases.
 
+A run of digits, single or repeated blanks and hyphens may hold several values, or a value beside other
+numbers. It is read from left to right: at each group of digits the longest valid value that starts
+there is taken (date, social security number, card, telephone number, in this order), else the group
+stays and the next one is tried. A card may start and end at any group of digits.
+
 Defined results: a null text stays null; empty texts and texts without valid values stay as they are,
 as do numbers that fail validation; repeated rows repeat; other columns are kept, and ``text`` and
 ``pseudonyms`` are replaced where they clash; an empty table gives no rows.
@@ -35,8 +40,10 @@ IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}"
-#: Group 1 is the whole value.
-PATTERN = f"((?<![A-Za-z0-9._%+-]){MAIL}|{_NUMBER}(?:{DATE}|{IP}|{SSN}|{CARD}|{PHONE}){_END})"
+#: Digits with blanks and hyphens, read by ``_pieces``. One class of signs: a loop over groups would recurse in Java.
+RUN = r"[0-9][0-9 -]{11,}(?<=[0-9])"
+#: Group 1 is the whole value or run.
+PATTERN = f"((?<![A-Za-z0-9._%+-]){MAIL}|{_NUMBER}(?:{DATE}|{IP}|{SSN}|{RUN}|{PHONE}){_END})"
 
 
 def _let(value: Column, use) -> Column:
@@ -155,6 +162,53 @@ def _luhn_valid(digits: Column) -> Column:
     return (_check_digit(body) == F.substr(digits, F.length(digits), F.lit(1))) & ~digits.rlike("^0+$")
 
 
+def _value(groups: Column, i: Column, j: Column) -> Column:
+    """struct(rank, less, j, x, kind) of the groups i to j of a run as one value; null if they aren't one."""
+
+    def judged(x: Column) -> Column:
+        joined = F.get(groups, i - 2).rlike("[0-9]-$") | F.get(groups, j - 1).rlike("[0-9]-$")
+        whole = ~F.coalesce(joined, F.lit(False))  # not the end or start of a longer number
+        return _let(kind_of(x), lambda kind: ranked(x, kind, whole))
+
+    def ranked(x: Column, kind: Column, whole: Column) -> Column:
+        sound = (kind == "card") | (whole & ((kind != "phone") | x.rlike(f"^(?:{PHONE})$")))
+        rank = F.when(kind == "card", 1).when(kind == "phone", 2).otherwise(0)
+        return F.when(sound, F.struct(rank.alias("rank"), (-j).alias("less"), j.alias("j"), x.alias("x"), kind.alias("kind")))
+
+    return _let(F.regexp_replace(F.array_join(F.slice(groups, i, j - i + 1), ""), "[ -]+$", ""), judged)
+
+
+def _pieces(run: Column) -> Column:
+    """A run cut into structs (x, kind), kind null between values."""
+    piece = "array<struct<x:string,kind:string>>"
+    literal = lambda x: F.struct(x.alias("x"), F.lit(None).cast("string").alias("kind"))
+
+    def read(groups: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            found = F.array_min(F.filter(F.transform(F.sequence(i, F.least(F.size(groups), i + 18)), lambda j: _value(groups, i, j)), lambda v: v.isNotNull()))
+
+            def take(v: Column) -> Column:
+                after = literal(F.regexp_extract(F.get(groups, v["j"] - 1), "[ -]*$", 0))
+                value = F.array(F.struct(v["x"].alias("x"), v["kind"].alias("kind")), after)
+                return F.struct(
+                    F.coalesce(v["j"] + 1, i + 1).alias("next"),
+                    F.concat(acc["out"], F.when(v.isNotNull(), value).otherwise(F.array(literal(F.get(groups, i - 1)))).cast(piece)).alias("out"),
+                )
+
+            return F.when(i < acc["next"], acc).otherwise(_let(found, take))
+
+        start = F.struct(F.lit(1).alias("next"), F.array().cast(piece).alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda acc: acc["out"])
+
+    return _let(F.regexp_extract_all(run, F.lit("([0-9]+[ -]*)"), F.lit(1)), read)
+
+
+def _cut(m: Column) -> Column:
+    """A match cut into structs (x, kind)."""
+    one = lambda kind: F.array(F.struct(m.alias("x"), kind.alias("kind")))
+    return _let(kind_of(m), lambda kind: F.when(m.rlike(f"^{RUN}$") & ~F.coalesce(kind.isin("date", "ssn"), F.lit(False)), _pieces(m)).otherwise(one(kind)))
+
+
 def pseudonym(x: Column, kind: Column, key: str, inverse: bool = False) -> Column:
     """The value of the same format for a value of that kind; a value without a kind stays."""
     digits = _digits(x)
@@ -188,10 +242,11 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False) -> DataFrame:
     """
     docs = docs.drop("pseudonyms")
     found = docs.withColumn("__m", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(1)))
-    kinds = found.withColumn("__k", F.transform("__m", kind_of))
-    new = F.zip_with("__m", "__k", lambda m, k: pseudonym(m, k, key, inverse))
-    whole = F.zip_with(F.split("text", PATTERN, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    plain = lambda p: F.array(F.struct(p.alias("x"), F.lit(None).cast("string").alias("kind")))
+    parts = F.flatten(F.zip_with(F.split("text", PATTERN, -1), F.transform("__m", _cut), lambda p, c: F.when(c.isNull(), plain(p)).otherwise(F.concat(plain(p), c))))
+    cut = found.withColumn("__p", F.when(F.size("__m") > 0, parts)).withColumn("__k", F.transform("__p", lambda p: p["kind"]))
+    whole = F.transform("__p", lambda p: pseudonym(p["x"], p["kind"], key, inverse))
     text = F.when(F.exists("__k", lambda k: k.isNotNull()), F.array_join(whole, "")).otherwise(F.col("text"))
     counts = F.struct(*[F.coalesce(_count(kind), F.lit(0)).cast("long").alias(kind) for kind in KINDS])
-    out = kinds.withColumn("__text", text).withColumn("pseudonyms", F.when(F.size("__m") > 0, counts).otherwise(F.struct(*[F.lit(0).cast("long").alias(k) for k in KINDS])))
+    out = cut.withColumn("__text", text).withColumn("pseudonyms", F.when(F.size("__m") > 0, counts).otherwise(F.struct(*[F.lit(0).cast("long").alias(k) for k in KINDS])))
     return out.select(*(F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns), "pseudonyms")

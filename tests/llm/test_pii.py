@@ -77,3 +77,20 @@ def test_edges(docs):
     assert len({t.split()[-1] for d, t in got if d in (3, 4)}) == 1
     assert pii.pseudonymise(docs([]), KEY).count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_values_beside_other_numbers(spark):
+    card, phone = "4111 1111 1111 1111", "555-123-4567"
+    cases = {
+        f"{card} 123": (f"{card}", "card"), "4111111111111111 12": ("4111111111111111", "card"), "4111-1111-1111-1111-123": ("4111-1111-1111-1111", "card"),
+        f"12 {card}": (card, "card"), f"{phone} 100 times": (phone, "phone"), f"100 {phone}": (phone, "phone"), f"{phone} 100 200 300": (phone, "phone"),
+        "77 123-45-6789 1234": ("123-45-6789", "ssn"), f"{card} 123 45 67": (card, "card"),
+    }
+    new, back, counts = both(spark, list(cases))
+    alone = dict(zip((v for v, _ in cases.values()), both(spark, [v for v, _ in cases.values()])[0], strict=True))
+    for (old, (value, kind)), x, n in zip(cases.items(), new, counts, strict=True):
+        assert x == old.replace(value, alone[value]) and n[kind] == 1 and sum(n) == 1, (old, x, n)
+    two = f"{card} 555 123 4567 x {phone}  {card}"
+    x = both(spark, [two])
+    assert x[2][0]["card"] == 2 and x[2][0]["phone"] == 2 and card not in x[0][0] and "555" not in x[0][0].split("x")[0][19:23]
+    assert both(spark, ["1" * 50_000, "4111 1111 1111 1112 12"])[0] == ["1" * 50_000, "4111 1111 1111 1112 12"]
