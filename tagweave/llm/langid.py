@@ -3,10 +3,11 @@
 A word that is known scores by its log frequency in each language; a word that is not falls back to
 its character n-grams, the longest length of which any is known, down to single letters.
 
-The known words and n-grams of a language are those that make up at least ``WORD_SHARE`` or
-``GRAM_SHARE`` of its running words or n-grams of that length. A language so has at most one over the
-share of them, whatever the size of the corpus, which bounds the model that is broadcast. Counts are
-taken over all documents given.
+The known words and n-grams are those that make up at least ``WORD_SHARE`` or ``GRAM_SHARE`` of the
+running words or n-grams of that length in any one language; each is known with its true counts in all
+languages. There are so at most one over the share of them for each language, whatever the size of the
+corpus, which bounds the model that is broadcast; rarer words go by their n-grams. Counts are taken
+over all documents given.
 
 Defined results: a text that is null, empty or without a letter gets ``und`` and score 0, and so
 does every text if nothing was learned; null languages and texts teach nothing; ties go to the language
@@ -179,7 +180,8 @@ def learn(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = G
     both = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams)
     totals = {(r.lang, r["size"]): r.n for r in both.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     least = F.coalesce(*[F.when((F.col("lang") == a) & (F.col("size") == s), F.lit(n * (gram_share if s else word_share))) for (a, s), n in totals.items()]) if totals else F.lit(0.0)
-    known = both.where(F.col("n") >= least).collect()
+    chosen = both.where(F.col("n") >= least).select("size", "item").distinct()
+    known = both.join(chosen, ["size", "item"], "left_semi").select("lang", "size", "item", "n").collect()
     langs = sorted({a for a, _ in totals})
     return Model(langs, [(r.lang, r.item, r.n) for r in known if not r["size"]], [(r.lang, r["size"], r.item, r.n) for r in known if r["size"]], totals)
 

@@ -74,3 +74,10 @@ def test_nothing_learned(docs):
     model = langid.learn(docs([]))
     assert [r.lang_pred for r in langid.predict(docs([(1, "abc")]), model).collect()] == ["und"]
     assert langid.predict(docs([]), model).count() == 0
+
+
+def test_words_known_in_one_language_keep_their_counts_in_the_others(docs):
+    rows = [(1, "shared " * 51 + "fra " * 949, "fr", "s", 0), (2, "shared " * 49 + "esp " * 951, "es", "s", 0), (3, None, "fr", "s", 0)]
+    model = langid.learn(docs(rows), word_share=0.05)
+    es, fr = model.score("shared")
+    assert abs((fr - es) - math.log(51.5 / 49.5)) < 1e-9
