@@ -168,13 +168,14 @@ class _Tokenise:
 
     SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special: bool = False):
+        self.special = special
         self.path, self.end_id = path, end_id
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, seq = encoder(self.path, CHUNKS), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder(self.path, CHUNKS, self.special), TaskContext.get().partitionId(), 0
         kind = "<u2" if max(enc.size, self.end_id) < 1 << 16 else "<u4"
         end = np.asarray([self.end_id], "<u4").tobytes()
         for batch in common.slices(batches):
@@ -264,21 +265,21 @@ class _Read:
             }, self.SCHEMA)
 
 
-def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, ordered: bool = True) -> DataFrame:
+def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, ordered: bool = True, special: bool = False) -> DataFrame:
     """Encode every text once, ``ordered`` by ``doc_id``; the rows lie in the shared folder."""
     docs = docs.select("doc_id", "text")
     if ordered:
         docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "part int, seq bigint, doc_id bigint, ids binary"
-    return common.materialise(docs.mapInArrow(_Tokenise(tokenizer_path, end_id), schema), "tokens")
+    return common.materialise(docs.mapInArrow(_Tokenise(tokenizer_path, end_id, special), schema), "tokens")
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, limit: int = LIMIT, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, limit: int = LIMIT, shard_tokens: int = SHARD_TOKENS, special: bool = False) -> DataFrame:
     """Write ``docs`` as token files into ``folder``; one row per file (file, docs, tokens).
 
     The counts that are collected have one row per id of the vocabulary at most.
     """
-    rows = token_rows(docs, tokenizer_path, end_id)
+    rows = token_rows(docs, tokenizer_path, end_id, special=special)
     size = max(encoder(tokenizer_path).size, end_id + 1)
     kind = "<u2" if max(encoder(tokenizer_path).size, end_id) < 1 << 16 else "<u4"
     counted = rows.select("ids").mapInArrow(_Count(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
@@ -310,11 +311,11 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame, with_id
     return out if with_ids else out.drop("ids")
 
 
-def huffman_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
+def huffman_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, special: bool = False) -> DataFrame:
     """Write token files into the shared folder and return what is read back from them."""
     spark = docs.sparkSession
     folder = common.fresh_dir(spark, "huffman")
-    files = write_token_files(docs, folder, tokenizer_path, end_id)
+    files = write_token_files(docs, folder, tokenizer_path, end_id, special=special)
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return read_token_files(spark, folder, files)

@@ -112,14 +112,15 @@ class _Pieces:
 
     FIELDS = [("part", pa.int32()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
-    def __init__(self, path: str, end_id: int, size: int, with_ids: bool):
+    def __init__(self, path: str, end_id: int, size: int, with_ids: bool, special: bool = False):
+        self.special = special
         self.path, self.end_id, self.size, self.with_ids = path, end_id, size, with_ids
         self.schema = pa.schema(self.FIELDS + [("ids", pa.list_(pa.int64()))] * with_ids)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part = encoder(self.path), TaskContext.get().partitionId()
+        enc, part = encoder(self.path, special=self.special), TaskContext.get().partitionId()
         seen, end = [0] * (self.size + 1), np.asarray([self.end_id], "<u4").tobytes()
         for batch in common.slices(batches):
             out = defaultdict(list)
@@ -136,7 +137,7 @@ class _Pieces:
             yield common.table(out, self.schema) if out else pa.RecordBatch.from_pylist([], self.schema)
 
 
-def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 1024, with_ids: bool = False, special: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids if asked for).
 
     Texts are read and encoded once and never shuffled. What comes to the driver is one count for each
@@ -144,7 +145,7 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size:
     """
     spark = docs.sparkSession
     ddl = "part int, nth bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    pieces = common.materialise(docs.select("doc_id", "text").mapInArrow(_Pieces(tokenizer_path, end_id, size, with_ids), ddl), "pieces")
+    pieces = common.materialise(docs.select("doc_id", "text").mapInArrow(_Pieces(tokenizer_path, end_id, size, with_ids, special), ddl), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     before = common.materialise(before, "ranks")  # one row per task and length

@@ -43,7 +43,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return huffman.huffman_round_trip(read(spark, sf_dir, "documents"), tokenizer_path())
+    return huffman.huffman_round_trip(read(spark, sf_dir, "documents"), tokenizer_path(), special=True)
 
 
 #: A deployment has its own key; this one makes results repeatable.
@@ -71,7 +71,7 @@ def op9_bk_tree_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_sequences(read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_sequences(read(spark, sf_dir, "documents"), tokenizer_path(), special=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

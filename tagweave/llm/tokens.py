@@ -59,15 +59,18 @@ class _Chunks(dict):
 
 
 class Encoder:
-    """Ids of a text under one vocabulary file; special-token strings count as ordinary text."""
+    """Ids of a text under one vocabulary file. Strings of added tokens count as ordinary text, or with
+    ``special`` as the library reads them by default: a text that holds one goes through the library as a whole."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, special: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]] if special else []
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         pre = spec.get("pre_tokenizer") or {}
         self.plain = not (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -87,13 +90,13 @@ class Encoder:
 
     def raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.plain:
+        if self.plain or (self.added is not None and self.added.search(text)):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.split(" ") if _DOUBLE.search(text) is None else _CUT.split(text)
         return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, most: int = 500_000) -> Encoder:
+def encoder(path: str, most: int = 500_000, special: bool = False) -> Encoder:
     """The worker's encoder; it outlives a task, and its table takes about 200 bytes for each chunk."""
-    return Encoder(path, most)
+    return Encoder(path, most, special)

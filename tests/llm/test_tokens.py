@@ -149,3 +149,15 @@ def test_pack_sequences(docs):
 
 def test_pack_empty(docs):
     assert packing.pack_sequences(docs([]), PATH).count() == 0
+
+
+def test_queries_read_added_tokens_as_the_unchanged_library(spark, docs, tmp_path):
+    from tagweave.llm import queries
+
+    lib = Tokenizer.from_file(PATH)
+    assert lib.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = [(1, "a <|endoftext|> b"), (2, "x<|endoftext|><|endoftext|>"), (3, "plain <|endoftex|> text")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: zlib.crc32(np.asarray(lib.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for d, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in queries.op5_token_files(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.ids_crc32 for r in queries.op10_best_fit_packing(spark, str(tmp_path)).collect()} == want
