@@ -6,8 +6,9 @@ its character n-grams, the longest length of which any is known, down to single
 The known words and n-grams are those that make up at least ``WORD_SHARE`` or ``GRAM_SHARE`` of the
 running words or n-grams of that length in any one language; each is known with its true counts in all
 languages. There are so at most one over the share of them for each language, whatever the size of the
-corpus, which bounds the model that is broadcast; rarer words go by their n-grams. Counts are taken
-over all documents given.
+corpus, which bounds the model that is broadcast; rarer words go by their n-grams (what that costs in
+accuracy is in the README). Counts are taken over all documents given. The model holds 64-bit hashes of
+the items and the languages that have each, about 20 bytes for an item of one language.
 
 Defined results: a text that is null, empty or without a letter gets ``und`` and score 0, and so
 does every text if nothing was learned; null languages and texts teach nothing; ties go to the language
@@ -23,19 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm import common
 
-WORD_SHARE, GRAM_SHARE, LONGEST = 5e-6, 2e-5, 5
+WORD_SHARE, GRAM_SHARE, LONGEST = 1e-6, 5e-6, 5
 WORDS = re.compile(r"[^\W\d_]+")
-HELD, KNOWN = 200_000, 300_000
+HELD, KNOWN = 200_000, 1_200_000  # items counted at once; scores remembered at once
 UNKNOWN = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """Runs of letters, in lower case; other numeric characters (½, ², Ⅷ) part words as digits do."""
+    low = text.lower()
+    found = WORDS.findall(low)
+    return found if "".join(found).isalpha() or not found else "".join(c if c.isalpha() else " " for c in low).split()
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -90,30 +95,54 @@ class _CountGrams:
             yield rest
 
 
+def hash_of(item: str) -> int:
+    """What Spark's ``xxhash64`` gives for a string."""
+    return xxhash.xxh64_intdigest(item.encode("utf-8", "surrogatepass"), 42)
+
+
 class Model:
-    """Log frequencies of known words and n-grams by language."""
-
-    def __init__(self, langs: list[str], words: list, grams: list, totals: dict):
-        """words: (lang, word, n); grams: (lang, size, gram, n); totals: (lang, size) -> n, size 0 for words."""
-        self.langs = langs
-        at = {lang: k for k, lang in enumerate(langs)}
-        self.tables: list[dict[str, np.ndarray]] = []
-        for size in range(max([0, *(s for _, s in totals)]) + 1):
-            found = words if size == 0 else [(a, g, n) for a, s, g, n in grams if s == size]
-            counts: dict[str, np.ndarray] = {}
-            for lang, item, n in found:
-                if item not in counts:
-                    counts[item] = np.full(len(langs), 0.5)
-                counts[item][at[lang]] += n
-            total = np.asarray([totals.get((lang, size), 0) for lang in langs], float) + 0.5 * (len(counts) + 1)
-            self.tables.append({k: np.log(v / total) for k, v in counts.items()})
+    """Log frequencies of known words (size 0) and n-grams by language, kept sparsely: for every size the
+    sorted hashes of the items and, from ``starts``, the languages that have them with their log frequency."""
+
+    def __init__(self, langs: list[str], totals: dict[tuple[str, int], int], sizes: np.ndarray, hashes: np.ndarray, starts: np.ndarray, at: np.ndarray, n: np.ndarray):
+        """Item k of ``sizes`` and ``hashes`` has the languages ``at[starts[k]:starts[k + 1]]`` with counts ``n``."""
+        self.langs, self.tables, self.none = langs, [], []
+        many = np.diff(starts)
+        for size in range(int(max([0, *(s for _, s in totals)])) + 1 if langs else 0):
+            own = np.flatnonzero(sizes == size)
+            own = own[np.argsort(hashes[own])]
+            total = np.log(np.asarray([totals.get((lang, size), 0) for lang in langs], float) + 0.5 * (len(own) + 1))
+            begin = np.r_[0, np.cumsum(many[own])]
+            flat = np.repeat(starts[own] - begin[:-1], many[own]) + np.arange(begin[-1])
+            self.none.append(np.log(0.5) - total)
+            self.tables.append((hashes[own], begin.astype(np.int64), at[flat].astype(np.int32), np.log(n[flat] + 0.5) - total[at[flat]]))
+
+    @classmethod
+    def of_counts(cls, langs: list[str], counts: dict[tuple[int, str], dict[str, int]], totals: dict[tuple[str, int], int]) -> Model:
+        """counts: (size, item) -> language -> n."""
+        rows = [(s, hash_of(i), [(langs.index(a), n) for a, n in c.items()]) for (s, i), c in counts.items()]
+        pairs = [p for _, _, c in rows for p in c]
+        starts = np.r_[0, np.cumsum([len(c) for _, _, c in rows], dtype=np.int64)]
+        return cls(langs, totals, np.asarray([s for s, _, _ in rows], np.int64), np.asarray([h for _, h, _ in rows], np.uint64), starts, np.asarray([a for a, _ in pairs], np.int64), np.asarray([n for _, n in pairs], np.int64))
+
+    def rows(self, size: int, items: list[str]) -> list[np.ndarray]:
+        """Log frequencies by language of those of the items that are known."""
+        hashes, begin, at, value = self.tables[size]
+        wanted = np.asarray([hash_of(i) for i in items], np.uint64)
+        place = np.searchsorted(hashes, wanted)
+        out = []
+        for k, h in zip(place.tolist(), wanted.tolist(), strict=True):
+            if k < len(hashes) and int(hashes[k]) == h:
+                row = self.none[size].copy()
+                row[at[begin[k] : begin[k + 1]]] = value[begin[k] : begin[k + 1]]
+                out.append(row)
+        return out
 
     def score(self, word: str) -> np.ndarray:
-        if self.tables and (known := self.tables[0].get(word)) is not None:
-            return known
+        if self.tables and (known := self.rows(0, [word])):
+            return known[0]
         for size in range(len(self.tables) - 1, 0, -1):
-            table = self.tables[size]
-            if rows := [table[g] for g in grams_of(word, size) if g in table]:
+            if (grams := grams_of(word, size)) and (rows := self.rows(size, grams)):
                 return sum(rows) / len(rows)
         return np.zeros(len(self.langs))
 
@@ -142,7 +171,7 @@ class _Predict:
         model: Model = self.model.value
         rows = _Rows(model)
         for batch in common.slices(batches, 256):
-            if len(rows) > KNOWN:
+            if len(rows) * len(model.langs) > KNOWN:
                 rows = _Rows(model)
             pred, score = predict_texts(common.texts(batch), model, rows)
             kept = [batch.column(f.name) for f in self.schema if f.name not in ("lang_pred", "score")]
@@ -171,7 +200,8 @@ def predict_texts(texts: list[str], model: Model, rows: _Rows | None = None) ->
 
 
 def learn(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE, longest: int = LONGEST) -> Model:
-    """Learn from ``text`` and ``lang`` of all rows. Collected: totals, and the known words and n-grams."""
+    """Learn from ``text`` and ``lang`` of all rows. Collected: totals, and the known words and n-grams as hashes."""
+    spark = docs.sparkSession
     train = docs.where("lang is not null and text is not null").select("lang", "text")
     words = train.mapInArrow(_CountWords(), "lang string, item string, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     words = common.materialise(words, "words")
@@ -179,11 +209,17 @@ def learn(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = G
     grams = common.materialise(grams, "grams")
     both = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams)
     totals = {(r.lang, r["size"]): r.n for r in both.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    least = F.coalesce(*[F.when((F.col("lang") == a) & (F.col("size") == s), F.lit(n * (gram_share if s else word_share))) for (a, s), n in totals.items()]) if totals else F.lit(0.0)
-    chosen = both.where(F.col("n") >= least).select("size", "item").distinct()
-    known = both.join(chosen, ["size", "item"], "left_semi").select("lang", "size", "item", "n").collect()
     langs = sorted({a for a, _ in totals})
-    return Model(langs, [(r.lang, r.item, r.n) for r in known if not r["size"]], [(r.lang, r["size"], r.item, r.n) for r in known if r["size"]], totals)
+    limits = [(a, s, langs.index(a), n * (gram_share if s else word_share)) for (a, s), n in totals.items()]
+    limits = spark.createDataFrame(limits, "lang string, size int, at int, least double")  # a row for each language and length
+    known = both.join(F.broadcast(limits), ["lang", "size"]).groupBy("size", "item").agg(F.collect_list(F.struct("at", "n")).alias("found"), F.max(F.col("n") >= F.col("least")).alias("known"))
+    table = known.where("known").select("size", F.xxhash64("item").alias("hash"), "found").toArrow()
+    if not table.num_rows:
+        return Model.of_counts([], {}, {})
+    size, hashes, found = (pa.concat_arrays(table.column(c).chunks) for c in ("size", "hash", "found"))
+    pairs = found.flatten()
+    starts = np.asarray(found.offsets.to_numpy(), np.int64)
+    return Model(langs, totals, size.to_numpy(), hashes.to_numpy().view(np.uint64), starts - starts[0], pairs.field("at").to_numpy(), pairs.field("n").to_numpy())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

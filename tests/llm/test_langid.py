@@ -1,5 +1,6 @@
 import math
 import random
+import unicodedata
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -37,23 +38,61 @@ def test_learned_counts_and_scores_equal_brute_force(docs):
     counts, totals = plain_model(rows, 0.002, 0.001, 3)
     for size in range(4):
         share = 0.001 if size else 0.002
-        kept = {(a, w): n for (a, s), c in counts.items() if s == size for w, n in c.items() if n >= share * totals[a, s]}
-        items = {w for _, w in kept}
-        assert set(model.tables[size]) == items
+        items = {w for (a, s), c in counts.items() if s == size for w, n in c.items() if n >= share * totals[a, s]}
+        assert len(model.tables[size][0]) == len(items)
         for w in items:
+            (row,) = model.rows(size, [w])
             for k, a in enumerate(model.langs):
-                want = math.log((kept.get((a, w), 0) + 0.5) / (totals[a, size] + 0.5 * (len(items) + 1)))
-                assert abs(model.tables[size][w][k] - want) < 1e-9
+                want = math.log((counts[a, size][w] + 0.5) / (totals[a, size] + 0.5 * (len(items) + 1)))
+                assert abs(row[k] - want) < 1e-9
 
 
 def test_backoff_order():
-    model = langid.Model(["a", "b"], [("a", "one", 9)], [("b", 2, "^t", 5), ("a", 1, "z", 4)], {("a", 0): 9, ("b", 2): 5, ("a", 1): 4})
-    assert model.score("one") is model.tables[0]["one"]
-    assert (model.score("two") == model.tables[2]["^t"]).all()
-    assert (model.score("zz") == model.tables[1]["z"]).all()
+    counts = {(0, "one"): {"a": 9}, (2, "^t"): {"b": 5}, (1, "z"): {"a": 4}}
+    model = langid.Model.of_counts(["a", "b"], counts, {("a", 0): 9, ("b", 2): 5, ("a", 1): 4})
+    assert (model.score("one") == model.rows(0, ["one"])[0]).all()
+    assert (model.score("two") == model.rows(2, ["^t"])[0]).all()
+    assert (model.score("zz") == model.rows(1, ["z"])[0]).all()
     assert not model.score("q").any()
 
 
+def plain_prediction(text, counts, totals, langs, share, longest):
+    """Of one text, from counts alone."""
+    known = {s: {w for (a, z), c in counts.items() if z == s for w, n in c.items() if n >= share * totals[a, s]} for s in range(longest + 1)}
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+    if not words:
+        return "und"
+
+    def log_of(a, s, item):
+        return math.log((counts[a, s][item] + 0.5) / (totals[a, s] + 0.5 * (len(known[s]) + 1)))
+
+    scores = dict.fromkeys(langs, 0.0)
+    for w in words:
+        if w in known[0]:
+            found, s = [w], 0
+        else:
+            s, found = next(((s, g) for s in range(longest, 0, -1) if (g := [x for x in langid.grams_of(w, s) if x in known[s]])), (0, []))
+        for a in langs:
+            scores[a] += sum(log_of(a, s, x) for x in found) / max(1, len(found))
+    return max(langs, key=lambda a: (scores[a], -langs.index(a)))
+
+
+def test_predictions_equal_brute_force(docs):
+    rows = corpus(5, 60)
+    counts, totals = plain_model(rows, 0, 0, 3)
+    model = langid.learn(docs(rows), 0.01, 0.01, 3)
+    texts = [t for _, t, *_ in corpus(6, 40)] + ["½ ² Ⅷ", "kalo²wurgen x", "ÑAS ció", "qqq"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs(list(enumerate(texts))), model).collect()}
+    assert got == {k: plain_prediction(t, counts, totals, model.langs, 0.01, 3) for k, t in enumerate(texts)}
+
+
+def test_no_letters_are_undetermined(docs):
+    model = langid.learn(docs(corpus(1, 30)))
+    texts = ["½", "²", "①", "Ⅷ", "٣", "१", "_", "12", "Ⓐ", "", None, "\u0301"]
+    assert {r.lang_pred for r in langid.predict(docs(list(enumerate(texts))), model).collect()} == {"und"}
+    assert [r.lang_pred != "und" for r in langid.predict(docs([(1, "ª")]), model).collect()] == [True]
+
+
 def test_accuracy_on_held_out_texts(docs):
     model = langid.learn(docs(corpus(1, 200)))
     test = corpus(2, 100)
@@ -79,5 +118,5 @@ def test_nothing_learned(docs):
 def test_words_known_in_one_language_keep_their_counts_in_the_others(docs):
     rows = [(1, "shared " * 51 + "fra " * 949, "fr", "s", 0), (2, "shared " * 49 + "esp " * 951, "es", "s", 0), (3, None, "fr", "s", 0)]
     model = langid.learn(docs(rows), word_share=0.05)
-    es, fr = model.score("shared")
+    es, fr = model.score("shared").tolist()
     assert abs((fr - es) - math.log(51.5 / 49.5)) < 1e-9
