@@ -210,7 +210,7 @@ def learn(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = G
     both = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams)
     totals = {(r.lang, r["size"]): r.n for r in both.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({a for a, _ in totals})
-    limits = [(a, s, langs.index(a), n * (gram_share if s else word_share)) for (a, s), n in totals.items()]
+    limits = [(a, s, langs.index(a), float(n * (gram_share if s else word_share))) for (a, s), n in totals.items()]
     limits = spark.createDataFrame(limits, "lang string, size int, at int, least double")  # a row for each language and length
     known = both.join(F.broadcast(limits), ["lang", "size"]).groupBy("size", "item").agg(F.collect_list(F.struct("at", "n")).alias("found"), F.max(F.col("n") >= F.col("least")).alias("known"))
     table = known.where("known").select("size", F.xxhash64("item").alias("hash"), "found").toArrow()
