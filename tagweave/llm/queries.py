@@ -19,10 +19,8 @@ def tokenizer_path() -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    # by ids at every size: labels grow with the documents, so they are never broadcast
-    labelled = docs.where(crc_mod("doc_id", 4) != 2).join(labels.hint("merge"), "doc_id")
-    out = toxicity.score(docs, toxicity.learn(docs, labelled))
+    labels = read(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    out = toxicity.score(docs, toxicity.learn(docs, labels))
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.array_join("toxic_words", ",").alias("toxic_words"))
 

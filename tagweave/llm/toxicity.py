@@ -2,22 +2,28 @@
 
 A word that may be disguised becomes a lattice: a letter stands for itself, leetspeak signs for the
 letters they imitate, signs between letters may be noise, and a repeated letter may have been typed
-once. Viterbi search finds the likeliest reading under a character language model of order four that is
-counted over all documents. Letters set apart by spaces are joined first. Word weights are learned from
-labelled documents and applied to the restored words.
+once. A run of short fragments is one lattice, in which a blank is noise or the border of two words.
+Viterbi search finds the likeliest reading under a character language model of order four that is
+counted over all documents. A token that is written as a number is read as one. Word weights are learned
+from labelled documents and applied to the restored words.
 
 Words count in squeezed form, repeated letters written once, so that a word typed with more letters is
-the same word, and so do the stems that they go on from, for inflected words. Learning has these steps: character 4-grams of all texts; document counts of the restored words of all
-texts labelled toxic; of those in ``LEAST`` documents and ``SHARE`` of them at least, document counts in all
-other labelled texts; of the words that toxic texts have more by over ``Z_LEAST`` standard errors the most telling ``CANDIDATES``; of these again the ``MODEL_WORDS`` (the size of the
-model) that still differ so when each pair of neighbours counts once, which copies of a document don't
-multiply; a logistic regression on their presence
-over about ``FIT_ROWS`` labelled rows, drawn by a hash of the id where there are more. The character model then learns
-the telling words anew, since they are what is disguised.
+the same word, and so do the stems that they go on from, for inflected words.
+
+Learning has these steps: character 4-grams of all texts; a sample of the labelled rows, about half of
+``FIT_ROWS`` for each label at most, drawn by a hash of the id where there are more (this bound alone
+limits the classifier, and it bounds what is broadcast and collected); in it, document counts of the words
+of toxic texts and of those in ``LEAST`` of them the counts in other texts. A word is telling if the lower
+confidence bound of the ratio of its two rates is over ``RATIO``, by documents and also when each pair
+of neighbours counts once, which copies of a document don't multiply. A logistic regression on all
+telling words follows, its rows weighted back to the share of their label. The character model then learns the telling words anew,
+since they are what is disguised.
 
 Defined results: null text counts as empty; a text without telling words, empty ones too, gets the base
-score; rows whose label is null teach nothing; without both labels every score is 0; repeated rows
-repeat; a token of any length is decoded whole in time linear in its length.
+score; labels that are null or not 0 or 1 teach nothing, labels of absent documents neither; without both
+labels, and for an empty table of documents to learn from, every score is 0; repeated rows
+repeat, and repeated labels count again; other columns are ignored; a token or run of any length is
+decoded whole in time linear in its length.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,10 +44,10 @@ from pyspark.sql import functions as F
 from tagweave.llm import common
 
 A = 27  # word end and the letters a-z
-Z_LEAST, CANDIDATES, MODEL_WORDS, FIT_ROWS = 6.0, 768, 256, 40_000
+FIT_ROWS = 40_000
 STEMS = (4, 8)  # lengths of the stems that are counted beside words
-#: A telling word is in so many toxic documents and this share of them at least; the share bounds how many are broadcast.
-LEAST, SHARE = 6, 1e-3
+#: A telling word is in so many toxic documents at least, and has this ratio of rates, so many standard errors below the one found.
+LEAST, RATIO, ERRORS = 6, 2.0, 2.0
 HELD, KNOWN = 200_000, 400_000
 
 # Signs of leetspeak and the letters that they stand for.
@@ -53,7 +60,16 @@ LEET_COST, LOST_SIGN, LOST_DIGIT, EDGE_SIGN, LEADING, NOISE, WILD_COST = 1.0, 6.
 #: A repeated letter of a run of two, of a longer run: read as typed once more, or dropped.
 TWICE_KEPT, TWICE_LOST, LONG_KEPT, LONG_LOST = 0.0, 5.0, 3.0, 0.3
 
+#: Cost of a blank as noise, between single signs and between other fragments; a word border costs nothing of its own.
+SPACED, BROKEN = 0.5, 4.0
+BORDER = 100
+
+# a run: fragments of up to four signs that aren't numbers of two digits or more
+_FRAGMENT = r"(?![0-9]{2,}(?!\S))\S{1,4}"
+_RUN = re.compile(rf"(?<!\S){_FRAGMENT}(?:[^\S\n]+{_FRAGMENT})+(?!\S)")
 _SPACED = re.compile(r"(?<!\S)(?:\S[^\S\n]+){2,}\S(?!\S)")
+_NUMBER = re.compile(r"[$€£+(#~-]?[0-9]+(?:[.,:/-][0-9]+)*[)+%!]?")
+_LETTERS = re.compile(r"[^a-z\n]+")
 _PARTS = re.compile(r"[a-z0-9@$!|+(€£¡¢*]+")
 
 
@@ -116,8 +132,8 @@ def language_model(counts: np.ndarray, strength: float = 4.0) -> np.ndarray:
 
 
 def lattice(token: str) -> list[list[tuple[int, float]]]:
-    """Readings of each sign of a folded lower-case token: (letter 1-26, 0 for none or -letter for none
-    where that letter stands before, cost)."""
+    """Readings of each sign of a folded lower-case token or of a run with single blanks: (letter 1-26, 0 for
+    none, -letter for none where that letter stands before or ``BORDER`` for the end of a word, cost)."""
     out = []
     solid = [k for k, c in enumerate(token) if c.isascii() and c.isalnum()]
     first, last = (solid[0], solid[-1]) if solid else (0, -1)
@@ -139,19 +155,24 @@ def lattice(token: str) -> list[list[tuple[int, float]]]:
         elif c == WILD:
             single = run == 1 and not after
             out.append([*([(ord(x) - 96, WILD_COST) for x in "aeiou"] if single else []), (0, LEADING if single else NOISE)])
+        elif c == " ":
+            lone = (k < 2 or token[k - 2] == " ") and (k + 2 >= len(token) or token[k + 2] == " ")
+            out.append([(0, SPACED if lone else BROKEN), (BORDER, 0.0)])
         else:
             out.append([(0, NOISE)])
     return out
 
 
 def viterbi(token: str, lm: list[float]) -> str:
-    """The likeliest word behind a token, of letters a-z."""
+    """The likeliest word behind a token, of letters a-z; the likeliest words behind a run."""
     states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for options in lattice(token):
         new: dict[int, tuple[float, tuple | None]] = {}
         for ctx, (cost, node) in states.items():
             for sign, extra in options:
-                if sign > 0:
+                if sign == BORDER:
+                    to, total, made = 0, cost + extra - (lm[ctx * A] if ctx else 0.0), (node, BORDER) if ctx else node
+                elif sign > 0:
                     to, total, made = ctx % 729 * A + sign, cost + extra - lm[ctx * A + sign], (node, sign)
                 elif sign == 0 or ctx % A == -sign:
                     to, total, made = ctx, cost + extra, node
@@ -163,7 +184,7 @@ def viterbi(token: str, lm: list[float]) -> str:
     ctx = min(states, key=lambda s: states[s][0] - lm[s * A])
     node, letters = states[ctx][1], []
     while node:
-        letters.append(chr(96 + node[1]))
+        letters.append(" " if node[1] == BORDER else chr(96 + node[1]))
         node = node[0]
     return "".join(reversed(letters))
 
@@ -182,7 +203,7 @@ def restore(token: str, lm: list[float]) -> list[str]:
     core = token.translate(FOLD).strip(_EDGES)
     if core.isascii() and core.isalpha():
         return [viterbi(core, lm) if _LONG_RUN.search(core) else core]
-    if not any("a" <= c <= "z" for c in core):
+    if not any("a" <= c <= "z" for c in core) and (_NUMBER.fullmatch(core) or not any(c in LEET and not c.isdigit() for c in core)):
         return []
     parts = _PARTS.findall(core)
     long = [p for p in parts if len(p) > 1] if len(parts) > 1 else []
@@ -201,17 +222,19 @@ def squeezed(token: str, lm: list[float]) -> list[str]:
     return list(dict.fromkeys(map(squeeze, restore(token, lm))))
 
 
-def tokens_of(text: str) -> list[str]:
-    """Lower-case tokens; letters set apart by blanks are one token more."""
-    low = text.lower()
-    spaced = ["".join(m.split()) for m in _SPACED.findall(low)]
-    return low.split() + spaced
+def restore_run(run: str, lm: list[float]) -> list[str]:
+    """The words behind a run of fragments."""
+    return viterbi(" ".join(run.translate(FOLD).split()), lm).split()
 
 
 def restored_text(text: str, lm: list[float]) -> str:
-    """The text with every disguised token replaced by its likeliest reading."""
-    joined = _SPACED.sub(lambda m: "".join(m[0].split()), text.lower())
-    return re.sub(r"\S+", lambda m: m[0] if not (found := restore(m[0], lm)) or found[0] == m[0] else found[0], joined)
+    """The text with every disguised token or run replaced by its likeliest reading."""
+
+    def run(m: re.Match) -> str:
+        words, plain = restore_run(m[0], lm), [t.translate(FOLD).strip(_EDGES + "!(") for t in m[0].split()]
+        return m[0] if list(map(squeeze, words)) == list(map(squeeze, plain)) or len(words) >= len(plain) else " ".join(words)
+
+    return re.sub(r"\S+", lambda m: m[0] if not (found := restore(m[0], lm)) or found[0] == m[0] else found[0], _RUN.sub(run, text.lower()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -239,6 +262,11 @@ class _Words(dict):
         self.starts = {f[: STEMS[0]].rstrip("-") for f in self.wanted or ()}
         masks = sorted({self._mask(f) for f in self.wanted or ()}, key=int.bit_count)
         self.masks = [m for k, m in enumerate(masks) if not any(o & ~m == 0 for o in masks[:k])] if len(masks) <= 4096 else None
+        self.inside = ahocorasick.Automaton()
+        for f in {f.rstrip("-") for f in self.wanted or ()}:
+            self.inside.add_word(f, f)
+        if len(self.inside):
+            self.inside.make_automaton()
 
     @staticmethod
     def _mask(word: str) -> int:
@@ -276,6 +304,41 @@ class _Words(dict):
             self[token] = found
         return found
 
+    def of_runs(self, low: str) -> list[tuple[str, list[str]]]:
+        """Runs of a lower-case text with what is found behind them and not behind one of their fragments."""
+        if self.wanted is None:  # all words: only of runs that are surely one word or several set apart
+            runs = _SPACED.findall(low)
+        elif not len(self.inside):
+            return []
+        else:
+            runs = _RUN.findall(low)
+            # without signs to read, a wanted word stands in the run's letters as they are
+            if runs and not self._inside("\n".join(runs)):
+                runs = [r for r in runs if self._signs(r)]
+        out = []
+        for run in runs:
+            if self.wanted is None or (self._possible(run) if self._signs(run) else self._inside(run)):
+                alone = {squeeze(t.strip(_EDGES)) for t in run.split()}
+                words = [w for w in map(squeeze, restore_run(run, self.lm)) if w not in alone]
+                found = [f for w in words for f in features(w)] if self.wanted is None else self._found(words) if words else None
+                if found:
+                    out.append((run, found))
+        return out
+
+    def _inside(self, run: str) -> bool:
+        joined = _LETTERS.sub("", run if run.isascii() else run.translate(FOLD))
+        return next(self.inside.iter(squeeze(joined)), None) is not None
+
+    @staticmethod
+    def _signs(run: str) -> bool:
+        """Whether signs that may stand for letters are in it, beside those that begin or end a fragment as in prose."""
+        return any(c in LEET or c == WILD for t in run.split() for c in t.strip(_EDGES + "!("))
+
+    def of_text(self, text: str) -> list[list[str]]:
+        """What is found behind each different token and each run."""
+        low = text.lower()
+        return [*filter(None, map(self.__getitem__, set(low.split()))), *(found for _, found in self.of_runs(low))]
+
 
 class _WordCounts:
     """Partial document counts of features, of all or of the wanted ones."""
@@ -293,7 +356,7 @@ class _WordCounts:
             if len(words) > KNOWN:
                 words.clear()
             for text in common.texts(batch):
-                found = of_document(filter(None, map(words.__getitem__, set(tokens_of(text)))))
+                found = of_document(words.of_text(text))
                 counts.update(found if wanted is None else (f for f in found if f in wanted))
             if len(counts) > HELD:
                 yield common.table({"word": list(counts), "n": list(counts.values())}, self.SCHEMA)
@@ -302,7 +365,7 @@ class _WordCounts:
 
 
 class _Contexts:
-    """Candidate words with a hash of the tokens around them, by label."""
+    """Candidate words with a hash of the tokens around them, by label; copies of a document add nothing."""
 
     SCHEMA = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("around", pa.int64())])
 
@@ -311,7 +374,7 @@ class _Contexts:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(_as_list(self.lm.value), self.wanted)
-        rows: set = set()  # copies of a document add nothing
+        rows: set = set()
 
         def flush():
             out = dict(zip(("word", "toxic", "around"), zip(*rows), strict=True)) if rows else {"word": [], "toxic": [], "around": []}
@@ -322,11 +385,14 @@ class _Contexts:
             if len(words) > KNOWN:
                 words.clear()
             for label, text in zip(batch.column("toxic").to_pylist(), common.texts(batch), strict=True):
-                tokens = tokens_of(text)
+                low = text.lower()
+                tokens = low.split()
                 for at, own in enumerate(map(words.__getitem__, tokens)):
                     if own:
                         around = xxhash.xxh64_intdigest(" ".join((*tokens[max(0, at - 1) : at], "\n", *tokens[at + 1 : at + 2]))) >> 1
                         rows.update((f, label, around) for f in own)
+                for run, own in words.of_runs(low):
+                    rows.update((f, label, xxhash.xxh64_intdigest(run) >> 1) for f in own)
             if len(rows) > HELD:
                 yield flush()
         yield flush()
@@ -334,7 +400,7 @@ class _Contexts:
 
 def hits(text: str, words: _Words, wanted: dict[str, int]) -> list[int]:
     """The model's words in a text, by number."""
-    found = list(filter(None, map(words.__getitem__, set(tokens_of(text)))))
+    found = words.of_text(text)
     return sorted({wanted[f] for f in of_document(found) if f in wanted}) if found else []
 
 
@@ -387,58 +453,61 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[k] for k in found), -40, 40))))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by Newton steps; the bias is not penalised."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression on weighted rows by Newton steps; the bias is not penalised."""
     x1 = np.c_[x, np.ones(len(x))]
     w, penalty = np.zeros(x1.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        step = np.linalg.solve(x1.T @ (x1 * (p * (1 - p) + 1e-9)[:, None]) + np.diag(penalty), x1.T @ (y - p) - penalty * w)
+        step = np.linalg.solve(x1.T @ (x1 * (weight * (p * (1 - p) + 1e-9))[:, None]) + np.diag(penalty), x1.T @ (weight * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], w[-1]
 
 
-def learn(docs: DataFrame, labelled: DataFrame, model_words: int = MODEL_WORDS, fit_rows: int = FIT_ROWS, z_least: float = Z_LEAST) -> Model:
-    """``docs``: every text, for the character model; ``labelled``: doc_id, text, toxic of the rows to learn from."""
+def is_telling(m0: float, m1: float, n0: int, n1: int) -> bool:
+    """Whether a word in ``m1`` of ``n1`` toxic and ``m0`` of ``n0`` other documents tells toxic ones."""
+    ratio = np.log((m1 + 0.5) / (n1 + 1)) - np.log((m0 + 0.5) / (n0 + 1))
+    return m1 >= LEAST and ratio - ERRORS * np.sqrt(1 / (m1 + 0.5) + 1 / (m0 + 0.5)) > np.log(RATIO)
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """``docs``: every text, for the character model; ``labels``: doc_id, toxic of the rows to learn from."""
     spark = docs.sparkSession
     counts = np.zeros(A**4, np.int64)
     for r in docs.select("text").mapInArrow(_CharCounts(), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r.gram] = r.n
     lm = spark.sparkContext.broadcast(language_model(counts).astype(np.float32).tobytes())
-    labelled = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    labelled = common.materialise(labelled, "labelled")  # its text is read twice
-    n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    total = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rate = {y: min(1.0, fit_rows / 2 / n) for y, n in total.items()}
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, F.lit(1e6 * rate.get(1, 0.0))).otherwise(F.lit(1e6 * rate.get(0, 0.0)))
+    # about fit_rows rows of two numbers, whatever the size of the tables
+    fit = common.materialise(docs.select("doc_id", "text").join(F.broadcast(labels.where(drawn)), "doc_id").select("text", "toxic"), "labelled")
+    n = {r.toxic: r.n for r in fit.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return Model([], np.zeros(0), -np.inf, counts)
+
     def counted(label: int, wanted=None) -> DataFrame:
-        rows = labelled.where(F.col("toxic") == label).select("text").mapInArrow(_WordCounts(lm, wanted), "word string, n bigint")
+        rows = fit.where(F.col("toxic") == label).select("text").mapInArrow(_WordCounts(lm, wanted), "word string, n bigint")
         return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
-    in_toxic = {r.word: r.n for r in counted(1).where(F.col("n") >= max(LEAST, SHARE * n1)).collect()}
+    in_toxic = {r.word: r.n for r in counted(1).where(F.col("n") >= LEAST).collect()}
     in_clean = {r.word: r.n for r in counted(0, spark.sparkContext.broadcast(dict.fromkeys(in_toxic))).collect()} if in_toxic else {}
-
-    def z(m0: int, m1: int) -> float:
-        p = (m0 + m1) / (n0 + n1)
-        return (m1 / n1 - m0 / n0) / np.sqrt(p * (1 - p) * (1 / n0 + 1 / n1)) if 0 < p < 1 else 0.0
-
-    ranked = sorted((-z(in_clean.get(w, 0), n), w) for w, n in in_toxic.items())
-    first = [w for s, w in ranked[:CANDIDATES] if -s > z_least]
-    wanted = {w: k for k, w in enumerate(first)}
-    contexts = labelled.select("text", "toxic").mapInArrow(_Contexts(lm, wanted), "word string, toxic int, around bigint") if first else None
+    first = sorted(w for w, m in in_toxic.items() if is_telling(in_clean.get(w, 0), m, n0, n1))
+    contexts = fit.mapInArrow(_Contexts(lm, {w: k for k, w in enumerate(first)}), "word string, toxic int, around bigint") if first else None
     around = {(r.word, r.toxic): r.n for r in contexts.groupBy("word", "toxic").agg(F.countDistinct("around").alias("n")).collect()} if first else {}
-    best = [w for w in first if z(min(in_clean.get(w, 0), around.get((w.rstrip("2"), 0), 0)), min(in_toxic[w], around.get((w.rstrip("2"), 1), 0))) > z_least]
-    telling = sorted(best[:model_words])
+    once = lambda w, y, m: min(m, around.get((w.rstrip("2"), y), 0))
+    telling = [w for w in first if is_telling(once(w, 0, in_clean.get(w, 0)), once(w, 1, in_toxic[w]), n0, n1)]
     model = Model(telling, np.zeros(len(telling)), 0.0, counts)
-    fit = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * fit_rows / (n0 + n1))
     lm = spark.sparkContext.broadcast(model.lm.tobytes())
-    rows = fit.select("text", "toxic").mapInArrow(_Features(lm, {w: k for k, w in enumerate(telling)}), "toxic int, hits array<int>").collect()
-    x, y = np.zeros((len(rows), len(telling))), np.zeros(len(rows))
+    rows = fit.mapInArrow(_Features(lm, {w: k for k, w in enumerate(telling)}), "toxic int, hits array<int>").groupBy("toxic", "hits").agg(F.count("*").alias("n")).collect()
+    x, y, weight = np.zeros((len(rows), len(telling)), np.float32), np.zeros(len(rows)), np.zeros(len(rows))
     for k, r in enumerate(rows):
-        x[k, r.hits], y[k] = 1, r.toxic
-    model.weights, model.bias = (lambda w, b: (w.tolist(), float(b)))(*fit_logistic(x, y))
+        x[k, r.hits], y[k], weight[k] = 1, r.toxic, r.n / rate[r.toxic]
+    model.weights, model.bias = (lambda w, b: (w.tolist(), float(b)))(*fit_logistic(x, y, weight))
     return model
 
 

@@ -29,7 +29,7 @@ def labelled(seed, n, disguise=None):
 def model(spark):
     rows, labels = labelled(1, 400)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    return tox.learn(df, df.join(spark.createDataFrame(labels, "doc_id bigint, toxic int"), "doc_id"))
+    return tox.learn(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
 
 
 def test_char_counts_equal_brute_force():
@@ -46,26 +46,32 @@ def test_char_counts_equal_brute_force():
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(2)
     lm = np.log(rng.dirichlet(np.ones(27), 27**3)).ravel().tolist()
-    for token in ["a1b", "aa$b", "o00h", "a*c!", "x-y", "1111"]:
+    for token in ["a1b", "aa$b", "o00h", "a*c!", "x-y", "1111", "a b", "ab c d"]:
         best = None
         for path in itertools.product(*tox.lattice(token)):
             ctx, cost = 0, 0.0
             for sign, extra in path:
                 cost += extra
-                if sign > 0:
+                if sign == tox.BORDER:
+                    cost -= lm[ctx * 27] if ctx else 0
+                    ctx = 0
+                elif sign > 0:
                     cost -= lm[ctx * 27 + sign]
                     ctx = ctx % 729 * 27 + sign
                 elif sign < 0 and ctx % 27 != -sign:
                     cost = np.inf
             cost -= lm[ctx * 27]
             if best is None or cost < best[0]:
-                best = (cost, "".join(chr(96 + s) for s, _ in path if s > 0))
-        assert tox.viterbi(token, lm) == best[1]
+                best = (cost, " ".join("".join(" " if s == tox.BORDER else chr(96 + s) for s, _ in path if s > 0).split()))
+        assert " ".join(tox.viterbi(token, lm).split()) == best[1]
 
 
 DISGUISES = {
     "leet": lambda w, rng: w.translate(str.maketrans("oeaszl", "034521")),
     "spaced": lambda w, rng: " ".join(w),
+    "broken": lambda w, rng: w[: (k := rng.randint(2, len(w) - 2))] + " " + w[k:],
+    "in threes": lambda w, rng: " ".join(w[k : k + 3] for k in range(0, len(w), 3)),
+    "joined to an article": lambda w, rng: "a " + " ".join(w),
     "dotted": lambda w, rng: ".".join(w),
     "repeated": lambda w, rng: w[0] + w[1] * rng.randint(3, 6) + w[2:],
     "shouted": lambda w, rng: w.upper() + "!!!",
@@ -79,6 +85,32 @@ def test_held_out_disguises(model, docs, kind):
     assert sum(got[k] == bool(y) for k, y in labels) >= 116
 
 
+def test_words_set_apart_keep_their_borders(model):
+    lm = model.lm.astype(float).tolist()
+    assert tox.restore_run("a s t o n e n e a r", lm) == ["a", "stone", "near"]
+    assert "fozzle" in tox.restore_run("the f o z z l e", lm)
+
+
+def test_signs_alone_and_numbers(model):
+    lm = model.lm.astype(float).tolist()
+    assert tox.restore("@$$", lm) and tox.restore("4$$", lm)
+    assert not any(tox.restore(t, lm) for t in ("455", "$100", "12:30", "50%", "2019-05-01", "!", "..."))
+
+
+def test_telling_needs_a_ratio_whatever_the_size():
+    assert tox.is_telling(0, 20, 1000, 1000) and not tox.is_telling(0, 10, 1000, 1000) and tox.is_telling(0, 6, 1000, 100) and not tox.is_telling(0, 5, 1000, 10)
+    assert not tox.is_telling(50_000, 60_000, 10**6, 10**6)
+    assert tox.is_telling(50_000, 150_000, 10**6, 10**6)
+
+
+def test_sample_is_weighted_back(docs, spark):
+    rows, labels = labelled(11, 600)
+    df = docs(rows)
+    some = tox.learn(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"), fit_rows=240)
+    score = {r.doc_id: r.score for r in tox.score(df, some).collect()}
+    assert abs(sum(score.values()) - sum(y for _, y in labels)) < 60
+
+
 def test_edges(model, docs):
     rows = [(1, None), (2, ""), (3, "fozzle" * 20000), (4, "grumbo"), (4, "grumbo"), (5, "日本語 123")]
     got = tox.score(docs(rows), model, with_text=True).collect()
@@ -92,10 +124,10 @@ def test_copies_of_a_document_teach_no_words(docs, spark):
     extra = [(1000 + k, "unusual phrase of copied page") for k in range(30)]
     df = spark.createDataFrame([*rows, *extra], "doc_id bigint, text string")
     y = spark.createDataFrame([*labels, *((d, 1) for d, _ in extra)], "doc_id bigint, toxic int")
-    assert not {"unusual", "phrase", "copied"} & set(tox.learn(df, df.join(y, "doc_id")).words)
+    assert not {"unusual", "phrase", "copied"} & set(tox.learn(df, y).words)
 
 
 def test_one_label_only(docs, spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     y = spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int")
-    assert [r.score for r in tox.score(df, tox.learn(df, df.join(y, "doc_id"))).collect()] == [0.0]
+    assert [r.score for r in tox.score(df, tox.learn(df, y)).collect()] == [0.0]
