@@ -10,6 +10,8 @@ invert them.
   letter by letter within a-z or A-Z, by a keyed hash of the other. Cards: all digits but the last,
   which is then the Luhn digit anew. Telephone numbers keep their country code, mail addresses their
   domain; signs stay in place.
+* Social security numbers: the number's place among the 898 x 99 x 9999 valid ones, as two digits of the
+  bases 898 x 99 and 9999.
 * IPv4 addresses: two halves of 16 bits.
 * Dates: the day's number in its 400 years (146,097 = 189 x 773 days in the calendar) as two digits
   of these bases.
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+AREAS = 898
 KINDS = ("card", "date", "ip", "mail", "phone", "ssn")
 
 _NUMBER = r"(?<![A-Za-z0-9_])(?<![0-9][.-])"
@@ -162,6 +165,18 @@ def _luhn_valid(digits: Column) -> Column:
     return (_check_digit(body) == F.substr(digits, F.length(digits), F.lit(1))) & ~digits.rlike("^0+$")
 
 
+def _ssn_place(digits: Column) -> Column:
+    """The place of a valid number among the valid ones: areas 001-899 without 666, groups 01-99, serials 0001-9999."""
+    area, group, serial = (F.substring(digits, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    return ((area - 1 - F.when(area > 666, 1).otherwise(0)) * 99 + group - 1) * 9999 + serial - 1
+
+
+def _ssn_at(place: Column) -> Column:
+    area = F.floor(place / (99 * 9999)).cast("long") + 1
+    part = lambda n, many: F.lpad(n.cast("string"), many, "0")
+    return F.concat(part(area + F.when(area >= 666, 1).otherwise(0), 3), part(F.pmod(F.floor(place / 9999).cast("long"), F.lit(99)) + 1, 2), part(F.pmod(place, F.lit(9999)) + 1, 4))
+
+
 def _value(groups: Column, i: Column, j: Column) -> Column:
     """struct(rank, less, j, x, kind) of the groups i to j of a run as one value; null if they aren't one."""
 
@@ -214,7 +229,7 @@ def pseudonym(x: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     digits = _digits(x)
     body = _let(F.substr(digits, F.lit(1), F.length(digits) - 1), lambda d: permute_text(d, key, "card", inverse))
     card = _into(x, _let(body, lambda b: F.concat(b, _check_digit(b))))
-    ssn = _into(x, _let(digits, lambda d: permute_text(d, key, "ssn", inverse)))
+    ssn = _into(x, _let(permute_number(_ssn_place(digits), AREAS * 99, 9999, key, "ssn", inverse), _ssn_at))
     code = F.regexp_extract(x, r"^(\+[0-9]{1,3}(?![0-9])[ .-]?)", 1)
     local = F.substr(x, F.length(code) + 1)
     phone = _let(local, lambda rest: F.concat(code, _into(rest, permute_text(_digits(rest), key, "phone", inverse))))
