@@ -125,26 +125,43 @@ class Model:
         starts = np.r_[0, np.cumsum([len(c) for _, _, c in rows], dtype=np.int64)]
         return cls(langs, totals, np.asarray([s for s, _, _ in rows], np.int64), np.asarray([h for _, h, _ in rows], np.uint64), starts, np.asarray([a for a, _ in pairs], np.int64), np.asarray([n for _, n in pairs], np.int64))
 
-    def rows(self, size: int, items: list[str]) -> list[np.ndarray]:
-        """Log frequencies by language of those of the items that are known."""
+    def _find(self, size: int, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the items are known, rows of log frequencies by language of those)."""
         hashes, begin, at, value = self.tables[size]
-        wanted = np.asarray([hash_of(i) for i in items], np.uint64)
+        wanted = np.fromiter(map(hash_of, items), np.uint64, len(items))
         place = np.searchsorted(hashes, wanted)
-        out = []
-        for k, h in zip(place.tolist(), wanted.tolist(), strict=True):
-            if k < len(hashes) and int(hashes[k]) == h:
-                row = self.none[size].copy()
-                row[at[begin[k] : begin[k + 1]]] = value[begin[k] : begin[k + 1]]
-                out.append(row)
+        known = np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == wanted) if len(hashes) else np.zeros(0, np.int64)
+        low, many = begin[place[known]], begin[place[known] + 1] - begin[place[known]]
+        flat = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        rows = np.tile(self.none[size], (len(known), 1))
+        rows[np.repeat(np.arange(len(known)), many), at[flat]] = value[flat]
+        return known, rows
+
+    def rows(self, size: int, items: list[str]) -> np.ndarray:
+        """Log frequencies by language of those of the items that are known."""
+        return self._find(size, items)[1]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its log frequencies, or the mean of those of its longest known n-grams, or zeros."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not self.tables or not words:
+            return out
+        known, rows = self._find(0, words)
+        out[known] = rows
+        left = np.delete(np.arange(len(words)), known)
+        for size in range(len(self.tables) - 1, 0, -1):
+            grams = [grams_of(words[k], size) for k in left.tolist()]
+            owner = np.repeat(np.arange(len(left)), list(map(len, grams)))
+            known, rows = self._find(size, [g for own in grams for g in own])
+            count = np.bincount(owner[known], minlength=len(left))
+            for lang in range(len(self.langs)):
+                total = np.bincount(owner[known], rows[:, lang], len(left))
+                out[left[count > 0], lang] = total[count > 0] / count[count > 0]
+            left = left[count == 0]
         return out
 
     def score(self, word: str) -> np.ndarray:
-        if self.tables and (known := self.rows(0, [word])):
-            return known[0]
-        for size in range(len(self.tables) - 1, 0, -1):
-            if (grams := grams_of(word, size)) and (rows := self.rows(size, grams)):
-                return sum(rows) / len(rows)
-        return np.zeros(len(self.langs))
+        return self.scores([word])[0]
 
 
 class _Rows(dict):
@@ -154,13 +171,13 @@ class _Rows(dict):
         super().__init__()
         self.model, self.scores = model, np.zeros((1024, len(model.langs)))
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at >= len(self.scores):
+    def add(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        start, end = len(self), len(self) + len(new)
+        while end > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[at] = self.model.score(word)
-        self[word] = at
-        return at
+        self.scores[start:end] = self.model.scores(new)
+        self.update(zip(new, range(start, end), strict=True))
 
 
 class _Predict:
@@ -188,6 +205,7 @@ def predict_texts(texts: list[str], model: Model, rows: _Rows | None = None) ->
     split = [words_of(t) for t in texts]
     own = [k for k, w in enumerate(split) if w]
     if own:
+        rows.add({w for k in own for w in split[k]})
         at = np.asarray([rows[w] for k in own for w in split[k]])
         sizes = np.asarray([len(split[k]) for k in own])
         sums = np.add.reduceat(rows.scores[at], np.cumsum(sizes) - sizes)
