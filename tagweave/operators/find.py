@@ -21,7 +21,7 @@ def all_elements(nodes: DataFrame) -> DataFrame:
 def by_id(nodes: DataFrame, value: str) -> DataFrame:
     """Of each page the first element with that id."""
     found = _run(nodes, "id", value)
-    return found.groupBy("page_id").agg(F.min_by(F.struct(*found.columns), "pre").alias("r")).select("r.*")
+    return found.groupBy("doc").agg(F.min_by(F.struct(*found.columns), "pre").alias("r")).select("r.*")
 
 
 def by_tag(nodes: DataFrame, tag: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Operators on lists of elements: rows of the relation of nodes, ordered by ``pre`` within a page."""
+"""Operators on lists of elements: rows of the relation of nodes, ordered by ``pre`` within a page (``doc``)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from tagweave.functions import strings as N
 from tagweave.operators import select as R
 from tagweave.operators import text as RT
 
-_AT = ["page_id", "pre"]
+_AT = ["doc", "pre"]
 
 
 def _elements(nodes: DataFrame) -> DataFrame:
@@ -17,11 +17,11 @@ def _elements(nodes: DataFrame) -> DataFrame:
 
 
 def _of(found: DataFrame) -> DataFrame:
-    return found.select("page_id", *(F.col(c).alias(f"o_{c}") for c in ("pre", "end", "parent", "eidx")))
+    return found.select("doc", *(F.col(c).alias(f"o_{c}") for c in ("pre", "end", "parent", "eidx")))
 
 
 def _related(nodes: DataFrame, found: DataFrame, on: Column, css: str | None = None, distinct: bool = True) -> DataFrame:
-    out = _elements(nodes).join(_of(found), "page_id").where(on)
+    out = _elements(nodes).join(_of(found), "doc").where(on)
     out = out.dropDuplicates(_AT) if distinct else out
     out = out.drop("o_pre", "o_end", "o_parent", "o_eidx") if distinct else out.drop("o_end", "o_parent", "o_eidx")
     return out.join(R.select(nodes, css).select(*_AT), _AT, "left_semi") if css else out
@@ -64,9 +64,9 @@ def children(nodes: DataFrame, found: DataFrame) -> DataFrame:
 def closest(nodes: DataFrame, found: DataFrame, css: str) -> DataFrame:
     """Of each element itself or its nearest ancestor that matches; o_pre is the element."""
     match = R.select(nodes, css)
-    pairs = match.join(_of(found), "page_id").where((F.col("pre") <= F.col("o_pre")) & (F.col("o_pre") < F.col("end")))
+    pairs = match.join(_of(found), "doc").where((F.col("pre") <= F.col("o_pre")) & (F.col("o_pre") < F.col("end")))
     names = match.columns
-    return pairs.groupBy("page_id", "o_pre").agg(F.max_by(F.struct(*names), "pre").alias("r")).select("o_pre", "r.*")
+    return pairs.groupBy("doc", "o_pre").agg(F.max_by(F.struct(*names), "pre").alias("r")).select("o_pre", "r.*")
 
 
 def matching(nodes: DataFrame, found: DataFrame, css: str) -> DataFrame:
@@ -79,27 +79,27 @@ def not_matching(nodes: DataFrame, found: DataFrame, css: str) -> DataFrame:
 
 def eq(found: DataFrame, index: int) -> DataFrame:
     """Of each page's list the element at an index from 0."""
-    return found.withColumn("__n", F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))).where(F.col("__n") == index + 1).drop("__n")
+    return found.withColumn("__n", F.row_number().over(Window.partitionBy("doc").orderBy("pre"))).where(F.col("__n") == index + 1).drop("__n")
 
 
 def first(found: DataFrame) -> DataFrame:
-    return found.groupBy("page_id").agg(F.min_by(F.struct(*found.columns), "pre").alias("r")).select("r.*")
+    return found.groupBy("doc").agg(F.min_by(F.struct(*found.columns), "pre").alias("r")).select("r.*")
 
 
 def last(found: DataFrame) -> DataFrame:
-    return found.groupBy("page_id").agg(F.max_by(F.struct(*found.columns), "pre").alias("r")).select("r.*")
+    return found.groupBy("doc").agg(F.max_by(F.struct(*found.columns), "pre").alias("r")).select("r.*")
 
 
 def each_attr(found: DataFrame, name: str) -> DataFrame:
     """(page_id, values): the attribute of the elements that have it, in order."""
-    have = found.where(N.has_attr(name)).select("page_id", F.struct("pre", N.attr(name).alias("v")).alias("x"))
-    return have.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("values"))
+    have = found.where(N.has_attr(name)).select("doc", "page_id", F.struct("pre", N.attr(name).alias("v")).alias("x"))
+    return have.groupBy("doc", "page_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("values")).drop("doc")
 
 
 def each_text(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(page_id, values): the text of the elements that have any, in order."""
-    t = RT.texts(nodes, found).where("text <> ''").select("page_id", F.struct("pre", "text").alias("x"))
-    return t.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("values"))
+    t = RT.with_text(nodes, found, name="__text").where("__text <> ''").select("doc", "page_id", F.struct("pre", F.col("__text").alias("text")).alias("x"))
+    return t.groupBy("doc", "page_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]).alias("values")).drop("doc")
 
 
 def joined_text(nodes: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
-"""From nodes to nodes, of any kind: equality joins on page, parent and place among siblings."""
+"""From nodes to nodes, of any kind: equality joins on page (``doc``), parent and place among siblings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.operators import select as R
+
+from tagweave.operators import select as R
+
 
 def _join(nodes: DataFrame, found: DataFrame, on) -> DataFrame:
-    own = found.select("page_id", *(F.col(c).alias(f"o_{c}") for c in ("pre", "end", "parent", "sib_idx", "eidx"))).dropDuplicates(["page_id", "o_pre"])
-    return nodes.join(own, "page_id").where(on).drop("o_pre", "o_end", "o_parent", "o_sib_idx", "o_eidx").dropDuplicates(["page_id", "pre"])
+    own = found.select("doc", *(F.col(c).alias(f"o_{c}") for c in ("pre", "end", "parent", "sib_idx", "eidx"))).dropDuplicates(["doc", "o_pre"])
+    return nodes.join(own, "doc").where(on).drop("o_pre", "o_end", "o_parent", "o_sib_idx", "o_eidx").dropDuplicates(["doc", "pre"])
 
 
 def child_nodes(nodes: DataFrame, found: DataFrame, *kinds: str) -> DataFrame:
@@ -72,5 +76,4 @@ def roots(nodes: DataFrame) -> DataFrame:
 
 def has_text(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Those with any text that is not blank below them."""
-    written = nodes.where("kind in ('text', 'cdata') and value rlike '[^ \\t\\n\\f\\r]'").select("page_id", F.col("pre").alias("t"))
-    return found.join(written, (found["page_id"] == written["page_id"]) & (F.col("t") >= found["pre"]) & (F.col("t") < found["end"]), "left_semi")
+    return R.with_below(found, nodes.where("kind in ('text', 'cdata')").where(F.col("value").rlike("[^ \\t\\n\\f\\r]")))

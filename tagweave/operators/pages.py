@@ -31,6 +31,20 @@ def select_pages(pages: DataFrame, css: str, mode: str = "html", first: bool = F
     return per_page(pages, work, FOUND)
 
 
+COUNTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("n", pa.int64())])
+
+
+def counts_of(pages: DataFrame, css: str, mode: str = "html") -> DataFrame:
+    """How many elements of each page match, with the page's address; nothing else is kept."""
+    selector.parse(css)
+
+    def work(k, h, u):
+        doc = document(h, u, mode)
+        return [(k, u, len(match.select(doc, css, doc.base_uri)))]
+
+    return per_page(pages, work, COUNTS)
+
+
 STREAMED = pa.schema([("page_id", pa.int64()), ("emit_ord", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("text", pa.string()), ("has_next", pa.bool_())])
 
 
@@ -139,10 +153,10 @@ def metadata(nodes: DataFrame) -> DataFrame:
         aggs.append(F.min_by(F.when(test, F.coalesce(N.attr(attr), F.lit(""))), F.when(test, F.col("pre"))).alias(name))
     scoped = nodes.withColumns({"scope": F.lit(0)}).withColumn("attrs", F.coalesce("attrs", F.array().cast("array<struct<name:string,value:string>>")))
     base = F.max("base_uri").alias("__base")
-    out = scoped.groupBy("page_id").agg(base, *aggs)
+    out = scoped.groupBy("doc", "page_id").agg(base, *aggs)
     for icon in ("favicon", "shortcutIcon"):
         out = out.withColumn(icon, F.when(F.lower(icon).startswith("http"), F.col(icon)).otherwise(F.concat("__base", F.col(icon))))
-    return out.drop("__base").join(titles(nodes).withColumnRenamed("title", "htmlTitle"), "page_id", "left")
+    return out.drop("__base").join(_titles(nodes).select("doc", F.col("title").alias("htmlTitle")), "doc", "left").drop("doc")
 
 
 CONTROLS = pa.schema([("page_id", pa.int64()), ("form", pa.int32()), ("action", pa.string()), ("method", pa.string()), ("name", pa.string()), ("value", pa.string())])
@@ -177,7 +191,11 @@ def form_data(pages: DataFrame) -> DataFrame:
     return per_page(pages, work, CONTROLS)
 
 
+def _titles(nodes: DataFrame) -> DataFrame:
+    found = RT.with_text(nodes, R.select_first(nodes, "head title"))
+    return found.select("doc", "page_id", F.trim(N.normalise_whitespace(F.col("text"))).alias("title"))
+
+
 def titles(nodes: DataFrame) -> DataFrame:
     """(page_id, title) of the pages that have one."""
-    found = RT.with_text(nodes, R.select_first(nodes, "head title"))
-    return found.select("page_id", F.trim(N.normalise_whitespace(F.col("text"))).alias("title"))
+    return _titles(nodes).drop("doc")

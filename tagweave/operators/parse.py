@@ -1,18 +1,22 @@
 """From pages to the relation of nodes.
 
 A node is a row; its subtree is the interval [pre, end) of document order, so every structural question
-is an equality or a range on ``page_id`` and these numbers. Positions among siblings are columns, so that
-positional selectors are plain predicates. Parsing is one narrow pass over the pages.
+is an equality or a range on ``doc`` and these numbers. ``doc`` tells the pages apart: it is never null and
+different for every row of the pages, the number of its partition with its place there. It is the same
+whenever the pages come in the same order (files do; after a shuffle write them or the nodes first).
+Positions among siblings are columns, so that positional selectors are plain predicates. Parsing is one
+narrow pass over the pages.
 
-A null document parses like an empty one; a null ``page_id`` is kept.
+A null document parses like an empty one; ``page_id`` is carried along as it is, null or repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from tagweave.markup import tags as T
@@ -21,7 +25,7 @@ from tagweave.markup.tree import Document, Node, parse, parse_body_fragment, par
 
 _POSITION = pa.struct([("pos", pa.int32()), ("line", pa.int32()), ("col", pa.int32())])
 NODES = pa.schema([
-    ("page_id", pa.int64()), ("pre", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
+    ("doc", pa.int64()), ("page_id", pa.int64()), ("pre", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
     ("tag_raw", pa.string()), ("ns", pa.string()), ("sib_idx", pa.int32()), ("eidx", pa.int32()), ("ecount", pa.int32()), ("tidx", pa.int32()), ("tcount", pa.int32()),
     ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("value", pa.string()),
     ("base_uri", pa.string()), ("form_pre", pa.int32()), ("empty", pa.bool_()), ("piece", pa.string()), ("space_before", pa.bool_()), ("space_after", pa.bool_()),
@@ -57,7 +61,7 @@ def _positions(source: str) -> Callable[[int], dict | None]:
     return at
 
 
-def rows_of(doc: Document, page_id, source: str | None = None) -> list[tuple]:
+def rows_of(doc: Document, page_id, source: str | None = None, number: int = 0) -> list[tuple]:
     """Rows of a document in document order; positions only if the source is given."""
     out, order = [], {}
     todo: list = [(doc, -1, 0, 0, (0, 1, 1, 1))]
@@ -79,7 +83,7 @@ def rows_of(doc: Document, page_id, source: str | None = None) -> list[tuple]:
         if node.kind in X.TEXT:
             piece = node.value.translate(KEPT) if kept or node.kind == "cdata" else T.normalise(node.value)
         out.append((
-            page_id, pre, 0, parent, depth, node.kind, node.tag, node.raw_tag, node.ns, sib, eidx if element else None, ecount if element else None, tidx if element else None,
+            number, page_id, pre, 0, parent, depth, node.kind, node.tag, node.raw_tag, node.ns, sib, eidx if element else None, ecount if element else None, tidx if element else None,
             tcount if element else None, [{"name": k, "value": v} for k, v in node.attrs], node.attr("id") if element else None,
             list(dict.fromkeys((node.attr("class") or "").lower().split())) if element else None, node.value if node.kind not in ("element", "document", "doctype") else None,
             doc.base_uri, None if node.form is None else id(node.form),
@@ -101,24 +105,28 @@ def rows_of(doc: Document, page_id, source: str | None = None) -> list[tuple]:
                 below.append((c, pre, depth + 1, k, (0, 0)))
         for c, p, d, k, (e, t) in reversed(below):
             todo.append((c, p, d, k, (e, elements, t, counts.get(c.tag, 0))))
-    return [(*r[:2], ends[k], *r[3:19], order.get(r[19]), *r[20:]) for k, r in enumerate(out)]
+    return [(*r[:3], ends[k], *r[4:20], order.get(r[20]), *r[21:]) for k, r in enumerate(out)]
 
 
-def per_page(pages: DataFrame, work: Callable[[int, str, str], list], schema: pa.Schema, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """Rows of ``work(page_id, html, url)`` for every page; no shuffle, one page in memory at a time."""
+def per_page(pages: DataFrame, work: Callable[..., Iterable[tuple]], schema: pa.Schema, html: str = "html", url: str = "url", key: str = "page_id", numbered: bool = False) -> DataFrame:
+    """Rows of ``work(page_id, html, url)`` for every page, or with ``numbered`` of ``work(page_id, html, url, doc)``;
+    no shuffle, one page in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
         for batch in batches:
-            rows: list = []
-            for k, h, u in zip(*(batch.column(c).to_pylist() for c in (key, html, url)), strict=True):
-                rows += work(k, h or "", u or "")
-                if len(rows) >= 4096:
-                    yield _batch(rows, schema)
-                    rows = []
-            if rows:
-                yield _batch(rows, schema)
+            keys, markup, urls, *numbers = batch.columns
+            for k in range(batch.num_rows):
+                for row in work(keys[k].as_py(), markup[k].as_py() or "", urls[k].as_py() or "", *(n[k].as_py() for n in numbers)):
+                    rows.append(row)
+                    if len(rows) >= 4096:
+                        yield _batch(rows, schema)
+                        rows = []
+        if rows:
+            yield _batch(rows, schema)
 
-    return pages.select(key, html, url).mapInArrow(run, from_arrow_schema(schema))
+    number = [F.monotonically_increasing_id()] if numbered else []  # of the partition itself, also in a union
+    return pages.select(key, html, url, *number).mapInArrow(run, from_arrow_schema(schema))
 
 
 def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -127,7 +135,7 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 
 def parse_pages(pages: DataFrame, mode: str = "html", positions: bool = False) -> DataFrame:
     """The nodes of pages (page_id, url, html)."""
-    return per_page(pages, lambda k, h, u: rows_of(document(h, u, mode), k, h if positions else None), NODES)
+    return per_page(pages, lambda k, h, u, number: rows_of(document(h, u, mode), k, h if positions else None, number), NODES, numbered=True)
 
 
 ERRORS = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("msg", pa.string())])
@@ -147,4 +155,4 @@ def parse_errors(pages: DataFrame, most: int | None = None) -> DataFrame:
 
 def write_nodes(nodes: DataFrame, table: str, buckets: int = 64) -> None:
     """Save nodes bucketed by page, so that joins of the table with itself need no shuffle."""
-    nodes.write.bucketBy(buckets, "page_id").sortBy("page_id", "pre").mode("overwrite").saveAsTable(table)
+    nodes.repartition(buckets, "doc").write.bucketBy(buckets, "doc").sortBy("doc", "pre").mode("overwrite").saveAsTable(table)

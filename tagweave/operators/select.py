@@ -1,15 +1,16 @@
 """Selectors over the relation of nodes.
 
-A plan becomes predicates, and a semi or anti join for each combinator; nothing is collected, and a
-selector without combinators is one scan with a filter. Rows of a page meet on ``page_id``: over a table
-bucketed by it (``write_nodes``) the joins need no shuffle.
+A plan becomes predicates, and for each combinator a semi join on equal keys (child, sibling) or one pass
+over a page's rows in document order (descendant, ``:has``); nothing is collected, no pairs of nodes are
+made, and a selector without combinators is one scan with a filter. Only ``:has`` around combinators of
+its own makes the pairs of an element with what is below it. Rows of a page meet on ``doc``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions import strings as N
@@ -17,7 +18,7 @@ from tagweave.functions.urls import resolve_url
 from tagweave.operators import text as X
 from tagweave.plans import selector as S
 
-_KEY = ["page_id", "scope", "pre"]
+_KEY = ["doc", "scope", "pre"]
 
 
 def _column(name: str, args: tuple) -> Column | None:
@@ -79,6 +80,42 @@ def predicate(plan) -> Column | None:
     return None
 
 
+def _inside(frame: DataFrame, left: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``frame`` below one of ``left``. Intervals are nested or apart, so one that holds a node is
+    the one that reaches farthest of all that begin before it: a running maximum tells."""
+    begun = Window.partitionBy(*by).orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
+    marks = left.select(*by, "pre", F.col("end").alias("__reach"))
+    rows = frame.withColumn("__own", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    return rows.withColumn("__far", F.max("__reach").over(begun)).where("__own and __far > pre").drop("__reach", "__own", "__far")
+
+
+def with_below(frame: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of ``frame`` that have one of ``marks`` below them: the next of these comes before their end."""
+    later = Window.partitionBy("doc").orderBy(F.desc("pre")).rangeBetween(Window.unboundedPreceding, -1)
+    found = marks.select("doc", "pre", F.col("pre").alias("__mark")).distinct()
+    rows = frame.withColumn("__own", F.lit(True)).unionByName(found, allowMissingColumns=True)
+    return rows.withColumn("__next", F.min("__mark").over(later)).where("__own and __next < end").drop("__mark", "__own", "__next")
+
+
+def _free(plan) -> bool:
+    """Whether a plan's answer doesn't depend on the element that it is tried below."""
+    if isinstance(plan, S.Test):
+        return plan.name not in ("root", "scope") and (plan.name, plan.args[:1]) != ("index", ("lt",))
+    if isinstance(plan, S.All | S.Any):
+        return all(map(_free, plan.parts))
+    return _free(plan.inner) if isinstance(plan, S.Not | S.Is) else isinstance(plan, S.Has)
+
+
+def _simple_has(inner) -> tuple[str, object] | None:
+    """(how, plan) if a plan inside ``:has`` asks for one relation to the element and nothing else of it."""
+    parts = inner.parts if isinstance(inner, S.All) else (inner,)
+    tied = [p for p in parts if isinstance(p, S.Related) and p.left == S.Test("scope")]
+    rest = tuple(p for p in parts if p not in tied)
+    if len(tied) > 1 or not rest or not all(map(_free, rest)):
+        return None
+    return (tied[0].how if tied else "ancestor"), (rest[0] if len(rest) == 1 else S.All(rest))
+
+
 class _Compiler:
     def __init__(self, nodes: DataFrame):
         self.nodes = nodes
@@ -110,40 +147,52 @@ class _Compiler:
                 "ancestor": c("pre") != c("scope"), "parent": (c("parent") == c("scope")) & (c("pre") != c("scope")),
                 "before": (c("parent") == c("scope_parent")) & (c("eidx") > c("scope_eidx")), "previous": (c("parent") == c("scope_parent")) & (c("eidx") == c("scope_eidx") + 1),
             }[plan.how])
-        left = self.keep(plan.left, universe, universe)
-        left = left.select(*(F.col(x).alias(f"l_{x}") for x in ("page_id", "scope", "pre", "end", "parent", "eidx")))
-        on = (c("page_id") == c("l_page_id")) & (c("scope") == c("l_scope"))
-        on &= {
-            "ancestor": (c("l_pre") < c("pre")) & (c("pre") < c("l_end")), "parent": c("parent") == c("l_pre"),
-            "before": (c("parent") == c("l_parent")) & (c("l_eidx") < c("eidx")), "previous": (c("parent") == c("l_parent")) & (c("l_eidx") == c("eidx") - 1),
-        }[plan.how]
-        return frame.where("pre <> scope").join(left, on, "left_semi")
+        left, frame = self.keep(plan.left, universe, universe), frame.where("pre <> scope")
+        if plan.how == "ancestor":
+            return _inside(frame, left, ["doc", "scope"])
+        if plan.how == "parent":
+            return frame.join(left.select("doc", "scope", c("pre").alias("parent")), ["doc", "scope", "parent"], "left_semi")
+        left = left.where(c("parent").isNotNull())
+        if plan.how == "previous":
+            return frame.join(left.select("doc", "scope", "parent", (c("eidx") + 1).alias("eidx")), ["doc", "scope", "parent", "eidx"], "left_semi")
+        first = left.groupBy("doc", "scope", "parent").agg(F.min("eidx").alias("__first"))
+        return frame.join(first, ["doc", "scope", "parent"]).where(c("eidx") > c("__first")).drop("__first").select(*frame.columns)
 
     def has(self, plan: S.Has, frame: DataFrame) -> DataFrame:
-        tops = frame.select("page_id", F.col("pre").alias("s_pre"), F.col("end").alias("s_end"), F.col("parent").alias("s_parent"), F.col("eidx").alias("s_eidx")).distinct()
+        c, simple = F.col, _simple_has(plan.inner)
+        if simple is not None:
+            how, inner = simple
+            marks = self.keep(inner, every := elements(self.nodes), every)
+            if how == "ancestor":
+                return with_below(frame, marks)
+            if how == "parent":
+                return frame.join(marks.select("doc", c("parent").alias("pre")), ["doc", "pre"], "left_semi")
+            if how == "previous":
+                return frame.join(marks.select("doc", "parent", (c("eidx") - 1).alias("eidx")), ["doc", "parent", "eidx"], "left_semi")
+            last = marks.groupBy("doc", "parent").agg(F.max("eidx").alias("__last"))
+            return frame.join(last, ["doc", "parent"]).where(c("eidx") < c("__last")).drop("__last").select(*frame.columns)
+        tops = frame.select("doc", c("pre").alias("s_pre"), c("end").alias("s_end"), c("parent").alias("s_parent"), c("eidx").alias("s_eidx")).distinct()
         below = elements(self.nodes).drop("scope", "scope_parent", "scope_eidx")
-        inside = (F.col("pre") >= F.col("s_pre")) & (F.col("pre") < F.col("s_end"))
-        near = inside | (F.col("parent") == F.col("s_parent")) if plan.sibling else inside
-        pairs = below.join(tops, "page_id").where(near)
+        inside = (c("pre") >= c("s_pre")) & (c("pre") < c("s_end"))
+        near = inside | (c("parent") == c("s_parent")) if plan.sibling else inside
+        pairs = below.join(tops, "doc").where(near)
         universe = pairs.withColumnsRenamed({"s_pre": "scope", "s_parent": "scope_parent", "s_eidx": "scope_eidx"})
-        candidates = universe.where("pre <> scope")
-        if plan.sibling:
-            candidates = candidates.where((F.col("pre") > F.col("scope")))
-        found = self.keep(plan.inner, candidates.drop("s_end"), universe.drop("s_end")).select("page_id", F.col("scope").alias("pre")).distinct()
-        return frame.join(found, ["page_id", "pre"], "left_semi")
+        candidates = universe.where("pre > scope") if plan.sibling else universe.where("pre <> scope")
+        found = self.keep(plan.inner, candidates.drop("s_end"), universe.drop("s_end")).select("doc", c("scope").alias("pre")).distinct()
+        return frame.join(found, ["doc", "pre"], "left_semi")
 
     def by_text(self, plan: S.Test, frame: DataFrame) -> DataFrame:
         if plan.name == "match_text":
-            own = self.nodes.where("kind = 'text'").select("page_id", F.col("parent").alias("pre")).distinct()
-            return frame.join(own, ["page_id", "pre"], "left_semi")
+            own = self.nodes.where("kind = 'text'").select("doc", F.col("parent").alias("pre")).distinct()
+            return frame.join(own, ["doc", "pre"], "left_semi")
         kind, needle = plan.args
-        texts = X.texts(self.nodes, frame.select("page_id", "pre").distinct(), kind).withColumnRenamed("text", "found_text")
+        texts = X.texts(self.nodes, frame.select("doc", "pre", "end").distinct(), kind).withColumnRenamed("text", "found_text")
         found = F.coalesce("found_text", F.lit(""))
         if plan.name == "text_re":
             test = found.rlike(needle)
         else:
             test = (F.lower(found) if kind in ("text", "own", "data") else found).contains(needle)
-        return frame.join(texts, ["page_id", "pre"], "left").where(test).drop("found_text")
+        return frame.join(texts, ["doc", "pre"], "left").where(test).drop("found_text")
 
 
 def elements(nodes: DataFrame) -> DataFrame:
@@ -160,15 +209,15 @@ def select(nodes: DataFrame, css: str) -> DataFrame:
 
 def select_within(nodes: DataFrame, roots: DataFrame, css: str) -> DataFrame:
     """As ``select`` below and at each of the elements ``roots``; an element is returned once."""
-    tops = roots.select("page_id", F.col("pre").alias("scope"), F.col("end").alias("s_end"), F.col("parent").alias("scope_parent"), F.col("eidx").alias("scope_eidx"))
-    below = nodes.where("kind = 'element'").join(tops, "page_id").where("pre >= scope and pre < s_end").drop("s_end")
+    tops = roots.select("doc", F.col("pre").alias("scope"), F.col("end").alias("s_end"), F.col("parent").alias("scope_parent"), F.col("eidx").alias("scope_eidx"))
+    below = nodes.where("kind = 'element'").join(tops, "doc").where("pre >= scope and pre < s_end").drop("s_end")
     found = _Compiler(nodes).keep(S.parse(css), below, below)
-    return found.drop("scope", "scope_parent", "scope_eidx").dropDuplicates(["page_id", "pre"])
+    return found.drop("scope", "scope_parent", "scope_eidx").dropDuplicates(["doc", "pre"])
 
 
 def select_first(nodes: DataFrame, css: str) -> DataFrame:
     """Of each page the first match."""
     found = select(nodes, css)
     names = found.columns
-    best = found.groupBy("page_id").agg(F.min_by(F.struct(*names), "pre").alias("row"))
+    best = found.groupBy("doc").agg(F.min_by(F.struct(*names), "pre").alias("row"))
     return best.select("row.*")

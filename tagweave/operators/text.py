@@ -1,48 +1,79 @@
-"""Text of elements from the relation of nodes, without leaving the JVM."""
+"""Text of elements from the relation of nodes, without leaving the JVM.
+
+What an element's text consists of is one stretch of its page's text: the page's pieces are put together once
+in document order, and an element's text is cut out of that by offsets, which one running sum for each page
+yields. So elements inside one another cost no more than others.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.operators.parse import KEPT
 
+# order of what happens at one place: nodes end, inner ones first, then an element's text begins, then nodes are entered
+_LEAVE, _BEGIN, _ENTER = 0, 1, 2
+
+
+def _events(nodes: DataFrame, kind: str) -> DataFrame:
+    """(doc, parent, at, rank, tie, s): pieces of text with their places in the order of the page."""
+    c = F.col
+    event = lambda at, rank, s: F.struct(at.alias("at"), F.lit(rank).alias("rank"), s.alias("s"))
+    if kind in ("text", "own"):
+        enter = F.when(c("piece").isNotNull(), event(c("pre"), _ENTER, c("piece")))
+        before = F.when(c("space_before") if kind == "text" else c("tag") == "br", event(c("pre"), _ENTER, F.lit(" ")))
+        after = F.when(c("space_after") & F.lit(kind == "text"), event(c("end"), _LEAVE, F.lit(" ")))
+        rows = nodes.select("doc", "parent", "pre", F.inline(F.array_compact(F.array(enter, before, after))))
+    else:
+        kinds = "kind in ('text', 'cdata') or tag = 'br'" if kind != "data" else "kind in ('data', 'comment', 'cdata')"
+        piece = F.when(c("tag") == "br", "\n").otherwise(c("value"))
+        rows = nodes.where(kinds).select("doc", "parent", "pre", c("pre").alias("at"), F.lit(_ENTER).alias("rank"), piece.alias("s"))
+    return rows.withColumn("tie", -2 * c("pre")).drop("pre")
+
+
+def _string(pieces: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(pieces), lambda e: e["s"]), "")
+
 
-def _joined(events: DataFrame, roots: DataFrame, inside) -> DataFrame:
-    tops = roots.select("page_id", F.col("pre").alias("r_pre"), F.col("r_end"))
-    pairs = tops.join(events, "page_id", "left").where(F.col("at").isNull() | inside)
-    found = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "rank", "s")))), lambda e: e["s"]), "")
-    return pairs.groupBy("page_id", "r_pre").agg(found.alias("text")).withColumnRenamed("r_pre", "pre")
+def _below(nodes: DataFrame, tops: DataFrame, kind: str) -> DataFrame:
+    """(doc, pre, text): all pieces below each of ``tops`` (doc, pre, end)."""
+    c, none = F.col, F.lit(None)
+    pieces = _events(nodes, kind).drop("parent").join(tops.select("doc").distinct(), "doc", "left_semi").withColumns({"mark": F.lit(0), "top": none.cast("int")})
+    begin = tops.select("doc", c("pre").alias("at"), F.lit(_BEGIN).alias("rank"), F.lit("").alias("s"), F.lit(0).alias("tie"), F.lit(1).alias("mark"), c("pre").alias("top"))
+    finish = tops.select("doc", c("end").alias("at"), F.lit(_LEAVE).alias("rank"), F.lit("").alias("s"), (1 - 2 * c("pre")).alias("tie"), F.lit(2).alias("mark"), c("pre").alias("top"))
+    order = Window.partitionBy("doc").orderBy("at", "rank", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = pieces.unionByName(begin).unionByName(finish).withColumn("sum", F.sum(F.length("s")).over(order))
+    page = rows.groupBy("doc").agg(
+        _string(F.collect_list(F.when(c("mark") == 0, F.struct("at", "rank", "tie", "s")))).alias("whole"),
+        F.array_sort(F.collect_list(F.when(c("mark") > 0, F.struct("top", "mark", "sum")))).alias("marks"),
+    )
+    ends = F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda k: F.struct(F.get("marks", k)["top"].alias("pre"), F.get("marks", k)["sum"].alias("a"), F.get("marks", k + 1)["sum"].alias("b")))
+    cut = page.select("doc", "whole", F.inline(ends))
+    return cut.select("doc", "pre", F.substr("whole", (c("a") + 1).cast("int"), (c("b") - c("a")).cast("int")).alias("text"))
 
 
 def texts(nodes: DataFrame, roots: DataFrame, kind: str = "text") -> DataFrame:
-    """(page_id, pre, text) of the elements ``roots`` (page_id, pre) that have any.
+    """(doc, pre, text) of the elements ``roots`` (doc, pre); of those without any text it may be missing.
 
     kind: ``text`` (all below, normalised), ``own`` (direct children), ``whole`` and ``whole_own`` (as
     they stand), ``data`` (scripts, styles and comments below).
     """
-    ends = nodes.where("kind in ('element', 'document')").select("page_id", "pre", F.col("end").alias("r_end"))
-    tops = roots.select("page_id", "pre").distinct().join(ends, ["page_id", "pre"])
-    below = (F.col("at") >= F.col("r_pre")) & (F.col("at") <= F.col("r_end")) & (F.col("node") >= F.col("r_pre")) & (F.col("node") < F.col("r_end"))
-    child = F.col("parent") == F.col("r_pre")
-    n = nodes.select("page_id", "pre", "end", "parent", "kind", "tag", "value", "piece", "space_before", "space_after")
-    event = lambda at, rank, s: F.struct(at.alias("at"), F.lit(rank).alias("rank"), s.alias("s"))
-    if kind in ("text", "own"):
-        enter = F.when(F.col("piece").isNotNull(), event(F.col("pre"), 1, F.col("piece")))
-        before = F.when(F.col("space_before") if kind == "text" else F.col("tag") == "br", event(F.col("pre"), 1, F.lit(" ")))
-        after = F.when(F.col("space_after") & F.lit(kind == "text"), event(F.col("end"), 0, F.lit(" ")))
-        events = n.select("page_id", F.col("pre").alias("node"), "parent", F.inline(F.array_compact(F.array(enter, before, after))))
-        out = _joined(events, tops, below if kind == "text" else child)
-        # a kept space at the end of a piece stands for the space that would part it from the next
-        text = F.trim(F.regexp_replace(F.regexp_replace("text", " +", " "), f"({KEPT[0x20]}) ", "$1"))
-        return out.withColumn("text", F.btrim(F.translate(text, "".join(KEPT.values()), "".join(map(chr, KEPT))), F.lit(" \t\n\f\r")))
-    kinds = "kind in ('text', 'cdata') or tag = 'br'" if kind != "data" else "kind in ('data', 'comment', 'cdata')"
-    piece = F.when(F.col("tag") == "br", "\n").otherwise(F.col("value"))
-    events = n.where(kinds).select("page_id", F.col("pre").alias("node"), "parent", F.col("pre").alias("at"), F.lit(1).alias("rank"), piece.alias("s"))
-    return _joined(events, tops, child if kind == "whole_own" else below)
+    if kind in ("own", "whole_own"):
+        tops = roots.select("doc", F.col("pre").alias("parent")).distinct()
+        children = _events(nodes, kind).join(tops, ["doc", "parent"], "left_semi")
+        out = children.groupBy("doc", F.col("parent").alias("pre")).agg(_string(F.collect_list(F.struct("at", "rank", "tie", "s"))).alias("text"))
+    else:
+        tops = roots.select("doc", "pre", "end").distinct() if "end" in roots.columns else nodes.select("doc", "pre", "end").join(roots.select("doc", "pre").distinct(), ["doc", "pre"], "left_semi")
+        out = _below(nodes, tops, kind)
+    if kind not in ("text", "own"):
+        return out
+    # a kept space at the end of a piece stands for the space that would part it from the next
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", " +", " "), f"({KEPT[0x20]}) ", "$1"))
+    return out.withColumn("text", F.btrim(F.translate(text, "".join(KEPT.values()), "".join(map(chr, KEPT))), F.lit(" \t\n\f\r")))
 
 
 def with_text(nodes: DataFrame, found: DataFrame, kind: str = "text", name: str = "text") -> DataFrame:
     """``found`` elements with their text as a column; "" where there is none."""
-    t = texts(nodes, found, kind).select("page_id", "pre", F.col("text").alias("__t"))
-    return found.join(t, ["page_id", "pre"], "left").withColumn(name, F.coalesce("__t", F.lit(""))).drop("__t")
+    t = texts(nodes, found, kind).select("doc", "pre", F.col("text").alias("__t"))
+    return found.join(t, ["doc", "pre"], "left").withColumn(name, F.coalesce("__t", F.lit(""))).drop("__t")

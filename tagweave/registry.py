@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagweave import store
 from tagweave.functions import strings as N
 from tagweave.functions.urls import resolve_url
 from tagweave.operators import find
@@ -40,13 +40,11 @@ _parsed: dict[tuple[str, str], DataFrame] = {}
 
 
 def nodes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes of the pages, parsed once in a session: selectors and texts scan them several times.
-
-    They spill to disk where memory is short and are parsed again where an executor is lost; a corpus that
-    is queried for long is better kept as a table (``write_nodes``)."""
+    """The nodes of the pages, parsed and written to the shared folder once in a session: selectors and
+    texts scan them several times, with the columns that each needs."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _parsed:
-        _parsed[key] = parse_pages(pages_of(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+        _parsed[key] = store.materialise(parse_pages(pages_of(spark, sf_dir)), "nodes")
     return _parsed[key]
 
 
@@ -70,9 +68,7 @@ def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every navigation link, absolute."""
     nodes = nodes_of(spark, sf_dir)
     found = RT.with_text(nodes, R.select(nodes, "nav li a[href]"))
-    from pyspark.sql import Window
-
-    order = F.row_number().over(Window.partitionBy("page_id").orderBy("pre"))
+    order = F.row_number().over(Window.partitionBy("doc").orderBy("pre"))
     return found.select("page_id", order.alias("ord"), "text", resolve_url("base_uri", N.attr("href")).alias("href"))
 
 
@@ -152,10 +148,9 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_HOST} AS host, count(*) AS links, count(DISTINCT page_id) AS pages FROM ({_LINKS}) GROUP BY 1")
 def links_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused: parsed, selected and counted without the nodes in between."""
-    pages = pages_of(spark, sf_dir)
-    found = P.select_pages(pages, "nav a[href]").select("page_id").groupBy("page_id").agg(F.count("*").alias("n"))
     host = F.regexp_extract("url", "^(https?://[^/?#]*)", 1)
-    return pages.select("page_id", "url").join(found, "page_id").groupBy(host.alias("host")).agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
+    found = P.counts_of(pages_of(spark, sf_dir), "nav a[href]").where("n > 0")
+    return found.groupBy(host.alias("host")).agg(F.sum("n").alias("links"), F.count("*").alias("pages"))
 
 
 @query(f"SELECT page_id, string_agg(label, ' ' ORDER BY n) AS text FROM ({_LINKS}) GROUP BY 1")

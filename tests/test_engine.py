@@ -2,6 +2,10 @@ import pytest
 
 from tagweave.markup import match, text
 from tagweave.markup.tree import parse
+from tagweave.operators import find
+from tagweave.operators import lists as L
+from tagweave.operators import navigate as V
+from tagweave.operators import pages as pages_of
 from tagweave.operators import parse as P
 from tagweave.operators import select as R
 from tagweave.operators import text as RT
@@ -105,3 +109,17 @@ def test_nodes_are_nested_intervals(nodes):
         if r.parent >= 0:
             up = rows[k, r.parent]
             assert up.pre < pre and r.end <= up.end and r.depth == up.depth + 1
+
+
+def test_repeated_and_null_page_ids_stay_apart(spark):
+    rows = [(7, "", "<div><p>one</p></div>qq"), (7, "", "<div><p>two</p></div>zz"), (None, "", "<div><p>three</p></div>"), (None, None, "<div><p>three</p></div>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    nodes = P.parse_pages(pages)
+    for css in ("div > p", "div p", "div:has(p) p", "p:contains(o), p:contains(e)"):
+        got = sorted((str(r.page_id), r.text) for r in RT.with_text(nodes, R.select(nodes, css)).collect())
+        assert got == [("7", "one"), ("7", "two"), ("None", "three"), ("None", "three")], css
+    p = R.select(nodes, "p")
+    assert L.parents(nodes, p).where("tag = 'div'").count() == 4 and V.text_nodes(nodes, p).count() == 4 and find.containing_text(nodes, "two").where("tag = 'p'").count() == 1
+    assert L.first(p).count() == 4 and L.eq(p, 0).count() == 4 and sorted(r.text for r in L.joined_text(nodes, p).collect()) == ["one", "three", "three", "two"]
+    assert L.closest(nodes, p, "div").count() == 4 and pages_of.metadata(nodes).count() == 4 and V.has_text(nodes, p).count() == 4
+    assert nodes.select("doc").distinct().count() == 4
