@@ -31,12 +31,15 @@ class Matcher:
     def __init__(self, root: Node, base: str = ""):
         self.root, self.base = root, base
         self.memo: dict[tuple[int, int], bool] = {}
+        self.holders: dict[int, set[int]] = {}
+        self.firsts: dict[tuple[int, int], float] = {}
+        self.siblings: dict[int, list[Node]] = {}
         self.places: dict[int, tuple[int, int, int, int]] = {}
 
     def place(self, e: Node) -> tuple[int, int, int, int]:
         """(index, count) among element siblings, and among those of the same tag."""
         if id(e) not in self.places:
-            siblings = e.parent.elements() if e.parent is not None else [e]
+            siblings = self.line(e)
             seen: dict[str, int] = {}
             rows = []
             for k, s in enumerate(siblings):
@@ -46,6 +49,40 @@ class Matcher:
                 self.places[id(s)] = (k, len(siblings), t, seen[s.tag])
         return self.places[id(e)]
 
+    def line(self, e: Node) -> list[Node]:
+        """The elements of its parent."""
+        if e.parent is None:
+            return [e]
+        if id(e.parent) not in self.siblings:
+            self.siblings[id(e.parent)] = e.parent.elements()
+        return self.siblings[id(e.parent)]
+
+    def holding(self, p, how: str, plan) -> set[int]:
+        """All elements of the document that stand in a relation to some element that matches, found in one walk."""
+        if id(p) not in self.holders:
+            top, found = self.root, set()
+            while top.parent is not None:
+                top = top.parent
+            for n in top.walk():
+                if n.kind != "element" or not self.test(plan, n):
+                    continue
+                if how == "ancestor":
+                    up = n.parent
+                    while up is not None and id(up) not in found:
+                        found.add(id(up))
+                        up = up.parent
+                elif how == "parent":
+                    found.add(id(n.parent))
+                elif how == "previous":
+                    found.update(id(s) for s in self.line(n)[max(0, self.place(n)[0] - 1) : self.place(n)[0]])
+                else:
+                    for s in reversed(self.line(n)[: self.place(n)[0]]):
+                        if id(s) in found:
+                            break
+                        found.add(id(s))
+            self.holders[id(p)] = found
+        return self.holders[id(p)]
+
     def test(self, p, e: Node) -> bool:
         if isinstance(p, S.Test):
             return self.simple(p.name, p.args, e)
@@ -64,34 +101,48 @@ class Matcher:
         if isinstance(p, S.Is):
             return self.test(p.inner, e)
         if isinstance(p, S.Has):
-            if p.sibling and e.parent is not None:
-                after, found = False, []
-                for s in e.parent.elements():
-                    found += [s] if after else []
-                    after = after or s is e
-                here = Matcher(e, self.base)
-                if any(here.test(p.inner, s) for s in found):
-                    return True
+            if (simple := S.one_relation(p.inner)) is not None:
+                return id(e) in self.holding(p, *simple)
             here = Matcher(e, self.base)
+            if p.sibling and e.parent is not None and any(here.test(p.inner, s) for s in self.line(e)[self.place(e)[0] + 1 :]):
+                return True
             return any(n.kind == "element" and n is not e and here.test(p.inner, n) for n in e.walk())
         scoped = p.left == S.Test("scope")
-        if p.how in ("before", "previous"):
-            if e.parent is None or (e is self.root):
-                return False
-            siblings = e.parent.elements()
-            at = next(k for k, s in enumerate(siblings) if s is e)
-            before = siblings[:at] if p.how == "before" else siblings[max(0, at - 1) : at]
-            return any(s is self.root if scoped else self.test(p.left, s) for s in before)
         if e is self.root:
             return False
-        up = e.parent
+        if p.how in ("before", "previous"):
+            if e.parent is None:
+                return False
+            siblings, at = self.line(e), self.place(e)[0]
+            hit = (lambda s: s is self.root) if scoped else (lambda s: self.test(p.left, s))
+            if p.how == "previous":
+                return at > 0 and hit(siblings[at - 1])
+            key = (id(p), id(e.parent))
+            if key not in self.firsts:  # siblings come in order, so the first that matches tells for all
+                self.firsts[key] = next((k for k, s in enumerate(siblings) if hit(s)), float("inf"))
+            return self.firsts[key] < at
+        if p.how == "parent":
+            up = e.parent
+            return up is not None and up.kind in ("element", "document") and ((up is self.root) if scoped else up.kind == "element" and self.test(p.left, up))
+        return self.inside(p, scoped, e)
+
+    def inside(self, p, scoped: bool, e: Node) -> bool:
+        """Whether an ancestor up to the root matches; what is found holds for all on the way."""
+        way, up, found = [e], e.parent, False
         while up is not None and up.kind in ("element", "document"):
             if (up is self.root) if scoped else (up.kind == "element" and self.test(p.left, up)):
-                return True
-            if up is self.root or p.how == "parent":
-                return False
+                found = True
+                break
+            if up is self.root:
+                break
+            if (known := self.memo.get((id(p), id(up)))) is not None:
+                found = known
+                break
+            way.append(up)
             up = up.parent
-        return False
+        for n in way:
+            self.memo[id(p), id(n)] = found
+        return found
 
     def simple(self, name: str, args: tuple, e: Node) -> bool:
         if name == "tag":

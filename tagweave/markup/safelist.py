@@ -8,7 +8,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 from tagweave.markup import text as X
-from tagweave.markup.tree import Document, Node, parse_body_fragment
+from tagweave.markup.tree import Document, Node, parse_body_fragment, shell
 from tagweave.markup.urls import resolve
 
 _ANCHOR = re.compile(r"#\S*$")
@@ -139,10 +139,8 @@ PRESETS = {"none": none, "simple_text": simple_text, "basic": basic, "basic_with
 
 def clean_document(doc: Document, safe: Safelist) -> tuple[Document, int]:
     """(a document of what is safe in the body, number of elements and attributes that were not)."""
-    out = Document(doc.base_uri)
-    root = out.append(Node("element", "html"))
-    root.append(Node("element", "head"))
-    body, dropped = root.append(Node("element", "body")), 0
+    out, dropped = shell(doc.base_uri), 0
+    body = _body(out)
     source = next((e for e in doc.walk() if e.kind == "element" and e.tag == "body"), None)
     todo = [(c, body) for c in reversed(source.children)] if source is not None else []
     while todo:
@@ -182,11 +180,15 @@ def clean(html: str, safe: Safelist, base_uri: str = "") -> str:
 
 def is_valid(html: str, safe: Safelist) -> bool:
     """Whether nothing of a body fragment would be dropped and its markup has no errors."""
-    from tagweave.markup.tree import HtmlBuilder
-
     errors: list = []
-    HtmlBuilder(html or "", "", "body", errors).build()
-    return not errors and not clean_document(parse_body_fragment(html), safe)[1]
+    doc = parse_body_fragment(html, errors=errors)
+    return not errors and not clean_document(doc, safe)[1]
+
+
+def is_valid_document(doc: Document, safe: Safelist) -> bool:
+    """Whether nothing of a document's body would be dropped and its head is empty."""
+    head = next((e for e in doc.walk() if e.kind == "element" and e.tag == "head"), None)
+    return not clean_document(doc, safe)[1] and (head is None or not head.children)
 
 
 def copy_of(safe: Safelist) -> Safelist:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.entities import html5
 
 _words = lambda s: frozenset(s.split())
 
-# The tag sets of the HTML standard that tree construction and text extraction go by.
+# Tags that text extraction and output treat as blocks, and the tag sets that tree construction goes by.
 BLOCK = _words(
     "html head body frameset script noscript style meta link title frame noframes section nav aside hgroup header footer p h1 h2 h3 h4 h5 h6 "
     "ul ol pre div blockquote hr address figure figcaption form fieldset ins del dl dt dd li table caption thead tfoot tbody colgroup col tr th td "
@@ -16,6 +17,15 @@ BLOCK = _words(
 VOID = _words("area base basefont bgsound br col command embed frame hr img input keygen link meta param source track wbr")
 FORMAT_INLINE = _words("title a p h1 h2 h3 h4 h5 h6 pre address li th td script style ins del s button")
 KEEP_SPACE = _words("pre plaintext title textarea")
+INLINE = _words(
+    "object base font tt i b u big small em strong dfn code samp kbd var cite abbr time acronym mark ruby rt rp rtc rb a img br wbr map q sub sup bdo iframe embed "
+    "span input select textarea label optgroup option legend datalist keygen output progress meter area param source track s strike nobr basefont bgsound command "
+    "device audio video command data bdi slot image"
+)
+#: Elements with rules of their own; others can close themselves.
+KNOWN = BLOCK | INLINE
+#: What may be open at the end of a body without an error.
+MAY_STAY_OPEN = _words("body dd dt html li optgroup option p rb rp rt rtc tbody td tfoot th thead tr")
 FORM_LISTED = _words("button fieldset input keygen object output select textarea")
 FORM_SUBMIT = _words("input keygen object select textarea")
 FORMATTING = _words("b big code em font i s small strike strong tt u")
@@ -60,6 +70,25 @@ def _one(m: re.Match, in_attribute: bool) -> str:
     return html5[m[3]]
 
 
+def reference_errors(text: str, in_attribute: bool = False) -> Iterator[tuple[int, str]]:
+    """(place, message) of the character references that are not as they should be."""
+    for m in _REFERENCE.finditer(text):
+        if m[1] or m[2]:
+            digits = m[1] or m[2]
+            if not m[0].endswith(";"):
+                yield m.end(), f"missing semicolon on [{m[0]}]"
+            n = int(digits, 16 if m[1] else 10) if len(digits) < 20 else 0x110000
+            if n > 0x10FFFF or 0xD800 <= n < 0xE000:
+                yield m.end(), f"character [{n}] outside of valid range"
+            elif n in C1:
+                yield m.end(), f"character [{n}] is not a valid unicode code point"
+        elif m[4]:
+            if m[3] + ";" not in html5:
+                yield m.start() + 1, f"invalid named reference [{m[3]}]"
+        elif m[3] in html5 and not (in_attribute and text[m.end() : m.end() + 1] in ("=", "-", "_")):
+            yield m.end(), f"missing semicolon on [&{m[3]}]"
+
+
 def unescape(text: str, in_attribute: bool = False) -> str:
     """Character references decoded: a name must match as a whole, and without semicolon be a base name."""
     return _REFERENCE.sub(lambda m: _one(m, in_attribute), text) if "&" in text else text

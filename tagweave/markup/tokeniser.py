@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from tagweave.markup.tags import unescape
+from tagweave.markup.tags import reference_errors, unescape
 
 
 class Token(NamedTuple):
@@ -15,6 +15,7 @@ class Token(NamedTuple):
     closed: bool = False
     start: int = 0
     end: int = 0
+    ranges: tuple = ()  # of attributes: (name, name start, name end, value start, value end)
 
 
 _NAME = re.compile(r"[^\t\n\f\r />\0<]*")
@@ -51,7 +52,7 @@ class Tokeniser:
             if first.isalpha() and first.isascii() or self.xml and first and first in "_:":
                 return self._tag(at + 2, "end")
             if first == ">":
-                self.error(at, "empty end tag")
+                self.error(at + 2, "Unexpected character '>' in input state [EndTagOpen]")
                 self.at = at + 3
                 return self.next()
             if first:
@@ -68,13 +69,20 @@ class Tokeniser:
             return self._bogus(at, at + 2)
         elif after == "?":
             return self._declaration(at) if self.xml else self._bogus(at, at + 1)
-        self.error(at, "'<' that opens nothing")
+        self.error(at + 1, f"Unexpected character '{after}' in input state [TagOpen]" if after else "Unexpectedly reached end of file (EOF) in input state [TagOpen]")
         return self._text(text.find("<", at + 1))
 
     def _text(self, end: int) -> Token:
         start, end = self.at, len(self.text) if end < 0 else end
         self.at = end
-        return Token("text", unescape(self.text[start:end]), start=start, end=end)
+        return Token("text", self._decoded(start, end), start=start, end=end)
+
+    def _decoded(self, start: int, end: int, in_attribute: bool = False) -> str:
+        text = self.text[start:end]
+        if self.errors is not None and "&" in text:
+            for at, message in reference_errors(text, in_attribute):
+                self.error(start + at, f"Invalid character reference: {message}")
+        return unescape(text, in_attribute)
 
     def _raw(self, element: str, references: bool) -> Token:
         start, text = self.at, self.text
@@ -93,18 +101,22 @@ class Tokeniser:
             return self._tag(start + 2, "end")
         self.at = found.start() if found else len(text)
         body = text[start : self.at]
-        return Token("text", unescape(body) if references else body, start=start, end=self.at)
+        return Token("text", self._decoded(start, self.at) if references else body, start=start, end=self.at)
 
     def _tag(self, at: int, kind: str) -> Token:
         start, text = self.at, self.text
         m = _NAME.match(text, at)
-        name, at, attrs = m[0].replace("\0", "�"), m.end(), []
+        if m.end() >= len(text):
+            self.error(len(text) + 1, "Unexpectedly reached end of file (EOF) in input state [TagName]")
+            self.at = len(text)
+            return Token("eof", start=self.at, end=self.at)
+        name, at, attrs, ranges = m[0].replace("\0", "�"), m.end(), [], []
         while True:
             if text[at : at + 1] == "<" and at == m.end():  # the next tag ends this one
                 break
             a = _ATTR.match(text, at)
             if not a:
-                self.error(start, "end of input in a tag")
+                self.error(len(text) + 1, "Unexpectedly reached end of file (EOF) in input state [BeforeAttributeName]")
                 self.at = len(text)
                 return Token("eof", start=self.at, end=self.at)
             at = a.end()
@@ -117,13 +129,17 @@ class Tokeniser:
             else:
                 value, whole = a[7], "x"
             if not whole or at >= len(text):
-                self.error(start, "end of input in a tag")
+                self.error(len(text) + 1, f"Unexpectedly reached end of file (EOF) in input state [{'TagName' if at == len(text) and a[2] is None else 'AttributeValue' if not whole else 'AttributeName'}]")
                 self.at = len(text)
                 return Token("eof", start=self.at, end=self.at)
-            attrs.append((a[2].replace("\0", "�"), None if value is None else unescape(value, True)))
+            group = 3 if a[3] is not None else 5 if a[5] is not None else 7
+            ranges.append((a[2], *a.span(2), *(a.span(group) if value is not None else (a.end(2), a.end(2)))))
+            attrs.append((a[2].replace("\0", "�"), None if value is None else self._decoded(*a.span(group), True)))
         self.at = at
+        if kind == "end" and attrs:
+            self.error(at, f"Attributes incorrectly present on end tag [/{name.lower()}]")
         closed = text[at - 2 : at] == "/>" and not (attrs and text[at - 2] == attrs[-1][1][-1:] if attrs and attrs[-1][1] else False)
-        return Token(kind, name, tuple(attrs), closed, start, at)
+        return Token(kind, name, tuple(attrs), closed, start, at, tuple(ranges))
 
     def _comment(self, at: int) -> Token:
         text = self.text
@@ -134,11 +150,11 @@ class Tokeniser:
         m = re.compile(r"--!?>").search(text, at + 4)
         self.at = m.end() if m else len(text)
         if not m:
-            self.error(at, "end of input in a comment")
+            self.error(len(text), "Unexpectedly reached end of file (EOF) in input state [Comment]")
         return Token("comment", text[at + 4 : m.start() if m else len(text)], start=at, end=self.at)
 
     def _bogus(self, at: int, body: int) -> Token:
-        self.error(at, "bogus comment")
+        self.error(body, "Unexpected character in input state [BogusComment]")
         end = self.text.find(">", body)
         self.at = len(self.text) if end < 0 else end + 1
         return Token("comment", self.text[body : end if end >= 0 else len(self.text)], start=at, end=self.at)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from tagweave.markup import tags as T
 from tagweave.markup.tokeniser import Token, Tokeniser
@@ -13,7 +14,7 @@ HTML, SVG, MATHML = "html", "svg", "mathml"
 class Node:
     """kind: document element text cdata data comment declaration doctype."""
 
-    __slots__ = ("kind", "tag", "raw_tag", "ns", "attrs", "value", "parent", "children", "form", "start", "end")
+    __slots__ = ("kind", "tag", "raw_tag", "ns", "attrs", "value", "parent", "children", "form", "start", "end", "closed", "ranges")
 
     def __init__(self, kind: str, tag: str = "", attrs=(), value: str = "", ns: str = HTML, raw_tag: str | None = None, start: int = -1, end: int = -1):
         self.kind, self.tag, self.ns, self.value = kind, tag, ns, value
@@ -23,6 +24,8 @@ class Node:
         self.children: list[Node] = []
         self.form: Node | None = None
         self.start, self.end = start, end
+        self.closed = False  # written as closed by itself
+        self.ranges: tuple = ()  # (name, start and end of the name, of the value) of attributes in the source
 
     def attr(self, name: str) -> str | None:
         """Value of the first attribute of that name in any case; ``None`` if there is none."""
@@ -37,15 +40,13 @@ class Node:
 
     def remove(self) -> None:
         if self.parent is not None:
-            siblings = self.parent.children
-            if siblings and siblings[-1] is self:
-                siblings.pop()
-            else:
-                del siblings[next(k for k, c in enumerate(siblings) if c is self)]
+            del self.parent.children[self.index()]
             self.parent = None
 
     def index(self) -> int:
-        return next(k for k, c in enumerate(self.parent.children) if c is self)
+        """The place among its parent's children, looked for from the end, where changes are made while parsing."""
+        siblings = self.parent.children
+        return next(k for k in range(len(siblings) - 1, -1, -1) if siblings[k] is self)
 
     def walk(self) -> Iterator[Node]:
         """This node and all below it in document order; without recursion, documents may be deep."""
@@ -60,7 +61,9 @@ class Node:
 
     def copy(self) -> Node:
         """This node without its children."""
-        return Node(self.kind, self.tag, self.attrs, self.value, self.ns, self.raw_tag)
+        new = Node(self.kind, self.tag, self.attrs, self.value, self.ns, self.raw_tag)
+        new.closed = self.closed
+        return new
 
     def deep_copy(self) -> Node:
         top = self.copy()
@@ -80,30 +83,60 @@ class Document(Node):
         self.base_uri, self.quirks, self.errors, self.xml = base_uri, False, [], xml
 
 
-def _attrs(token: Token, lower: bool = True) -> list[tuple[str, str | None]]:
+def written(t: Token) -> str:
+    """A token as markup."""
+    if t.kind == "start":
+        return f"<{t.name}{''.join(f'  {k}' if v is None else f'  {k}={chr(34)}{v}{chr(34)}' for k, v in t.attrs)}>"
+    if t.kind in ("end", "doctype", "comment"):
+        return {"end": f"</{t.name}>", "doctype": f"<!doctype {t.name}>", "comment": f"<!--{t.name}-->"}[t.kind]
+    return t.name
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Whether names keep their case. HTML folds both, XML keeps both."""
+
+    keep_tag_case: bool = False
+    keep_attribute_case: bool = False
+
+    def tag(self, name: str) -> str:
+        name = name.strip()
+        return name if self.keep_tag_case else name.lower()
+
+    def attribute(self, name: str) -> str:
+        name = name.strip()
+        return name if self.keep_attribute_case else name.lower()
+
+
+FOLD, KEEP = Settings(), Settings(True, True)
+
+
+def _attrs(token: Token, settings: Settings) -> list[tuple[str, str | None]]:
     """Attributes of a token, the first of each name."""
     out: dict[str, str | None] = {}
     for k, v in token.attrs:
-        out.setdefault(k.lower() if lower else k, v)
+        out.setdefault(settings.attribute(k), v)
     return list(out.items())
 
 
 class XmlBuilder:
     """Elements as they are nested; an end tag closes the nearest open element of its name, if any."""
 
-    def __init__(self, text: str, base_uri: str = "", errors: list | None = None):
+    def __init__(self, text: str, base_uri: str = "", errors: list | None = None, settings: Settings = KEEP):
         self.doc = Document(base_uri, True)
         self.tokens = Tokeniser(text, True, errors)
+        self.settings = settings
 
     def build(self) -> Document:
         stack: list[Node] = [self.doc]
         while (t := self.tokens.next()).kind != "eof":
             if t.kind == "start":
-                node = stack[-1].append(Node("element", t.name.lower(), _attrs(t, False), ns="xml", raw_tag=t.name, start=t.start, end=t.end))
+                node = stack[-1].append(Node("element", t.name.lower(), _attrs(t, self.settings), ns="xml", raw_tag=self.settings.tag(t.name), start=t.start, end=t.end))
+                node.closed, node.ranges = t.closed, t.ranges
                 if not t.closed:
                     stack.append(node)
             elif t.kind == "end":
-                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].raw_tag == t.name), 0)
+                at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].raw_tag == self.settings.tag(t.name)), 0)
                 if at:
                     del stack[at:]
             elif t.kind == "doctype":
@@ -116,8 +149,8 @@ class XmlBuilder:
 class HtmlBuilder:
     """Tree construction by insertion modes, after the HTML standard with the engine's stated departures."""
 
-    def __init__(self, text: str, base_uri: str = "", context: str | None = None, errors: list | None = None):
-        self.doc = Document(base_uri)
+    def __init__(self, text: str, base_uri: str = "", context: str | None = None, errors: list | None = None, settings: Settings = FOLD):
+        self.doc, self.settings = Document(base_uri), settings
         self.doc.errors = errors if errors is not None else []
         self.tokens = Tokeniser(text, errors=errors)
         self.stack: list[Node] = []
@@ -129,18 +162,38 @@ class HtmlBuilder:
         self.foster = False
         self.frames_ok = True
         self.skip_newline = False
-        self.table_text: list[str] = []
+        self.self_closed: str | None = None
         self.base_set = False
         self.context: Node | None = None
         if context is not None:
             self._start_fragment(context)
 
+    # -- errors
+
+    def error(self, t: Token, state: str) -> None:
+        """A token that a state of tree construction does not expect, at the place where it ends."""
+        if self.tokens.errors is not None:
+            kind = {"start": "StartTag", "end": "EndTag", "doctype": "Doctype", "comment": "Comment", "eof": "EOF"}.get(t.kind, "Character")
+            self.tokens.error(t.end, f"Unexpected {kind} token [{written(t)}] when in state [{state}]")
+
+    def expect(self, t: Token, name: str, state: str = "InBody") -> None:
+        if not self.stack or self.stack[-1].tag != name:
+            self.error(t, state)
+
+    def left_open(self, t: Token, state: str = "InBody") -> None:
+        """Whether elements are open that an end of the body does not close by itself."""
+        if self.tokens.errors is not None and any(n.tag not in T.MAY_STAY_OPEN for n in self.stack):
+            self.error(t, state)
+
     # -- running
 
     def build(self) -> Document:
         while True:
             t = self.tokens.next()
             self.process(t)
+            if self.self_closed is not None:  # a tag that closes itself is a start and an end
+                name, self.self_closed = self.self_closed, None
+                self.process(Token("end", name, start=t.end, end=t.end))
             if t.kind == "eof":
                 return self.doc
             self.tokens.foreign = bool(self.stack) and self.stack[-1].ns in (SVG, MATHML)
@@ -180,16 +233,25 @@ class HtmlBuilder:
     # -- the tree
 
     def insert(self, t: Token, ns: str = HTML) -> Node:
-        node = Node("element", t.name.lower(), _attrs(t), ns=ns, raw_tag=t.name.lower() if ns == HTML else t.name, start=t.start, end=t.end)
+        attrs = _attrs(t, self.settings)
+        if self.tokens.errors is not None:
+            if len(attrs) < len(t.attrs):
+                self.tokens.error(t.end, f"Dropped duplicate attribute(s) in tag [{t.name.lower()}]")
+            if t.closed and ns == HTML and t.name.lower() not in T.VOID and (t.name.lower() in T.KNOWN):
+                self.tokens.error(t.end, f"Tag [{t.name.lower()}] cannot be self closing; not a void tag")
+        node = Node("element", t.name.lower(), attrs, ns=ns, raw_tag=self.settings.tag(t.name) if ns == HTML else t.name, start=t.start, end=t.end)
+        node.closed, node.ranges = t.closed and (ns != HTML or node.tag not in T.KNOWN), t.ranges
         self.place(node)
         self.stack.append(node)
         if node.tag in T.FORM_LISTED and self.form is not None:
             node.form = self.form
+        self.self_closed = node.tag if t.closed and ns == HTML else None
         return node
 
     def insert_void(self, t: Token) -> Node:
         node = self.insert(t)
         self.stack.pop()
+        self.self_closed = None
         return node
 
     def place(self, node: Node) -> None:
@@ -307,7 +369,7 @@ class HtmlBuilder:
     def _drop(items: list, node: Node) -> None:
         items[:] = [n for n in items if n is not node]
 
-    def adopt(self, name: str) -> None:
+    def adopt(self, name: str, t: Token) -> None:
         """The adoption agency: a formatting element is closed across the blocks that it was opened around."""
         if self.stack[-1].tag == name and not any(n is self.stack[-1] for n in self.active):
             self.stack.pop()
@@ -315,14 +377,18 @@ class HtmlBuilder:
         for _ in range(8):
             formatting = self.find_active(name)
             if formatting is None:
-                self.any_end(name)
+                self.any_end(name, t)
                 return
             at = next((k for k, n in enumerate(self.stack) if n is formatting), None)
             if at is None:
+                self.error(t, "InBody")
                 self._drop(self.active, formatting)
                 return
             if not self.scope(formatting.tag):
+                self.error(t, "InBody")
                 return
+            if self.stack[-1] is not formatting:
+                self.error(t, "InBody")
             furthest = next((k for k in range(at + 1, len(self.stack)) if self.stack[k].tag in T.SPECIAL and self.stack[k].ns == HTML), None)
             if furthest is None:
                 del self.stack[at:]
@@ -369,13 +435,18 @@ class HtmlBuilder:
             self._drop(self.stack, formatting)
             self.stack.insert(next(k for k, n in enumerate(self.stack) if n is block) + 1, new)
 
-    def any_end(self, name: str) -> None:
+    def any_end(self, name: str, t: Token) -> None:
+        if not self.on_stack(name):
+            self.error(t, "InBody")
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].tag == name:
                 self.imply_end(name)
+                self.expect(t, name)
                 del self.stack[k:]
                 return
             if self.stack[k].tag in T.SPECIAL and self.stack[k].ns == HTML:
+                self.error(t, "InBody")
                 return
 
     # -- modes
@@ -402,7 +473,7 @@ class HtmlBuilder:
 
     def raw_text(self, t: Token, references: bool) -> None:
         self.insert(t)
-        self.tokens.raw = (t.name.lower(), references)
+        self.tokens.raw = None if t.closed else (t.name.lower(), references)
         self.back_to, self.mode = self.mode, self.in_text
 
     def initial(self, t: Token) -> None:
@@ -423,7 +494,7 @@ class HtmlBuilder:
         if t.kind == "comment":
             self.comment(t, self.doc)
         elif t.kind == "doctype" or (t.kind == "end" and t.name.lower() not in ("head", "body", "html", "br")):
-            pass
+            self.error(t, "BeforeHtml")
         elif t.kind == "text" and T.is_blank(t.name):
             self.doc.append(Node("text", "#text", value=t.name))
         elif t.kind == "start" and t.name.lower() == "html":
@@ -441,7 +512,7 @@ class HtmlBuilder:
         elif t.kind == "comment":
             self.comment(t)
         elif t.kind == "doctype" or (t.kind == "end" and name not in ("head", "body", "html", "br")):
-            pass
+            self.error(t, "BeforeHead")
         elif t.kind == "start" and name == "html":
             self.in_body(t)
         elif t.kind == "start" and name == "head":
@@ -459,7 +530,7 @@ class HtmlBuilder:
         elif t.kind == "comment":
             self.comment(t)
         elif t.kind == "doctype":
-            pass
+            self.error(t, "InHead")
         elif t.kind == "start" and name == "html":
             self.in_body(t)
         elif t.kind == "start" and name in ("base", "basefont", "bgsound", "command", "link", "meta"):
@@ -485,15 +556,18 @@ class HtmlBuilder:
         elif t.kind == "end" and name == "template":
             if self.on_stack("template"):
                 self.imply_end(thorough=True)
+                self.expect(t, "template", "InHead")
                 self.pop_to("template")
                 self.clear_active()
                 self.templates.pop()
                 self.reset_mode()
+            else:
+                self.error(t, "InHead")
         elif t.kind == "end" and name == "head":
             self.stack.pop()
             self.mode = self.after_head
         elif (t.kind == "start" and name == "head") or (t.kind == "end" and name not in ("body", "html", "br")):
-            pass
+            self.error(t, "InHead")
         else:
             self.stack.pop()
             self.mode = self.after_head
@@ -510,9 +584,15 @@ class HtmlBuilder:
             self.stack.pop()
             self.mode = self.in_head
             self.mode(t)
+        elif t.kind == "doctype" or t.kind == "start" and name in ("head", "noscript") or t.kind == "end" and name != "br":
+            self.error(t, "InHeadNoscript")
+            if t.kind == "end":
+                self.text(self.tokens.text[t.start : t.end])
         elif t.kind == "text":
+            self.error(t, "InHeadNoscript")
             self.text(t.name)
-        elif t.kind in ("start", "end") and name not in ("head", "noscript"):
+        elif t.kind in ("start", "end"):
+            self.error(t, "InHeadNoscript")
             self.text(self.tokens.text[t.start : t.end])
 
     def after_head(self, t: Token) -> None:
@@ -522,7 +602,7 @@ class HtmlBuilder:
         elif t.kind == "comment":
             self.comment(t)
         elif t.kind == "doctype":
-            pass
+            self.error(t, "AfterHead")
         elif t.kind == "start" and name == "html":
             self.in_body(t)
         elif t.kind == "start" and name == "body":
@@ -533,11 +613,12 @@ class HtmlBuilder:
             self.insert(t)
             self.mode = self.in_frameset
         elif t.kind == "start" and name in ("base", "basefont", "bgsound", "link", "meta", "noframes", "script", "style", "template", "title"):
+            self.error(t, "AfterHead")
             self.stack.append(self.head)
             self.in_head(t)
             self._drop(self.stack, self.head)
         elif (t.kind == "start" and name == "head") or (t.kind == "end" and name not in ("body", "html", "br", "template")):
-            pass
+            self.error(t, "AfterHead")
         elif t.kind == "end" and name == "template":
             self.in_head(t)
         else:
@@ -549,6 +630,8 @@ class HtmlBuilder:
         if t.kind == "text":
             self.text(t.name, start=t.start, end=t.end)
             return
+        if t.kind == "eof":
+            self.error(t, "Text")
         self.tokens.raw = None
         self.stack.pop()
         self.mode = self.back_to
@@ -558,6 +641,8 @@ class HtmlBuilder:
     def in_body(self, t: Token) -> None:
         if t.kind == "text":
             data = t.name.replace("\0", "")
+            if data != t.name:
+                self.error(t, "InBody")
             if data:
                 self.reconstruct()
                 self.text(data, start=t.start, end=t.end)
@@ -571,13 +656,18 @@ class HtmlBuilder:
             self.body_start(t, t.name.lower())
         elif t.kind == "end":
             self.body_end(t, t.name.lower())
+        elif t.kind == "doctype":
+            self.error(t, "InBody")
         elif t.kind == "eof" and self.templates:
             self.in_template(t)
+        elif t.kind == "eof":
+            self.left_open(t)
 
     def body_start(self, t: Token, name: str) -> None:
         if name == "a":
             if (old := self.find_active("a")) is not None:
-                self.adopt("a")
+                self.error(t, "InBody")
+                self.adopt("a", t)
                 self._drop(self.active, old)
                 self._drop(self.stack, old)
             self.reconstruct()
@@ -591,7 +681,8 @@ class HtmlBuilder:
         elif name == "nobr":
             self.reconstruct()
             if self.scope("nobr"):
-                self.adopt("nobr")
+                self.error(t, "InBody")
+                self.adopt("nobr", t)
                 self.reconstruct()
             self.push_active(self.insert(t))
         elif name in T.P_CLOSERS:
@@ -600,6 +691,7 @@ class HtmlBuilder:
         elif name in T.HEADINGS:
             self.close_p()
             if self.stack[-1].tag in T.HEADINGS:
+                self.error(t, "InBody")
                 self.stack.pop()
             self.insert(t)
         elif name in ("li", "dd", "dt"):
@@ -641,6 +733,8 @@ class HtmlBuilder:
                 node = self.insert(t)
                 if not self.on_stack("template"):
                     self.form = node
+            else:
+                self.error(t, "InBody")
         elif name == "table":
             if not self.doc.quirks:
                 self.close_p()
@@ -648,6 +742,7 @@ class HtmlBuilder:
             self.frames_ok, self.mode = False, self.in_table
         elif name == "button":
             if self.scope("button"):
+                self.error(t, "InBody")
                 self.imply_end()
                 self.pop_to("button")
             self.reconstruct()
@@ -656,19 +751,23 @@ class HtmlBuilder:
         elif name in ("base", "basefont", "bgsound", "command", "link", "meta", "noframes", "script", "style", "template", "title"):
             self.in_head(t)
         elif name == "html":
+            self.error(t, "InBody")
             if not self.on_stack("template") and self.stack:
                 self._merge(self.stack[0], t)
         elif name == "body":
+            self.error(t, "InBody")
             if len(self.stack) > 1 and self.stack[1].tag == "body" and not self.on_stack("template"):
                 self.frames_ok = False
                 self._merge(self.stack[1], t)
         elif name == "frameset":
+            self.error(t, "InBody")
             if self.frames_ok and len(self.stack) > 1 and self.stack[1].tag == "body":
                 self.stack[1].remove()
                 del self.stack[1:]
                 self.insert(t)
                 self.mode = self.in_frameset
         elif name == "isindex":
+            self.error(t, "InBody")
             if self.form is None:
                 prompt = next((v for k, v in t.attrs if k.lower() == "prompt"), None) or "This is a searchable index. Enter search keywords: "
                 for part in (Token("start", "form", tuple((k, v) for k, v in t.attrs if k.lower() == "action")), Token("start", "hr"), Token("start", "label"), Token("text", prompt)):
@@ -688,7 +787,7 @@ class HtmlBuilder:
         elif name == "plaintext":
             self.close_p()
             self.insert(t)
-            self.tokens.raw = ("plaintext", False)
+            self.tokens.raw = None if t.closed else ("plaintext", False)
         elif name == "select":
             self.reconstruct()
             self.insert(t)
@@ -702,6 +801,8 @@ class HtmlBuilder:
         elif name in ("rb", "rtc", "rp", "rt"):
             if self.scope("ruby"):
                 self.imply_end("rtc" if name in ("rp", "rt") else "")
+                if self.stack[-1].tag not in (("rtc", "ruby") if name in ("rp", "rt") else ("ruby",)):
+                    self.error(t, "InBody")
             self.insert(t)
         elif name in ("math", "svg"):
             self.reconstruct()
@@ -714,72 +815,79 @@ class HtmlBuilder:
             self.active.append(None)
             self.frames_ok = False
         elif name in T.TABLE_PARTS or name in ("frame", "head"):
-            pass
+            self.error(t, "InBody")
         elif name == "noscript":
             self.reconstruct()
             self.insert(t)
         else:
-            self.insert(t)  # unknown tags don't reopen formatting
-            if t.closed and name not in T.BLOCK:
-                self.stack.pop()
+            if name in T.KNOWN:  # tags without rules of their own don't reopen formatting
+                self.reconstruct()
+            self.insert(t)
 
-    @staticmethod
-    def _merge(node: Node, t: Token) -> None:
+    def _merge(self, node: Node, t: Token) -> None:
         have = {k for k, _ in node.attrs}
-        node.attrs += [(k, v) for k, v in _attrs(t) if k not in have]
+        node.attrs += [(k, v) for k, v in _attrs(t, self.settings) if k not in have]
 
     def body_end(self, t: Token, name: str) -> None:
         if name == "p":
             if not self.button_scope("p"):
+                self.error(t, "InBody")
                 self.insert(Token("start", "p"))
-            self.imply_end("p")
-            self.pop_to("p")
+            self.close(t, "p", "p", but="p")
         elif name == "a" or name == "nobr" or name in T.FORMATTING:
-            self.adopt(name)
+            self.adopt(name, t)
         elif name in ("body", "html"):
             if self.scope("body"):
+                self.left_open(t)
                 self.mode = self.after_body
                 if name == "html":
                     self.mode(t)
+            else:
+                self.error(t, "InBody")
         elif name == "form":
             if self.on_stack("template"):
                 if self.scope("form"):
-                    self.imply_end()
-                    self.pop_to("form")
+                    self.close(t, "form", "form")
+                else:
+                    self.error(t, "InBody")
                 return
             node, self.form = self.form, None
             if node is not None and self.scope("form"):
                 self.imply_end()
+                self.expect(t, "form")
                 self._drop(self.stack, node)
+            else:
+                self.error(t, "InBody")
+        elif name == "br":
+            self.error(t, "InBody")
+            self.body_start(Token("start", "br"), "br")
+        elif name == "template":
+            self.in_head(t)
         elif name == "li":
-            if self.scope("li", {"ol", "ul"}):
-                self.imply_end("li")
-                self.pop_to("li")
+            self.close(t, name, name, but=name) if self.scope("li", {"ol", "ul"}) else self.error(t, "InBody")
         elif name in ("dd", "dt"):
-            if self.scope(name):
-                self.imply_end(name)
-                self.pop_to(name)
+            self.close(t, name, name, but=name) if self.scope(name) else self.error(t, "InBody")
         elif name in T.HEADINGS:
-            if self.scope(T.HEADINGS):
-                self.imply_end(name)
-                self.pop_to(*T.HEADINGS)
-        elif name == "br":
-            self.body_start(Token("start", "br"), "br")
+            self.close(t, name, *T.HEADINGS, but=name) if self.scope(T.HEADINGS) else self.error(t, "InBody")
         elif name in ("applet", "marquee", "object"):
             if self.scope(name):
-                self.imply_end()
-                self.pop_to(name)
+                self.close(t, name, name)
                 self.clear_active()
-        elif name == "template":
-            self.in_head(t)
+            else:
+                self.error(t, "InBody")
         elif name in T.P_CLOSERS or name in ("button", "listing", "pre"):
-            if self.scope(name):
-                self.imply_end()
-                self.pop_to(name)
+            self.close(t, name, name) if self.scope(name) else self.error(t, "InBody")
         else:
-            self.any_end(name)
+            self.any_end(name, t)
+
+    def close(self, t: Token, name: str, *until: str, but: str = "") -> None:
+        """Implied ends, then up to the element that the end tag is for."""
+        self.imply_end(but)
+        self.expect(t, name)
+        self.pop_to(*until)
 
     def fostered(self, t: Token) -> None:
+        self.error(t, "InTable")
         self.foster = True
         self.in_body(t)
         self.foster = False
@@ -794,7 +902,7 @@ class HtmlBuilder:
         elif t.kind == "comment":
             self.comment(t)
         elif t.kind == "doctype":
-            pass
+            self.error(t, "InTable")
         elif t.kind == "start" and name == "caption":
             self.clear_to("table")
             self.active.append(None)
@@ -819,6 +927,7 @@ class HtmlBuilder:
             self.mode = self.in_table_body
             self.mode(t)
         elif t.kind == "start" and name == "table":
+            self.error(t, "InTable")
             if self.table_scope("table"):
                 self.pop_to("table")
                 self.reset_mode()
@@ -827,13 +936,16 @@ class HtmlBuilder:
             if self.table_scope("table"):
                 self.pop_to("table")
                 self.reset_mode()
+            else:
+                self.error(t, "InTable")
         elif t.kind == "end" and name in ("body", "html", *T.TABLE_PARTS):
-            pass
+            self.error(t, "InTable")
         elif name in ("style", "script", "template"):
             self.in_head(t)
         elif t.kind == "start" and name == "input" and next((v or "" for k, v in t.attrs if k.lower() == "type"), "").lower() == "hidden":
             self.insert_void(t)
         elif t.kind == "start" and name == "form":
+            self.error(t, "InTable")
             if self.form is None and not self.on_stack("template"):
                 self.form = self.insert(t)
                 self.stack.pop()
@@ -848,13 +960,19 @@ class HtmlBuilder:
         if closes:
             if self.table_scope("caption"):
                 self.imply_end()
+                if t.kind == "start" or name == "table":
+                    self.error(t, "InCaption")
+                else:
+                    self.expect(t, "caption", "InCaption")
                 self.pop_to("caption")
                 self.clear_active()
                 self.mode = self.in_table
                 if not (t.kind == "end" and name == "caption"):
                     self.mode(t)
+            else:
+                self.error(t, "InCaption")
         elif t.kind == "end" and name in ("body", "html", *T.TABLE_PARTS):
-            pass
+            self.error(t, "InCaption")
         else:
             self.in_body(t)
 
@@ -871,12 +989,14 @@ class HtmlBuilder:
         elif t.kind == "start" and name == "html":
             self.in_body(t)
         elif t.kind == "end" and name == "col" or t.kind == "doctype":
-            pass
+            self.error(t, "InColumnGroup")
         elif self.stack[-1].tag == "colgroup":
             self.stack.pop()
             self.mode = self.in_table
             if not (t.kind == "end" and name == "colgroup"):
                 self.mode(t)
+        elif t.kind != "eof":
+            self.error(t, "InColumnGroup")
 
     def in_table_body(self, t: Token) -> None:
         name = t.name.lower() if t.kind in ("start", "end") else ""
@@ -886,6 +1006,7 @@ class HtmlBuilder:
             self.insert(t)
             self.mode = self.in_row
         elif t.kind == "start" and name in ("td", "th"):
+            self.error(t, "InTableBody")
             self.clear_to(*sections)
             self.insert(Token("start", "tr"))
             self.mode = self.in_row
@@ -895,14 +1016,18 @@ class HtmlBuilder:
                 self.clear_to(*sections)
                 self.stack.pop()
                 self.mode = self.in_table
+            else:
+                self.error(t, "InTableBody")
         elif (t.kind == "start" and name in ("caption", "col", "colgroup", *sections)) or (t.kind == "end" and name == "table"):
             if self.table_scope(sections):
                 self.clear_to(*sections)
                 self.stack.pop()
                 self.mode = self.in_table
                 self.mode(t)
+            else:
+                self.error(t, "InTableBody")
         elif t.kind == "end" and name in ("body", "caption", "col", "colgroup", "html", "td", "th", "tr"):
-            pass
+            self.error(t, "InTableBody")
         else:
             self.in_table(t)
 
@@ -920,8 +1045,10 @@ class HtmlBuilder:
                 self.mode = self.in_table_body
                 if not (t.kind == "end" and name == "tr"):
                     self.mode(t)
+            else:
+                self.error(t, "InRow")
         elif t.kind == "end" and name in ("body", "caption", "col", "colgroup", "html", "td", "th"):
-            pass
+            self.error(t, "InRow")
         else:
             self.in_table(t)
 
@@ -930,10 +1057,12 @@ class HtmlBuilder:
         if t.kind == "end" and name in ("td", "th"):
             if self.table_scope(name):
                 self.imply_end()
+                self.expect(t, name, "InCell")
                 self.pop_to(name)
                 self.clear_active()
                 self.mode = self.in_row
-            elif t.kind == "end":
+            else:
+                self.error(t, "InCell")
                 self.mode = self.in_row
         elif (t.kind == "start" and name in T.TABLE_PARTS) or (t.kind == "end" and name in ("table", "tbody", "tfoot", "thead", "tr") and self.table_scope(name)):
             if self.table_scope(("td", "th")):
@@ -942,8 +1071,10 @@ class HtmlBuilder:
                 self.clear_active()
                 self.mode = self.in_row
                 self.mode(t)
+            else:
+                self.error(t, "InCell")
         elif t.kind == "end" and name in ("body", "caption", "col", "colgroup", "html", "table", "tbody", "tfoot", "thead", "tr"):
-            pass
+            self.error(t, "InCell")
         else:
             self.in_body(t)
 
@@ -951,6 +1082,8 @@ class HtmlBuilder:
         name = t.name.lower() if t.kind in ("start", "end") else ""
         top = self.stack[-1].tag
         if t.kind == "text":
+            if "\0" in t.name:
+                self.error(t, "InSelect")
             if data := t.name.replace("\0", ""):
                 self.text(data, start=t.start, end=t.end)
         elif t.kind == "comment":
@@ -970,23 +1103,34 @@ class HtmlBuilder:
                 self.stack.pop()
             if self.stack[-1].tag == "optgroup":
                 self.stack.pop()
+            else:
+                self.error(t, "InSelect")
         elif t.kind == "end" and name == "option":
             if top == "option":
                 self.stack.pop()
+            else:
+                self.error(t, "InSelect")
         elif name == "select" or (t.kind == "start" and name in ("input", "keygen", "textarea")):
+            if t.kind == "start":
+                self.error(t, "InSelect")
             if self.select_scope("select"):
                 self.pop_to("select")
                 self.reset_mode()
                 if t.kind == "start" and name != "select":
                     self.mode(t)
+            elif t.kind == "end":
+                self.error(t, "InSelect")
         elif name in ("script", "template"):
             self.in_head(t)
         elif t.kind == "start" and name == "html":
             self.in_body(t)
+        elif t.kind != "eof" or top != "html":
+            self.error(t, "InSelect")
 
     def in_select_table(self, t: Token) -> None:
         name = t.name.lower() if t.kind in ("start", "end") else ""
         if name in ("caption", "table", "tbody", "tfoot", "thead", "tr", "td", "th"):
+            self.error(t, "InSelectInTable")
             if t.kind == "start" or self.table_scope(name):
                 self.pop_to("select")
                 self.reset_mode()
@@ -1004,7 +1148,10 @@ class HtmlBuilder:
             mode = {"col": self.in_colgroup, "tr": self.in_table_body, "td": self.in_row, "th": self.in_row}.get(name, self.in_table if name in T.TABLE_PARTS else self.in_body)
             self.templates[-1] = self.mode = mode
             self.mode(t)
+        elif t.kind in ("end", "doctype"):
+            self.error(t, "InTemplate")
         elif t.kind == "eof" and self.on_stack("template"):
+            self.error(t, "InTemplate")
             self.pop_to("template")
             self.clear_active()
             self.templates.pop()
@@ -1019,7 +1166,12 @@ class HtmlBuilder:
         elif t.kind == "end" and t.name.lower() == "html":
             if self.context is None:
                 self.mode = self.after_after_body
-        elif t.kind not in ("eof", "doctype"):
+            else:
+                self.error(t, "AfterBody")
+        elif t.kind == "doctype":
+            self.error(t, "AfterBody")
+        elif t.kind != "eof":
+            self.error(t, "AfterBody")
             self.mode = self.in_body
             self.mode(t)
 
@@ -1029,6 +1181,7 @@ class HtmlBuilder:
         elif t.kind == "text" and T.is_blank(t.name):
             self.doc.append(Node("text", "#text", value=t.name))
         elif t.kind not in ("eof", "doctype"):
+            self.error(t, "AfterAfterBody")
             self.mode = self.in_body
             self.mode(t)
 
@@ -1049,6 +1202,8 @@ class HtmlBuilder:
                 self.mode = self.after_frameset
         elif t.kind == "start" and name == "noframes":
             self.in_head(t)
+        elif t.kind != "eof" or self.stack[-1].tag != "html":
+            self.error(t, "InFrameset")
 
     def after_frameset(self, t: Token) -> None:
         if t.kind == "text":
@@ -1058,6 +1213,20 @@ class HtmlBuilder:
             self.comment(t)
         elif t.kind == "start" and t.name.lower() == "noframes":
             self.in_head(t)
+        elif t.kind == "end" and t.name.lower() == "html":
+            self.mode = self.after_after_frameset
+        elif t.kind != "eof":
+            self.error(t, "AfterFrameset")
+
+    def after_after_frameset(self, t: Token) -> None:
+        if t.kind == "comment":
+            self.comment(t, self.doc)
+        elif t.kind == "text" and T.is_blank(t.name):
+            self.doc.append(Node("text", "#text", value=t.name))
+        elif t.kind == "start" and t.name.lower() == "noframes":
+            self.in_head(t)
+        elif t.kind != "eof":
+            self.error(t, "AfterAfterFrameset")
 
     def in_foreign(self, t: Token) -> None:
         name = t.name.lower() if t.kind in ("start", "end") else ""
@@ -1068,6 +1237,7 @@ class HtmlBuilder:
         elif t.kind == "comment":
             self.comment(t)
         elif t.kind == "start" and (name in T.FOREIGN_BREAKOUT or (name == "font" and any(k.lower() in ("color", "face", "size") for k, _ in t.attrs))):
+            self.error(t, "ForeignContent")
             while len(self.stack) > 1 and self.stack[-1].ns != HTML:
                 self.stack.pop()
             self.mode(t)
@@ -1076,6 +1246,8 @@ class HtmlBuilder:
             if t.closed:
                 self.stack.pop()
         elif t.kind == "end":
+            if self.stack[-1].tag != name:
+                self.error(t, "ForeignContent")
             for k in range(len(self.stack) - 1, 0, -1):
                 node = self.stack[k]
                 if node.ns == HTML:
@@ -1086,28 +1258,41 @@ class HtmlBuilder:
                     return
 
 
-def parse(html: str, base_uri: str = "", errors: list | None = None) -> Document:
-    return HtmlBuilder(html or "", base_uri, errors=errors).build()
+def parse(html: str, base_uri: str = "", errors: list | None = None, settings: Settings = FOLD) -> Document:
+    return HtmlBuilder(html or "", base_uri, errors=errors, settings=settings).build()
 
 
-def parse_xml(xml: str, base_uri: str = "", errors: list | None = None) -> Document:
-    return XmlBuilder(xml or "", base_uri, errors).build()
+def parse_xml(xml: str, base_uri: str = "", errors: list | None = None, settings: Settings = KEEP) -> Document:
+    return XmlBuilder(xml or "", base_uri, errors, settings).build()
 
 
-def parse_fragment(html: str, context: str = "body", base_uri: str = "") -> list[Node]:
+def parse_fragment(html: str, context: str = "body", base_uri: str = "", errors: list | None = None, settings: Settings = FOLD) -> list[Node]:
     """Nodes of a fragment as children of an element ``context`` would be."""
-    doc = HtmlBuilder(html or "", base_uri, context).build()
+    doc = HtmlBuilder(html or "", base_uri, context, errors, settings).build()
     nodes = list(doc.children[0].children)
     for n in nodes:
         n.parent = None
     return nodes
 
 
-def parse_body_fragment(html: str, base_uri: str = "") -> Document:
+def parse_xml_fragment(xml: str, base_uri: str = "", errors: list | None = None) -> list[Node]:
+    nodes = list(parse_xml(xml, base_uri, errors).children)
+    for n in nodes:
+        n.parent = None
+    return nodes
+
+
+def shell(base_uri: str = "") -> Document:
+    """A document with nothing in its head and body."""
     doc = Document(base_uri)
     root = doc.append(Node("element", "html"))
     root.append(Node("element", "head"))
-    body = root.append(Node("element", "body"))
-    for n in parse_fragment(html, "body", base_uri):
-        body.append(n)
+    root.append(Node("element", "body"))
+    return doc
+
+
+def parse_body_fragment(html: str, base_uri: str = "", errors: list | None = None) -> Document:
+    doc = shell(base_uri)
+    for n in parse_fragment(html, "body", base_uri, errors):
+        doc.children[0].children[1].append(n)
     return doc

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tagweave.markup import edit as E
 from tagweave.markup import match, safelist, scripts
 from tagweave.markup import text as X
 from tagweave.markup.tags import FORM_SUBMIT
+from tagweave.markup.tree import Node
 from tagweave.operators import select as R
 from tagweave.operators import text as RT
 from tagweave.operators.parse import document, per_page
@@ -45,6 +48,22 @@ def counts_of(pages: DataFrame, css: str, mode: str = "html") -> DataFrame:
     return per_page(pages, work, COUNTS)
 
 
+def completed(root: Node) -> Iterator[tuple[Node, bool]]:
+    """Elements below and at a node in order of completion, with whether an element follows among siblings."""
+    todo = [(root, False, False)]
+    while todo:
+        n, more, leaving = todo.pop()
+        if leaving:
+            yield n, more
+        elif n.kind in ("element", "document"):
+            todo.append((n, more, True))
+            later = False
+            for c in reversed(n.children):
+                if c.kind == "element":
+                    todo.append((c, later, False))
+                    later = True
+
+
 STREAMED = pa.schema([("page_id", pa.int64()), ("emit_ord", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("text", pa.string()), ("has_next", pa.bool_())])
 
 
@@ -52,16 +71,7 @@ def stream_elements(pages: DataFrame, mode: str = "html") -> DataFrame:
     """Every element in order of completion: an element is complete when its next sibling opens or its parent ends."""
 
     def work(k, h, u):
-        done, todo = [], [(document(h, u, mode), False)]
-        while todo:
-            n, leaving = todo.pop()
-            if leaving:
-                siblings = n.parent.elements() if n.parent is not None else [n]
-                done.append((k, len(done), n.tag, n.attr("id"), X.own_text(n), siblings[-1] is not n))
-            elif n.kind in ("element", "document"):
-                todo.append((n, True))
-                todo.extend((c, False) for c in reversed(n.children))
-        return done
+        return [(k, i, n.tag, n.attr("id"), X.own_text(n), more) for i, (n, more) in enumerate(completed(document(h, u, mode)))]
 
     return per_page(pages, work, STREAMED)
 
@@ -69,12 +79,13 @@ def stream_elements(pages: DataFrame, mode: str = "html") -> DataFrame:
 HTML = pa.schema([("page_id", pa.int64()), ("html", pa.string())])
 
 
-def serialise(pages: DataFrame, pretty: bool = False, indent: int = 1, xml: bool = False, mode: str = "base", charset: str = "utf-8") -> DataFrame:
+def serialise(pages: DataFrame, pretty: bool = False, indent: int = 1, xml: bool = False, mode: str = "base", charset: str = "utf-8", outline: bool = False, most_padding: int = 30) -> DataFrame:
     """Markup of the parsed pages: as it stands or indented."""
+    out = X.Output(pretty, indent, outline, xml, mode, charset, most_padding)
 
     def work(k, h, u):
         doc = document(h, u, "xml" if xml else "html")
-        return [(k, X.pretty_html(doc, indent) if pretty else X.outer_html(doc, xml, mode, charset))]
+        return [(k, X.inner_markup(doc, out))]
 
     return per_page(pages, work, HTML)
 
@@ -116,7 +127,7 @@ def css_selectors(pages: DataFrame, css: str) -> DataFrame:
 
     def work(k, h, u):
         doc = document(h, u)
-        return [(k, i, scripts.css_selector(e, doc)) for i, e in enumerate(match.select(doc, css, doc.base_uri))]
+        return [(k, i, path) for i, path in enumerate(scripts.css_selectors(doc, match.select(doc, css, doc.base_uri)))]
 
     return per_page(pages, work, PATHS)
 
@@ -180,13 +191,24 @@ def form_data(pages: DataFrame) -> DataFrame:
 
     def work(k, h, u):
         doc, out = document(h, u), []
-        every = list(doc.walk())
-        for i, form in enumerate(e for e in every if e.tag == "form"):
-            below = {id(n) for n in form.walk()}
-            for e in every:
-                if e.tag in FORM_SUBMIT and (id(e) in below or e.form is form) and e.attr("name") and e.attr("disabled") is None and (e.attr("type") or "").lower() not in ("button", "image", "submit", "reset"):
+        number: dict[int, int] = {}
+        found = [e for e in doc.walk() if e.tag == "form" and e.kind == "element"]
+        for i, form in enumerate(found):
+            number[id(form)] = i
+        owner: dict[int, list[int]] = {}
+        todo = [(doc, ())]
+        while todo:  # the forms that an element is below, outermost first
+            n, forms = todo.pop()
+            forms = (*forms, number[id(n)]) if id(n) in number else forms
+            if n.kind == "element" and n.tag in FORM_SUBMIT:
+                owner[id(n)] = list(dict.fromkeys([*forms, *([number[id(n.form)]] if n.form is not None and id(n.form) in number else [])]))
+            todo.extend((c, forms) for c in n.children)
+        for e in doc.walk():
+            if owner.get(id(e)) and e.attr("name") and e.attr("disabled") is None and (e.attr("type") or "").lower() not in ("button", "image", "submit", "reset"):
+                for i in owner[id(e)]:
+                    form = found[i]
                     out += [(k, i, match.attribute(form, "abs:action", doc.base_uri) or u, (form.attr("method") or "get").lower(), e.attr("name"), v) for v in value(e)]
-        return out
+        return sorted(out, key=lambda r: r[1])
 
     return per_page(pages, work, CONTROLS)
 

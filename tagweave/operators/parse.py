@@ -21,27 +21,34 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tagweave.markup import tags as T
 from tagweave.markup import text as X
-from tagweave.markup.tree import Document, Node, parse, parse_body_fragment, parse_xml
+from tagweave.markup.tree import FOLD, KEEP, Document, Node, Settings, parse, parse_fragment, parse_xml, shell
 
 _POSITION = pa.struct([("pos", pa.int32()), ("line", pa.int32()), ("col", pa.int32())])
+_RANGE = pa.struct([("start", _POSITION), ("end", _POSITION)])
+_ATTR_SRC = pa.struct([("name", pa.string()), ("name_range", _RANGE), ("value_range", _RANGE)])
 NODES = pa.schema([
     ("doc", pa.int64()), ("page_id", pa.int64()), ("pre", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
     ("tag_raw", pa.string()), ("ns", pa.string()), ("sib_idx", pa.int32()), ("eidx", pa.int32()), ("ecount", pa.int32()), ("tidx", pa.int32()), ("tcount", pa.int32()),
     ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("value", pa.string()),
     ("base_uri", pa.string()), ("form_pre", pa.int32()), ("empty", pa.bool_()), ("piece", pa.string()), ("space_before", pa.bool_()), ("space_after", pa.bool_()),
-    ("src", pa.struct([("start", _POSITION), ("end", _POSITION)])),
+    ("src", pa.struct([("start", _POSITION), ("end", _POSITION)])), ("attr_src", pa.list_(_ATTR_SRC)),
 ])
 
 #: White space that ``pre`` and its like keep, set apart from white space that collapses.
 KEPT = {ord(c): chr(0xE000 + k) for k, c in enumerate(" \t\n\f\r\xa0")}
 
 
-def document(html: str | None, base_uri: str | None = "", mode: str = "html", errors: list | None = None) -> Document:
-    """mode: html, fragment (the inside of a body) or xml."""
+def document(html: str | None, base_uri: str | None = "", mode: str = "html", errors: list | None = None, settings: Settings | None = None) -> Document:
+    """mode: html, xml, fragment (the inside of a body) or fragment:NAME (the inside of an element of that name)."""
     html, base_uri = html or "", base_uri or ""
     if mode == "xml":
-        return parse_xml(html, base_uri, errors)
-    return parse_body_fragment(html, base_uri) if mode == "fragment" else parse(html, base_uri, errors)
+        return parse_xml(html, base_uri, errors, settings or KEEP)
+    if mode == "html":
+        return parse(html, base_uri, errors, settings or FOLD)
+    doc, context = shell(base_uri), mode.partition(":")[2] or "body"
+    for n in parse_fragment(html, context, base_uri, errors, settings or FOLD):
+        doc.children[0].children[1].append(n)
+    return doc
 
 
 def _positions(source: str) -> Callable[[int], dict | None]:
@@ -91,6 +98,7 @@ def rows_of(doc: Document, page_id, source: str | None = None, number: int = 0)
             piece, block or node.tag == "br",
             block and follow is not None and (follow.kind in X.TEXT or (follow.kind == "element" and follow.tag not in T.BLOCK)),
             {"start": at(node.start), "end": at(node.end)} if at and node.start >= 0 else None,
+            [{"name": n, "name_range": {"start": at(a), "end": at(b)}, "value_range": {"start": at(c), "end": at(d)}} for n, a, b, c, d in node.ranges] if at and element else None,
         ))
         todo.append(pre)
         counts: dict[str, int] = {}
@@ -133,20 +141,20 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def parse_pages(pages: DataFrame, mode: str = "html", positions: bool = False) -> DataFrame:
-    """The nodes of pages (page_id, url, html)."""
-    return per_page(pages, lambda k, h, u, number: rows_of(document(h, u, mode), k, h if positions else None, number), NODES, numbered=True)
+def parse_pages(pages: DataFrame, mode: str = "html", positions: bool = False, settings: Settings | None = None) -> DataFrame:
+    """The nodes of pages (page_id, url, html); with ``positions`` where nodes and attributes stand in the markup."""
+    return per_page(pages, lambda k, h, u, number: rows_of(document(h, u, mode, settings=settings), k, h if positions else None, number), NODES, numbered=True)
 
 
 ERRORS = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("line", pa.int32()), ("col", pa.int32()), ("msg", pa.string())])
 
 
-def parse_errors(pages: DataFrame, most: int | None = None) -> DataFrame:
-    """Errors met in the markup, at most ``most`` of a page."""
+def parse_errors(pages: DataFrame, most: int | None = None, mode: str = "html") -> DataFrame:
+    """Errors met in the markup by the tokeniser and by tree construction, in order, at most the first ``most`` of a page."""
 
     def work(k, h, u):
         errors: list = []
-        document(h, u, errors=errors)
+        document(h, u, mode, errors)
         at = _positions(h)
         return [(k, (p := at(pos))["pos"], p["line"], p["col"], msg) for pos, msg in errors[:most]]
 

@@ -97,25 +97,6 @@ def with_below(frame: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.withColumn("__next", F.min("__mark").over(later)).where("__own and __next < end").drop("__mark", "__own", "__next")
 
 
-def _free(plan) -> bool:
-    """Whether a plan's answer doesn't depend on the element that it is tried below."""
-    if isinstance(plan, S.Test):
-        return plan.name not in ("root", "scope") and (plan.name, plan.args[:1]) != ("index", ("lt",))
-    if isinstance(plan, S.All | S.Any):
-        return all(map(_free, plan.parts))
-    return _free(plan.inner) if isinstance(plan, S.Not | S.Is) else isinstance(plan, S.Has)
-
-
-def _simple_has(inner) -> tuple[str, object] | None:
-    """(how, plan) if a plan inside ``:has`` asks for one relation to the element and nothing else of it."""
-    parts = inner.parts if isinstance(inner, S.All) else (inner,)
-    tied = [p for p in parts if isinstance(p, S.Related) and p.left == S.Test("scope")]
-    rest = tuple(p for p in parts if p not in tied)
-    if len(tied) > 1 or not rest or not all(map(_free, rest)):
-        return None
-    return (tied[0].how if tied else "ancestor"), (rest[0] if len(rest) == 1 else S.All(rest))
-
-
 class _Compiler:
     def __init__(self, nodes: DataFrame):
         self.nodes = nodes
@@ -159,7 +140,7 @@ class _Compiler:
         return frame.join(first, ["doc", "scope", "parent"]).where(c("eidx") > c("__first")).drop("__first").select(*frame.columns)
 
     def has(self, plan: S.Has, frame: DataFrame) -> DataFrame:
-        c, simple = F.col, _simple_has(plan.inner)
+        c, simple = F.col, S.one_relation(plan.inner)
         if simple is not None:
             how, inner = simple
             marks = self.keep(inner, every := elements(self.nodes), every)

@@ -56,6 +56,7 @@ class Has:
     sibling: bool = False  # led by + or ~: siblings are tried as well
 
 
+# The order in which parts of a conjunction are tried, which printed plans show.
 COSTS = {
     "tag": 1, "tag_ns": 1, "id": 2, "attr": 2, "attr_prefix": 6, "attr_eq": 3, "attr_ne": 3, "attr_start": 4, "attr_end": 4, "attr_has": 6, "attr_re": 8, "class": 6,
     "all": 10, "index": 2, "nth": 6, "root": 1, "scope": 1, "empty": 6, "text": 10, "text_re": 8, "match_text": -1,
@@ -80,6 +81,25 @@ def both(*parts):
     return flat[0] if len(flat) == 1 else All(tuple(sorted(flat, key=cost)))
 
 
+def is_free(plan) -> bool:
+    """Whether a plan's answer doesn't depend on the element that it is tried below."""
+    if isinstance(plan, Test):
+        return plan.name not in ("root", "scope") and (plan.name, plan.args[:1]) != ("index", ("lt",))
+    if isinstance(plan, All | Any):
+        return all(map(is_free, plan.parts))
+    return is_free(plan.inner) if isinstance(plan, Not | Is) else isinstance(plan, Has)
+
+
+def one_relation(inner) -> tuple[str, object] | None:
+    """(how, plan) if a plan inside ``:has`` asks for one relation to the element and nothing else of it."""
+    parts = inner.parts if isinstance(inner, All) else (inner,)
+    tied = [p for p in parts if isinstance(p, Related) and p.left == Test("scope")]
+    rest = tuple(p for p in parts if p not in tied)
+    if len(tied) > 1 or not rest or not all(map(is_free, rest)):
+        return None
+    return (tied[0].how if tied else "ancestor"), (rest[0] if len(rest) == 1 else All(rest))
+
+
 def to_sexpr(node) -> str:
     """The plan in prefix form."""
     if isinstance(node, Test):

@@ -80,7 +80,7 @@ CASES = {
     "<select><option>a<option>b</select>c": "<select><option>a</option><option>b</option></select>c",
     "x<b": "x",
     "&copy; &amp &ampfoo &#150; &#x41; &nosuch;": "© &amp; &amp;ampfoo – A &amp;nosuch;",
-    "<div/>x": "<div>x</div>",
+    "<div/>x": "<div></div>x", "<title/>x<textarea/>y<script/>z": "x<textarea></textarea>y<script></script>z", "<b/>x<x-y/>z": "<b></b>x<x-y />z",
     "<svg viewBox=1><g/></svg>t": '<svg viewbox="1"><g /></svg>t',
     "<h1>a<h2>b": "<h1>a</h1><h2>b</h2>",
     "<dl><dt>a<dd>b<dt>c</dl>": "<dl><dt>a</dt><dd>b</dd><dt>c</dt></dl>",
