@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from tagweave.markup.tree import Node, parse_fragment
+from tagweave.markup.tree import Document, Node, parse_fragment
 
 
 def _fragment(e: Node, html: str, inside: bool) -> list[Node]:
@@ -129,7 +130,92 @@ def toggle_class(e: Node, name: str) -> None:
     _classes(e, lambda c: [x for x in c if x != name] if name in c else [*c, name])
 
 
+def append_element(e: Node, tag: str) -> None:
+    e.append(Node("element", tag.lower(), raw_tag=tag))
+
+
+def prepend_element(e: Node, tag: str) -> None:
+    e.append(Node("element", tag.lower(), raw_tag=tag), 0)
+
+
+def clear_attrs(e: Node, _: str = "") -> None:
+    e.attrs = []
+
+
+def set_value(e: Node, value: str) -> None:
+    """What a form control holds: the text of a ``textarea``, else the attribute ``value``."""
+    set_text(e, value) if e.tag == "textarea" else set_attr(e, f"value={value}")
+
+
+def set_data(e: Node, data: str) -> None:
+    """The contents of a script, style or comment."""
+    if e.kind != "element":
+        e.value = data
+    else:
+        empty(e)
+        e.append(Node("data", "#data", value=data))
+
+
+def split_text(e: Node, at: str) -> None:
+    """The first text of an element (or a text) becomes two, before a place."""
+    n = e if e.kind == "text" else next((c for c in e.children if c.kind == "text"), None)
+    if n is None or not 0 <= int(at) <= len(n.value):
+        raise ValueError(f"no text to split at {at}")
+    rest = Node("text", "#text", value=n.value[int(at) :])
+    n.value = n.value[: int(at)]
+    if n.parent is not None:
+        n.parent.append(rest, n.index() + 1)
+
+
+def insert_children(e: Node, at: int, nodes: list[Node]) -> None:
+    """Nodes before the child at a place; a negative place counts from behind the last."""
+    at = at if at >= 0 else len(e.children) + 1 + at
+    if not 0 <= at <= len(e.children):
+        raise IndexError(f"{at} is no place among {len(e.children)} children")
+    _insert(e, at, nodes)
+
+
+def as_declaration(comment: Node) -> Node | None:
+    """The declaration that a comment holds in its place, as ``<?xml version="1.0"?>`` read as HTML has become; else ``None``."""
+    data = comment.value
+    if comment.kind != "comment" or len(data) < 2 or data[0] not in "!?" or data[1] in "!?":
+        return None
+    body = data[1:].removesuffix("?")
+    new = Node("declaration", f"{data[0]}declaration" if data[0] == "!" else "#declaration", value=body, ns="xml")
+    if comment.parent is not None:
+        parent, at = comment.parent, comment.index()
+        comment.remove()
+        parent.append(new, at)
+    return new
+
+
+def set_title(doc: Node, title: str) -> None:
+    head = next(n for n in doc.walk() if n.tag == "head")
+    found = next((n for n in head.walk() if n.tag == "title"), None) or head.append(Node("element", "title"))
+    set_text(found, title)
+
+
+def set_charset(doc: Document, charset: str) -> None:
+    """The declared character set: ``meta charset`` of the head, which other metas of that kind give way to, or the XML declaration."""
+    if doc.xml:
+        first = next((c for c in doc.children if c.kind == "declaration"), None)
+        value = re.sub(r'encoding="[^"]*"', f'encoding="{charset}"', first.value) if first is not None and "encoding" in first.value else f'xml version="1.0" encoding="{charset}"'
+        if first is not None:
+            first.value = value
+        else:
+            doc.append(Node("declaration", "#declaration", value=value, ns="xml"), 0)
+        return
+    every = list(doc.walk())
+    own = next((n for n in every if n.tag == "meta" and n.attr("charset") is not None), None)
+    if own is None:
+        own = next(n for n in every if n.tag == "head").append(Node("element", "meta"))
+    set_attr(own, f"charset={charset}")
+    for n in every:
+        if n.tag == "meta" and (n.attr("name") or "").lower() == "charset":
+            n.remove()
+
+
 OPERATIONS: dict[str, Callable[[Node, str], None]] = {
     f.__name__: f
-    for f in (before, after, append, prepend, inner, empty, remove, unwrap, wrap, replace_with, set_text, append_text, prepend_text, rename, set_attr, remove_attr, add_class, remove_class, toggle_class)
+    for f in (before, after, append, prepend, inner, empty, remove, unwrap, wrap, replace_with, set_text, append_text, prepend_text, rename, set_attr, remove_attr, add_class, remove_class, toggle_class, append_element, prepend_element, clear_attrs, set_value, set_data, split_text)
 }

@@ -127,12 +127,23 @@ class XmlBuilder:
         self.tokens = Tokeniser(text, True, errors)
         self.settings = settings
 
+        self.stack: list[Node] = [self.doc]
+        self.fresh: list[Node] | None = None  # elements put into the tree, for who follows the building
+
     def build(self) -> Document:
-        stack: list[Node] = [self.doc]
-        while (t := self.tokens.next()).kind != "eof":
+        while self.step():
+            pass
+        return self.doc
+
+    def step(self) -> bool:
+        """One token further; false after the last."""
+        stack = self.stack
+        if (t := self.tokens.next()).kind != "eof":
             if t.kind == "start":
                 node = stack[-1].append(Node("element", t.name.lower(), _attrs(t, self.settings), ns="xml", raw_tag=self.settings.tag(t.name), start=t.start, end=t.end))
                 node.closed, node.ranges = t.closed, t.ranges
+                if self.fresh is not None:
+                    self.fresh.append(node)
                 if not t.closed:
                     stack.append(node)
             elif t.kind == "end":
@@ -143,7 +154,7 @@ class XmlBuilder:
                 stack[-1].append(Node("doctype", "#doctype", [("name", t.name), ("publicId", t.attrs[0]), ("systemId", t.attrs[1]), ("pubSysKey", t.attrs[2])]))
             else:
                 stack[-1].append(Node(t.kind, f"#{t.kind}", value=t.name, ns="xml", start=t.start, end=t.end))
-        return self.doc
+        return t.kind != "eof"
 
 
 class HtmlBuilder:
@@ -163,6 +174,7 @@ class HtmlBuilder:
         self.frames_ok = True
         self.skip_newline = False
         self.self_closed: str | None = None
+        self.fresh: list[Node] | None = None  # elements put into the tree, for who follows the building
         self.base_set = False
         self.context: Node | None = None
         if context is not None:
@@ -188,15 +200,19 @@ class HtmlBuilder:
     # -- running
 
     def build(self) -> Document:
-        while True:
-            t = self.tokens.next()
-            self.process(t)
-            if self.self_closed is not None:  # a tag that closes itself is a start and an end
-                name, self.self_closed = self.self_closed, None
-                self.process(Token("end", name, start=t.end, end=t.end))
-            if t.kind == "eof":
-                return self.doc
-            self.tokens.foreign = bool(self.stack) and self.stack[-1].ns in (SVG, MATHML)
+        while self.step():
+            pass
+        return self.doc
+
+    def step(self) -> bool:
+        """One token further; false after the last."""
+        t = self.tokens.next()
+        self.process(t)
+        if self.self_closed is not None:  # a tag that closes itself is a start and an end
+            name, self.self_closed = self.self_closed, None
+            self.process(Token("end", name, start=t.end, end=t.end))
+        self.tokens.foreign = bool(self.stack) and self.stack[-1].ns in (SVG, MATHML)
+        return t.kind != "eof"
 
     def process(self, t: Token) -> None:
         if self.skip_newline:
@@ -257,6 +273,8 @@ class HtmlBuilder:
     def place(self, node: Node) -> None:
         parent, at = self.spot()
         parent.append(node, at)
+        if self.fresh is not None and node.kind == "element":
+            self.fresh.append(node)
 
     def spot(self) -> tuple[Node, int | None]:
         top = self.stack[-1] if self.stack else self.doc

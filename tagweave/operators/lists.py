@@ -105,3 +105,52 @@ def each_text(nodes: DataFrame, found: DataFrame) -> DataFrame:
 def joined_text(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(page_id, text): the texts of a page's list joined by a space."""
     return each_text(nodes, found).select("page_id", F.array_join("values", " ").alias("text"))
+
+
+def retain(found: DataFrame, others: DataFrame) -> DataFrame:
+    """Those that are among others."""
+    return found.join(others.select(*_AT).distinct(), _AT, "left_semi")
+
+
+def remove_all(found: DataFrame, others: DataFrame) -> DataFrame:
+    """Those that are not among others."""
+    return found.join(others.select(*_AT).distinct(), _AT, "left_anti")
+
+
+def remove_if(found: DataFrame, condition: Column) -> DataFrame:
+    """Those for which a condition doesn't hold."""
+    return found.where(~F.coalesce(condition, F.lit(False)))
+
+
+def below(nodes: DataFrame, found: DataFrame, *kinds: str) -> DataFrame:
+    """All nodes of the kinds below the elements of a list (or themselves), each once."""
+    from tagweave.operators.navigate import subtree
+
+    return subtree(nodes, found, *kinds)
+
+
+def comments(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return below(nodes, found, "comment")
+
+
+def text_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return below(nodes, found, "text", "cdata")
+
+
+def data_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    return below(nodes, found, "data")
+
+
+def value(nodes: DataFrame, found: DataFrame, name: str = "value") -> DataFrame:
+    """``found`` with what form controls hold: the text of a ``textarea``, else the attribute ``value`` or ""."""
+    areas = RT.with_text(nodes, found.where("tag = 'textarea'"), "whole", name)
+    rest = found.where("tag <> 'textarea'").withColumn(name, F.coalesce(N.attr("value"), F.lit("")))
+    return rest.unionByName(areas)
+
+
+def has_class(found: DataFrame, name: str) -> DataFrame:
+    return found.where(F.array_contains("classes", name.lower()))
+
+
+def has_attr(found: DataFrame, name: str) -> DataFrame:
+    return found.where(N.has_attr(name))

@@ -26,13 +26,16 @@ def read_file_stream(spark: SparkSession, path: str, per_trigger: int = 1000) ->
 
 def links(pages: DataFrame, css: str = "a[href]") -> DataFrame:
     """Links of a batch or a stream of pages, absolute, one row each."""
-    found = P.select_pages(pages, css).join(pages.select("page_id", "url"), "page_id") if not pages.isStreaming else None
-    if found is None:
-        raise ValueError("on a stream use select_pages, whose rows carry the page's id")
     href = F.get(F.filter("attrs", lambda a: a["name"] == "href"), F.lit(0))["value"]
-    return found.select("page_id", "ord", "text", resolve_url("url", href).alias("href"))
+    return P.select_pages(pages, css).select("page_id", "ord", "text", resolve_url("base_uri", href).alias("href"))
 
 
 def counts_by_window(found: DataFrame, at: str, by: str, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Rows of a stream counted by a column and time window; rows later than ``late`` are left out."""
     return found.withWatermark(at, late).groupBy(F.window(at, window), by).agg(F.count("*").alias("n"))
+
+
+def first_seen(found: DataFrame, at: str, by: str, late: str = "2 hours") -> DataFrame:
+    """Rows of a stream with the first of each value of a column; a value counts as new again once the watermark
+    has passed it, so that state stays bounded."""
+    return found.withWatermark(at, late).dropDuplicatesWithinWatermark([by])
