@@ -6,7 +6,9 @@ keyed by their Hamming distance to the parent, and a search at distance d follow
 d - radius .. d + radius. A tree goes to the task that searches it, with its shard; trees of the
 whole corpus are never broadcast, since they grow with it. A shard of over ``SPLIT`` fingerprints is
 split again by blocks of its remaining bits, which is exact for the same reason, so that no task
-holds a very large shard unless its fingerprints agree nearly everywhere.
+holds a very large shard unless its fingerprints agree nearly everywhere: different fingerprints that
+agree in all blocks but the last few bits are few. A task builds the trees of one large shard or of some
+small ones at a time.
 
 Links are reduced to a spanning forest where they are found; components over all shards follow by
 large-star and small-star steps.
@@ -29,33 +31,43 @@ from pyspark.sql import functions as F
 from tagweave.llm import common
 from tagweave.llm.components import connected_components
 
-SEED, SPLIT = 42, 2000
+SEED, SPLIT, TOGETHER = 42, 2000, 200_000
+#: Blocks of fewer bits are not worth a split.
+LEAST_BITS = 3
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = (np.arange(8) * 256).astype(np.int16)
 
 
-def simhash(text: str, words: int = 3) -> int:
-    """The fingerprint of one text; ASCII case and white space are folded."""
+def shingle_hashes(text: str, words: int) -> list[int]:
+    """Hashes of a text's runs of words, repeats included; ASCII case and white space are folded."""
     split = text.encode("utf-8", "surrogatepass").lower().split()
     if not split:
-        return 0
+        return []
     joined, digest = b" ".join(split), xxhash.xxh64_intdigest
     if len(split) <= words:
-        hashes = [digest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        spans = zip(starts[: 1 - words or None].tolist(), ends[words - 1 :].tolist(), strict=True)
-        hashes = [digest(joined[a:b], SEED) for a, b in spans]
+        return [digest(joined, SEED)]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    spans = zip(starts[: 1 - words or None].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return [digest(joined[a:b], SEED) for a, b in spans]
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes (unsigned, 64 bits) have."""
     votes = np.zeros(2048, np.int64)
     for at in range(0, len(hashes), 1 << 18):
-        part = np.asarray(hashes[at : at + (1 << 18)], "<u8").view(np.uint8).reshape(-1, 8)
+        part = np.ascontiguousarray(hashes[at : at + (1 << 18)], "<u8").view(np.uint8).reshape(-1, 8)
         votes += np.bincount((part + _PLACES).ravel(), minlength=2048)
     ones = np.einsum("pv,vb->pb", votes.reshape(8, 256), _BITS)
     return int.from_bytes(np.packbits((2 * ones > len(hashes)).astype(np.uint8)).tobytes(), "little")
 
 
+def simhash(text: str, words: int = 3) -> int:
+    """The fingerprint of one text."""
+    return fingerprint(np.asarray(shingle_hashes(text, words), np.uint64))
+
+
 class _Fingerprints:
     SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
@@ -132,27 +144,44 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Links:
-    """A spanning forest (u, v) of the links inside the shards of one partition."""
+    """Spanning forests (u, v) of the links inside the shards of rows (tab, key, fp, node) sorted by shard.
+
+    Small shards are taken together until they have ``TOGETHER`` fingerprints, so a task holds so many or
+    one shard.
+    """
 
     SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    COLUMNS = ("tab", "key", "fp", "node")
 
     def __init__(self, radius: int):
         self.radius = radius
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        held = pa.Table.from_batches(held)
-        node = held.column("node").to_numpy()
-        order = np.argsort(node)
-        node, fp = node[order], held.column("fp").to_numpy()[order].view(np.uint64)
-        shard = np.unique(np.stack([held.column(c).to_numpy()[order] for c in ("tab", "key")], 1), axis=0, return_inverse=True)[1].ravel()
+        held: list[list[np.ndarray]] = []
+        n, most = 0, TOGETHER
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in self.COLUMNS])
+            n += batch.num_rows
+            if n > most:
+                tab, key, fp, node = (np.concatenate(c) for c in zip(*held, strict=True))
+                other = np.flatnonzero((tab != tab[-1]) | (key != key[-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0  # the last shard may go on
+                if cut:
+                    yield self._forest(tab[:cut], key[:cut], fp[:cut], node[:cut])
+                held, n = [[tab[cut:], key[cut:], fp[cut:], node[cut:]]], n - cut
+                most = max(TOGETHER, 2 * n)
+        if n:
+            yield self._forest(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def _forest(self, tab, key, fp, node) -> pa.RecordBatch:
+        order = np.argsort(node, kind="stable")
+        node, fp = node[order], fp[order].view(np.uint64)
+        shard = np.unique(np.stack([tab[order], key[order]], 1), axis=0, return_inverse=True)[1].ravel()
         roots = np.arange(len(node))
         for query, found in Forest(fp, shard).search(self.radius):
             roots = unite(roots, query, found)
         linked = np.flatnonzero(roots != np.arange(len(node)))
-        yield common.table({"u": node[linked], "v": node[roots[linked]]}, self.SCHEMA)
+        return common.table({"u": node[linked], "v": node[roots[linked]]}, self.SCHEMA)
 
 
 def _blocks(bits: list[int], parts: int) -> list[list[int]]:
@@ -168,30 +197,45 @@ def _key(bits: list[int]):
 
 
 def shards(nodes: DataFrame, radius: int, split: int = SPLIT) -> DataFrame:
-    """(tab, key, fp, node): every fingerprint in each of its shards; shards of one member are left out."""
-    outer = _blocks(list(range(64)), radius + 1)
-    once = nodes.select("fp", "node", F.posexplode(F.array(*[_key(b) for b in outer])).alias("tab", "key"))
-    once = common.materialise(once, "shards")
-    sizes = common.materialise(once.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    joined = once.join(sizes, ["tab", "key"])
-    whole = joined.where(F.col("n") <= split).select("tab", "key", "fp", "node")
-    inner = []
-    for k, block in enumerate(outer):
-        rest = [b for b in range(64) if b not in block]
-        inner.append(F.array(*[_key(b + block) for b in _blocks(rest, radius + 1)]))
-    keys = F.coalesce(*[F.when(F.col("tab") == k, a) for k, a in enumerate(inner)])
-    again = joined.where(F.col("n") > split).select("fp", "node", "tab", F.posexplode(keys).alias("sub", "key"))
-    again = again.select((F.col("tab") * (radius + 1) + F.col("sub") + radius + 1).cast("int").alias("tab"), "key", "fp", "node")
-    return whole.unionByName(again)
+    """(tab, key, fp, node): every fingerprint in each of its shards; shards of one member are left out.
+
+    Shards of over ``split`` members are cut by blocks of the bits that are left, again and again while
+    blocks of at least ``LEAST_BITS`` bits each remain.
+    """
+    spaces = {0: list(range(64))}  # tab -> the bits in which its members may still differ
+    rest = nodes.select("fp", "node", F.lit(0).alias("tab"), F.lit(0).cast("long").alias("key"))
+    whole, fresh = None, 1
+    while True:
+        arrays, below = [], {}
+        for tab, bits in spaces.items():
+            blocks = _blocks(bits, radius + 1)
+            fixed = [b for b in range(64) if b not in bits]  # in them the members of a shard agree
+            arrays.append(F.when(F.col("tab") == tab, F.array(*[F.struct(F.lit(fresh + k).alias("tab"), _key(b + fixed).alias("key")) for k, b in enumerate(blocks)])))
+            below |= {fresh + k: [x for x in bits if x not in b] for k, b in enumerate(blocks)}
+            fresh += len(blocks)
+        cut = common.materialise(rest.select("fp", "node", F.inline(F.coalesce(*arrays))), "shards")
+        sizes = common.materialise(cut.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        joined = cut.join(sizes, ["tab", "key"])
+        large = [t for (t,) in sizes.where(F.col("n") > split).select("tab").distinct().collect() if len(below[t]) // (radius + 1) >= LEAST_BITS]
+        again = F.col("tab").isin(large) & (F.col("n") > split) if large else F.lit(False)
+        done = joined.where(~again).select("tab", "key", "fp", "node")
+        whole = done if whole is None else whole.unionByName(done)
+        if not large:
+            return whole
+        rest, spaces = joined.where(again).select("fp", "node", "tab", "key"), {t: below[t] for t in large}
+
+
+def near_links(nodes: DataFrame, radius: int = 3, split: int = SPLIT) -> DataFrame:
+    """Links (u, v) of nodes that join all fingerprints (fp, node) within ``radius`` bits, directly or by others."""
+    dealt = shards(nodes, radius, split).repartition("tab", "key").sortWithinPartitions("tab", "key")
+    return dealt.mapInArrow(_Links(radius), "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, radius: int = 3, words: int = 3, split: int = SPLIT) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     fps = common.materialise(docs.select("doc_id", "text").mapInArrow(_Fingerprints(words), "doc_id bigint, fp bigint"), "fingerprints")
     nodes = common.materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    dealt = shards(nodes, radius, split).repartition("tab", "key")
-    links = dealt.mapInArrow(_Links(radius), "u bigint, v bigint")
-    found = common.materialise(connected_components(links), "components")
+    found = common.materialise(connected_components(near_links(nodes, radius, split)), "components")
     named = common.materialise(nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "named")
     out = fps.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

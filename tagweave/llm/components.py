@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import materialise
+from tagweave.llm.common import discard, materialise
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
@@ -28,11 +28,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _mark(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_mins(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _mins(both)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "large")
         mins = _mins(large)
         small = large.join(mins, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.union(mins.select("u", F.col("m").alias("v"))).distinct(), "small")
+        old, edges = edges, materialise(small.union(mins.select("u", F.col("m").alias("v"))).distinct(), "small")
+        discard(old, least, large, mins)
         after = _mark(edges)
         if after == before:
             break

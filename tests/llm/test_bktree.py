@@ -39,8 +39,9 @@ def test_simhash():
         assert bktree.simhash(t) == plain_simhash(t), t
 
 
-@pytest.mark.parametrize("split", [2000, 3])
-def test_components_equal_brute_force(docs, split):
+@pytest.mark.parametrize(("split", "together"), [(2000, 200_000), (3, 200_000), (2000, 8)])
+def test_components_equal_brute_force(docs, monkeypatch, split, together):
+    monkeypatch.setattr(bktree, "TOGETHER", together)
     rng = random.Random(3)
     words = [f"w{k}" for k in range(400)]
     base = [[rng.choice(words) for _ in range(120)] for _ in range(25)]
@@ -77,3 +78,23 @@ def test_connected_components_of_a_path(spark):
     n = 40
     got = connected_components(spark.createDataFrame([(k, k + 1) for k in range(1, n)] + [(100, 101), (7, 7)], "u bigint, v bigint")).collect()
     assert {(r.node, r.component) for r in got} == {(k, 1) for k in range(1, n + 1)} | {(100, 100), (101, 100)}
+
+
+def test_forests_of_streamed_shards_equal_those_of_whole_partitions(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 9, 300))
+    fp = rng.integers(0, 1 << 10, 300)
+    rows = {"tab": np.zeros(300, np.int32), "key": key, "fp": fp, "node": rng.permutation(300)}
+    table = pa.table(rows)
+
+    def links(together, size):
+        monkeypatch.setattr(bktree, "TOGETHER", together)
+        found = [b for b in bktree._Links(1)(iter(table.to_batches(max_chunksize=size)))]
+        root = np.arange(300)
+        for b in found:
+            root = bktree.unite(root, b.column("u").to_numpy(), b.column("v").to_numpy())
+        return root.tolist()
+
+    assert links(1 << 30, 1000) == links(1, 7) == links(50, 20)
