@@ -336,10 +336,9 @@ class HtmlBuilder:
         while self.stack and self.stack[-1].tag != but and self.stack[-1].tag in (T.THOROUGH_END if thorough else T.IMPLIED_END):
             self.stack.pop()
 
-    def close_p(self) -> None:
+    def close_p(self, t: Token) -> None:
         if self.button_scope("p"):
-            self.imply_end("p")
-            self.pop_to("p")
+            self.close(Token("end", "p", start=t.end, end=t.end), "p", "p", but="p")
 
     def on_stack(self, name: str) -> bool:
         return any(n.tag == name for n in self.stack)
@@ -704,10 +703,10 @@ class HtmlBuilder:
                 self.reconstruct()
             self.push_active(self.insert(t))
         elif name in T.P_CLOSERS:
-            self.close_p()
+            self.close_p(t)
             self.insert(t)
         elif name in T.HEADINGS:
-            self.close_p()
+            self.close_p(t)
             if self.stack[-1].tag in T.HEADINGS:
                 self.error(t, "InBody")
                 self.stack.pop()
@@ -722,7 +721,7 @@ class HtmlBuilder:
                     break
                 if node.tag in T.SPECIAL and node.tag not in ("address", "div", "p"):
                     break
-            self.close_p()
+            self.close_p(t)
             self.insert(t)
         elif name in ("area", "br", "embed", "img", "keygen", "wbr"):
             self.reconstruct()
@@ -738,16 +737,16 @@ class HtmlBuilder:
         elif name in ("param", "source", "track"):
             self.insert_void(t)
         elif name == "hr":
-            self.close_p()
+            self.close_p(t)
             self.insert_void(t)
             self.frames_ok = False
         elif name in ("pre", "listing"):
-            self.close_p()
+            self.close_p(t)
             self.insert(t)
             self.skip_newline, self.frames_ok = True, False
         elif name == "form":
             if self.form is None or self.on_stack("template"):
-                self.close_p()
+                self.close_p(t)
                 node = self.insert(t)
                 if not self.on_stack("template"):
                     self.form = node
@@ -755,7 +754,7 @@ class HtmlBuilder:
                 self.error(t, "InBody")
         elif name == "table":
             if not self.doc.quirks:
-                self.close_p()
+                self.close_p(t)
             self.insert(t)
             self.frames_ok, self.mode = False, self.in_table
         elif name == "button":
@@ -798,12 +797,12 @@ class HtmlBuilder:
             self.frames_ok = False
         elif name in ("xmp", "iframe", "noembed"):
             if name == "xmp":
-                self.close_p()
+                self.close_p(t)
                 self.reconstruct()
             self.frames_ok = False
             self.raw_text(t, False)
         elif name == "plaintext":
-            self.close_p()
+            self.close_p(t)
             self.insert(t)
             self.tokens.raw = None if t.closed else ("plaintext", False)
         elif name == "select":
