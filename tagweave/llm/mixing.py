@@ -47,12 +47,13 @@ def split_budget(budget: float, capacity: Sequence[float], weight: Sequence[floa
 
 
 def leaf_budgets(tokens: dict[tuple, int], weights: Sequence[dict], budget: int, max_epochs: int, default: float = 1.0) -> dict[tuple, int]:
-    """Whole-token budgets of leaves (paths of level values) from tokens by leaf and weights by level."""
-    out: dict[tuple, int] = {}
+    """Whole-token budgets of leaves (paths of level values) from tokens by leaf and weights by level. They sum
+    to the budget, or to all that there is: what rounding down leaves goes to the largest fractions."""
+    exact: dict[tuple, float] = {}
 
     def go(paths: list[tuple], level: int, budget: float) -> None:
         if level == len(paths[0]):
-            out[paths[0]] = min(int(budget + 1e-6), tokens[paths[0]] * max_epochs)
+            exact[paths[0]] = min(budget, float(tokens[paths[0]] * max_epochs))
             return
         children: dict = {}
         for p in paths:
@@ -64,6 +65,11 @@ def leaf_budgets(tokens: dict[tuple, int], weights: Sequence[dict], budget: int,
 
     if tokens:
         go(sorted(tokens), 0, float(budget))
+    out = {p: int(b + 1e-6) for p, b in exact.items()}
+    left = min(int(budget), max_epochs * sum(tokens.values())) - sum(out.values())
+    for p in sorted(exact, key=lambda p: (out[p] - exact[p], p)):
+        if left > 0 and out[p] < tokens[p] * max_epochs:
+            out[p], left = out[p] + 1, left - 1
     return out
 
 

@@ -10,8 +10,9 @@ that combines before it shuffles.
 them by that block; an overfull table entry is split by blocks of its remaining bits.
 
 ``with_next`` brings each document its successor in descending ``doc_id`` order without a global sort:
-ids are dealt into cells of equal width, and the first document of a cell is also sent, as a guest, to
-the end of the cell before.
+rows are dealt into cells of about equal numbers, cut at quantiles of id and hash of the text, and the first
+document of a cell is also sent, as a guest, to the end of the cell before. So neither outlying ids nor
+one id or null that many rows share make a large cell.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero; rows with the
 same ``doc_id`` follow each other in order of a hash of their texts; null ids come last; of a single row
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import common
 
-HEAVIEST = 63
+HEAVIEST = 63  # a count has 32 bits; with this weight it holds a text of 68 million words
+CELL_ROWS = 50_000
 _LOW = 0xFFFFFFFF
 _LANES = 0x0000000100000001
 
@@ -72,21 +74,30 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text (never null), cell, rank, next_text, next_cell and next_rank: the successor in
     descending ``doc_id`` order; after the last document comes the first."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    cells = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
-    # cells count down with the ids; null ids lie in a last cell of their own
-    cell = F.coalesce(F.floor((F.lit(high or 0) - F.col("doc_id")) / F.lit(width)), F.lit(cells + 1)).cast("long")
-    heads = [(r.cell, r.head) for r in docs.groupBy(cell.alias("cell")).agg(F.max("doc_id").alias("head")).orderBy("cell").collect()]  # at most 4 for each shuffle partition, and one
-    before = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]  # the first goes to the end of the last
-    guests = spark.createDataFrame(before, "head bigint, guest bigint")
-    placed = docs.withColumn("home", cell).join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    places = F.when(F.col("guest").isNull(), F.array(F.struct(F.col("home").alias("cell"), F.lit(0).alias("late")))).otherwise(
-        F.array(F.struct(F.col("home").alias("cell"), F.lit(0).alias("late")), F.struct(F.col("guest").alias("cell"), F.lit(1).alias("late")))
-    )
-    rows = placed.select("doc_id", "text", "home", F.inline(places))
-    order = Window.partitionBy("cell").orderBy("late", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
+    # in ascending order of these: descending ids, nulls last, then hashes of texts
+    order = [F.col("doc_id").isNull().cast("long"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))), F.xxhash64("text")]
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", *(c.alias(f"o{k}") for k, c in enumerate(order)))
+    parts, n = int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    cells = max(4 * parts, -(-n // CELL_ROWS))
+    keys = docs.select("o0", "o1", "o2").repartitionByRange(cells, "o0", "o1", "o2")
+    heads = sorted(tuple(r.head) for r in keys.groupBy(F.spark_partition_id().alias("cell")).agg(F.min(F.struct("o0", "o1", "o2")).alias("head")).collect())  # one for each cell
+    key, bounds = F.struct("o0", "o1", "o2"), [F.lit([h[k] for h in heads] or [0]).cast("array<bigint>") for k in range(3)]
+    head = lambda k: F.struct(*(F.get(b, k).alias(f"o{j}") for j, b in enumerate(bounds)))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        upper = (middle > acc["low"]) & (head(middle) <= key)
+        return F.struct(F.when(upper, middle).otherwise(acc["low"]).alias("low"), F.when(upper, acc["high"]).otherwise(middle).alias("high"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(heads)).bit_length() + 1))
+    home = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(max(1, len(heads))).alias("high")), halve, lambda acc: acc["low"])
+    placed = docs.withColumn("home", home.cast("long"))
+    is_head = head(F.col("home").cast("int")) == key
+    before = F.when(F.col("home") > 0, F.col("home") - 1).otherwise(F.lit(max(0, len(heads) - 1))).cast("long")
+    own = F.struct(F.col("home").alias("cell"), F.lit(0).alias("late"))
+    places = F.when(is_head, F.array(own, F.struct(before.alias("cell"), F.lit(1).alias("late")))).otherwise(F.array(own))
+    rows = placed.select("doc_id", "text", "o0", "o1", "o2", "home", F.inline(places)).repartition(max(parts, cells // 4), "cell")
+    order = Window.partitionBy("cell").orderBy("late", "o0", "o1", "o2")
     out = rows.select(
         "doc_id", "text", "cell", "late", F.row_number().over(order).cast("long").alias("rank"),
         F.lead("text").over(order).alias("next_text"), F.lead("home").over(order).alias("next_cell"), F.lead("late").over(order).alias("next_late"),

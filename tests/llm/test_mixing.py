@@ -1,5 +1,6 @@
 import random
-from collections import Counter, defaultdict
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +23,53 @@ def test_shortage_goes_to_siblings_before_ancestors():
     assert mixing.leaf_budgets({}, [{}, {}], 100, 1) == {}
 
 
+def plain_budgets(tokens, weights, budget, epochs):
+    """Water filling with exact fractions, one level after the other, then whole tokens by largest fractions."""
+    out = {}
+
+    def fill(budget, capacity, weight):
+        got, open_ = dict.fromkeys(capacity, Fraction(0)), {k for k, c in capacity.items() if c}
+        budget = min(budget, sum(capacity.values()))
+        while open_ and budget > sum(got.values()):
+            left, total = budget - sum(got.values()), sum(weight[k] for k in open_)
+            # up to where the first is full
+            part = {k: Fraction(weight[k]) / total if total else Fraction(1, len(open_)) for k in open_}
+            step = min([left] + [(capacity[k] - got[k]) / part[k] for k in open_ if part[k]])
+            for k in open_:
+                got[k] += step * part[k]
+            open_ = {k for k in open_ if got[k] < capacity[k]}
+        return got
+
+    def go(prefix, budget):
+        level = len(prefix)
+        below = [p for p in tokens if p[:level] == prefix]
+        if level == len(weights):
+            out[prefix] = budget
+            return
+        names = {p[level] for p in below}
+        capacity = {n: Fraction(epochs * sum(tokens[p] for p in below if p[level] == n)) for n in names}
+        for n, b in fill(budget, capacity, {n: Fraction(str(weights[level].get(n, 1))) for n in names}).items():
+            go((*prefix, n), b)
+
+    go((), Fraction(budget))
+    whole = {p: int(b) for p, b in out.items()}
+    left = min(budget, epochs * sum(tokens.values())) - sum(whole.values())
+    for p in sorted(out, key=lambda p: (whole[p] - out[p], p))[:left]:
+        whole[p] += 1
+    return whole
+
+
+def test_budgets_equal_exact_fractions():
+    rng = random.Random(2)
+    for _ in range(60):
+        tokens = {(f"domain{a}", lang, f"src{s}"): rng.choice([0, 3, 50, 1000]) for a in range(3) for lang in ("en", "de") for s in range(rng.randint(1, 3))}
+        budget, epochs = rng.randint(1, 4000), rng.randint(1, 3)
+        got = mixing.leaf_budgets(tokens, mixing.WEIGHTS, budget, epochs)
+        want = plain_budgets(tokens, mixing.WEIGHTS, budget, epochs)
+        assert sum(got.values()) == sum(want.values()) == min(budget, epochs * sum(tokens.values()))
+        assert max(abs(got[p] - want[p]) for p in tokens) <= 1
+
+
 def rows_of(seed, n):
     rng = random.Random(seed)
     return [(k, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["en", "en", "en", "de", None]), rng.choice(["src0"] * 5 + [f"src{i}" for i in range(6)] + [None]), 0) for k in range(n)]
@@ -39,7 +87,7 @@ def test_equals_brute_force(spark, docs, budget, epochs):
     for d, p in leaf_of.items():
         held[p] += size[d]
     total = sum(held.values())
-    budgets = mixing.leaf_budgets(dict(held), mixing.WEIGHTS, int(budget if budget >= 1 else budget * total), epochs)
+    budgets = plain_budgets({p: n for p, n in held.items() if n}, mixing.WEIGHTS, int(budget if budget >= 1 else budget * total), epochs)
     want = set()
     for leaf, b in budgets.items():
         own = [d for d in leaf_of if leaf_of[d] == leaf and size[d]]

@@ -73,3 +73,24 @@ def test_block_tables_find_every_pair(spark, split):
     got = {(r.a, r.b, r.distance) for r in simhash.near_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp bigint"), split=split).collect()}
     want = {(a, b, d) for a in signed for b in signed if a < b and (d := ((a ^ b) & (1 << 64) - 1).bit_count()) <= 3}
     assert got == want and want
+
+
+def test_successors_of_outlying_repeated_and_null_ids(docs):
+    rng = random.Random(8)
+    ids = [*range(20), 10**15, -(10**15), *[7] * 25, *[None] * 12]
+    rows = [(d, f"text {k} {rng.randrange(9)}") for k, d in enumerate(ids)]
+    df = docs(rows, parts=5)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = sorted((str(d), t, order[(k + 1) % len(order)][1]) for k, (d, t) in enumerate(order))
+    out = simhash.with_next(df).collect()
+    assert sorted((str(r.doc_id), r.text, r.next_text) for r in out) == want
+    at = {(r.cell, r["rank"]): r for r in out}
+    assert len(at) == len(rows) and all(at[r.next_cell, r.next_rank].text == r.next_text for r in out)
+
+
+def test_cells_hold_about_equal_numbers(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", 10)
+    ids = [5] * 300 + [10**12] + list(range(100))
+    out = simhash.with_next(docs([(d, f"t{k}") for k, d in enumerate(ids)]))
+    assert max(r["count"] for r in out.groupBy("cell").count().collect()) < 100
