@@ -44,16 +44,34 @@ PHRASES = (
     Notice("reserved", "all rights reserved", "all rights reserved", True),
 )
 NOTICES = (
+    Notice("agpl-3.0", "licensed under the gnu affero general public license", "affero general public license"),
     Notice("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    Notice("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    Notice("artistic-2.0", "under the terms of the artistic license 2 0", "artistic license"),
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
+    Notice("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "may be used to endorse or promote products"),
+    Notice("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    Notice("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     Notice("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
+    Notice("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", "cc by nc nd"),
+    Notice("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa"),
+    Notice("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd"),
     Notice("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
+    Notice("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    Notice("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain", "dedicated the work to the public domain"),
+    Notice("cddl-1.0", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    Notice("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    Notice("gpl-2.0", "as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    Notice("gpl-3.0", "as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     Notice("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
     Notice("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
     Notice("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    Notice("mit", "released under the mit license", "mit license"),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    Notice("mit", "released under the mit license", "mit license"),
+    Notice("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
     Notice("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Notice("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
 )
 
 

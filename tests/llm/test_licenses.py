@@ -42,5 +42,46 @@ def test_notices(docs):
     assert got[3][1] == 1.0 and 0.8 <= got[6][1] < 1 and got[5][1] == 0.0
 
 
+def plain_places(words, notices):
+    """Every place where enough of a notice stands with its key, by trying all places."""
+    found = []
+    for k, n in enumerate(notices):
+        own, key = WORD.findall(n.text), WORD.findall(n.key)
+        at = next(q for q in range(len(own)) if own[q : q + len(key)] == key)
+        for shift in range(1 - len(own), len(words)):
+            same = [0 <= shift + q < len(words) and words[shift + q] == w for q, w in enumerate(own)]
+            if all(same) or not n.whole and sum(same) >= licenses.COVERED * len(own) and all(same[at : at + len(key)]):
+                found.append((k, max(shift, 0), sum(same) / len(own)))
+    return found
+
+
+def test_places_equal_trying_all_places(docs):
+    rng = random.Random(6)
+    notices = licenses.PHRASES + licenses.NOTICES
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = WORD.findall(rng.choice(notices).text)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(["other", "the", "license"])
+            words += [rng.choice(["a", "the", "of", "software"]) for _ in range(rng.randint(0, 9))] + own
+        texts.append(" ".join(words))
+    df = docs(list(enumerate(texts)))
+    index = licenses.build_index(df, anchors=99)  # every word an anchor: half of them vote wherever enough stands
+    for t in texts:
+        got = index.scan(licenses.words_of(t))
+        assert sorted(got) == sorted(plain_places(WORD.findall(t), notices)), t
+    few = licenses.build_index(df)  # rare words alone lose no place that is whole
+    for t in texts:
+        whole = [p for p in plain_places(WORD.findall(t), notices) if p[2] == 1.0]
+        assert set(whole) <= set(few.scan(licenses.words_of(t)))
+
+
+def test_labels_of_every_notice(docs):
+    got = {r.doc_id: r.labels.split(",") for r in run(docs([(k, n.text) for k, n in enumerate(licenses.NOTICES)]))}
+    assert all(n.label in got[k] for k, n in enumerate(licenses.NOTICES))
+
+
 def test_empty(docs):
     assert run(docs([])) == []
