@@ -192,13 +192,27 @@ class Matcher:
         if name == "text_re":
             return re.search(args[1], _TEXTS[args[0]](e)) is not None
         if name == "match_text":
-            return any(c.kind == "text" for c in e.children)
+            return e.pseudo
         raise AssertionError(name)
 
 
+def wrap_texts(root: Node) -> None:
+    """Every text of an element below a root becomes an element of its own, of the same tag and attributes,
+    that selectors can find and that is not written."""
+    for n in list(root.walk()):
+        if n.kind == "element" and not n.pseudo:
+            for k, c in enumerate(n.children):
+                if c.kind == "text":
+                    pseudo = Node("element", n.tag, n.attrs, ns=n.ns, raw_tag=n.raw_tag)
+                    pseudo.pseudo, pseudo.parent, pseudo.children, c.parent = True, n, [c], pseudo
+                    n.children[k] = pseudo
+
+
 def select(root: Node, css: str, base: str = "", first: bool = False) -> list[Node]:
     """Elements below and at ``root`` that match, in document order."""
     plan, matcher, out = S.parse(css), Matcher(root, base), []
+    if S.asks_for(plan, "match_text"):
+        wrap_texts(root)
     for n in root.walk():
         if n.kind == "element" and matcher.test(plan, n):
             out.append(n)

@@ -236,6 +236,8 @@ class _Writer:
                 self.text(n, at, depth)
             elif n.kind == "document":
                 todo.extend((c, k, depth, False) for k, c in reversed(list(enumerate(n.children))))
+            elif n.pseudo:
+                todo.extend((c, k, depth, False) for k, c in reversed(list(enumerate(n.children))))
             elif n.kind == "element":
                 self.open(n, at, depth)
                 todo.append((n, at, depth, True))

@@ -14,7 +14,7 @@ HTML, SVG, MATHML = "html", "svg", "mathml"
 class Node:
     """kind: document element text cdata data comment declaration doctype."""
 
-    __slots__ = ("kind", "tag", "raw_tag", "ns", "attrs", "value", "parent", "children", "form", "start", "end", "closed", "ranges")
+    __slots__ = ("kind", "tag", "raw_tag", "ns", "attrs", "value", "parent", "children", "form", "start", "end", "closed", "ranges", "pseudo")
 
     def __init__(self, kind: str, tag: str = "", attrs=(), value: str = "", ns: str = HTML, raw_tag: str | None = None, start: int = -1, end: int = -1):
         self.kind, self.tag, self.ns, self.value = kind, tag, ns, value
@@ -25,6 +25,7 @@ class Node:
         self.form: Node | None = None
         self.start, self.end = start, end
         self.closed = False  # written as closed by itself
+        self.pseudo = False  # stands for a text of its parent; not written
         self.ranges: tuple = ()  # (name, start and end of the name, of the value) of attributes in the source
 
     def attr(self, name: str) -> str | None:
@@ -62,9 +63,19 @@ class Node:
     def copy(self) -> Node:
         """This node without its children."""
         new = Node(self.kind, self.tag, self.attrs, self.value, self.ns, self.raw_tag)
-        new.closed = self.closed
+        new.closed, new.pseudo = self.closed, self.pseudo
         return new
 
+    def same_value(self, other: Node) -> bool:
+        """Whether both stand for the same markup: kinds, names, attributes and contents, not places."""
+        todo = [(self, other)]
+        while todo:
+            a, b = todo.pop()
+            if (a.kind, a.raw_tag, a.attrs, a.value, len(a.children)) != (b.kind, b.raw_tag, b.attrs, b.value, len(b.children)):
+                return False
+            todo.extend(zip(a.children, b.children, strict=True))
+        return True
+
     def deep_copy(self) -> Node:
         top = self.copy()
         todo = [(self, top)]

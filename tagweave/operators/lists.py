@@ -122,23 +122,15 @@ def remove_if(found: DataFrame, condition: Column) -> DataFrame:
     return found.where(~F.coalesce(condition, F.lit(False)))
 
 
-def below(nodes: DataFrame, found: DataFrame, *kinds: str) -> DataFrame:
-    """All nodes of the kinds below the elements of a list (or themselves), each once."""
-    from tagweave.operators.navigate import subtree
+def any_of(found: DataFrame, condition: Column) -> DataFrame:
+    """(page_id, any): of each page's list whether some element meets a condition."""
+    return found.groupBy("doc", "page_id").agg(F.bool_or(F.coalesce(condition, F.lit(False))).alias("any")).drop("doc")
 
-    return subtree(nodes, found, *kinds)
 
-
-def comments(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    return below(nodes, found, "comment")
-
-
-def text_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    return below(nodes, found, "text", "cdata")
-
-
-def data_nodes(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    return below(nodes, found, "data")
+def first_attr(found: DataFrame, name: str) -> DataFrame:
+    """(page_id, value): of each page's list the attribute of the first element that has it; "" if none has."""
+    value = N.attr(name)
+    return found.groupBy("doc", "page_id").agg(F.coalesce(F.min_by(value, F.when(value.isNotNull(), F.col("pre"))), F.lit("")).alias("value")).drop("doc")
 
 
 def value(nodes: DataFrame, found: DataFrame, name: str = "value") -> DataFrame:

@@ -164,8 +164,7 @@ class _Compiler:
 
     def by_text(self, plan: S.Test, frame: DataFrame) -> DataFrame:
         if plan.name == "match_text":
-            own = self.nodes.where("kind = 'text'").select("doc", F.col("parent").alias("pre")).distinct()
-            return frame.join(own, ["doc", "pre"], "left_semi")
+            raise S.SelectorError("':matchText' finds elements that are made of texts; select_pages does so")
         kind, needle = plan.args
         texts = X.texts(self.nodes, frame.select("doc", "pre", "end").distinct(), kind).withColumnRenamed("text", "found_text")
         found = F.coalesce("found_text", F.lit(""))

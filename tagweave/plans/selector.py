@@ -81,6 +81,15 @@ def both(*parts):
     return flat[0] if len(flat) == 1 else All(tuple(sorted(flat, key=cost)))
 
 
+def asks_for(plan, name: str) -> bool:
+    """Whether a test is somewhere in a plan."""
+    if isinstance(plan, Test):
+        return plan.name == name
+    if isinstance(plan, All | Any):
+        return any(asks_for(p, name) for p in plan.parts)
+    return asks_for(plan.left if isinstance(plan, Related) else plan.inner, name)
+
+
 def is_free(plan) -> bool:
     """Whether a plan's answer doesn't depend on the element that it is tried below."""
     if isinstance(plan, Test):

@@ -150,3 +150,18 @@ def test_edits_of_wide_parents():
     for e in match.select(doc, "b"):
         edit.unwrap(e)
     assert not match.select(doc, "b")
+
+
+def test_texts_as_elements():
+    doc = parse("<p class=k>One<br>Two</p><div>x</div>")
+    found = match.select(doc, "p:matchText")
+    assert [text.text(e) for e in found] == ["One", "Two"] and [e.attr("class") for e in found] == ["k", "k"]
+    assert text.outer_html(match.select(doc, "body")[0]) == '<body><p class="k">One<br>Two</p><div>x</div></body>'
+    assert [text.text(e) for e in match.select(parse("<p>One<br>Two</p>"), "p:matchText:first-child")] == ["One"]
+
+
+def test_same_value_and_copies():
+    a, b = parse("<p id=1>x<b>y</b></p>"), parse("<p id=1>x<b>y</b></p>")
+    assert a.same_value(b) and a.deep_copy().same_value(a) and not a.same_value(parse("<p id=2>x<b>y</b></p>"))
+    p = match.select(a, "p")[0]
+    assert p.copy().children == [] and p.copy().attr("id") == "1" and p.copy().parent is None

@@ -167,3 +167,24 @@ def test_selectors_of_elements_and_scripts(spark):
     assert scripts.entity("amp") == "&" and scripts.is_base_entity("copy") and not scripts.is_base_entity("hearts") and scripts.is_named_entity("hearts")
     df = spark.createDataFrame([(1, "", "<b>x</b>"), (2, "", "<x>y</x>")], "page_id bigint, url string, html string")
     assert [r.valid for r in P.is_valid(df).orderBy("page_id").collect()] == [True, False]
+
+
+def test_functions_on_attributes(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1).select(N.attrs_of(Id="x", a=None, id="y").alias("attrs"), N.attrs_of(a="1", z="<\"").alias("more"))
+    pairs = lambda c: F.array_join(F.transform(c, lambda a: F.concat(a["name"], F.lit("="), F.coalesce(a["value"], F.lit("-")))), " ")
+    row = df.select(
+        N.index_of_key("id").alias("i"), N.index_of_key("ID", any_case=True).alias("j"), N.index_of_key("q").alias("k"), pairs(N.put_attr("a", F.lit("2"))).alias("put"), pairs(N.put_attr("n", F.lit("2"))).alias("new"),
+        pairs(N.remove_attr("id", any_case=True)).alias("removed"), pairs(N.add_all_attrs("attrs", "more")).alias("added"), pairs(N.fold_keys()).alias("folded"), pairs(N.distinct_keys(any_case=True)).alias("once"),
+        N.same_attrs("attrs", "attrs").alias("same"), N.attrs_html("more").alias("html"), N.joined(F.array(F.lit("a"), F.lit("b")), "-").alias("joined"), N.starts_with_newline(F.lit("\nx")).alias("newline"),
+    ).first()
+    assert (row.i, row.j, row.k) == (2, 0, -1) and row.put == "Id=x a=2 id=y" and row.new == "Id=x a=- id=y n=2" and row.removed == "a=-"
+    assert row.added == "Id=x a=1 id=y z=<\"" and row.folded == "id=x a=- id=y" and row.once == "Id=x a=-" and row.same and row.html == " a=\"1\" z=\"<&quot;\"" and row.joined == "a-b" and row.newline
+
+
+def test_list_summaries(nodes):
+    from pyspark.sql import functions as F
+
+    li = R.select(nodes, "li")
+    assert [r.any for r in L.any_of(li, F.col("id") == "b").collect()] == [True] and [r.value for r in L.first_attr(li, "id").collect()] == ["a"] and [r.value for r in L.first_attr(li, "zz").collect()] == [""]
