@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import common
 
-CURVES, DIMS, BITS, WINDOW, SALTS = 30, 6, 8, 0.03, 16
+CURVES, DIMS, BITS, WINDOW, SALTS = 32, 6, 8, 0.03, 16
 BLOCKS, BLOCK_ROWS, AT_ONCE = 100, 20_000, 4
 #: Lowest bits of a key that come from the id, so that equal places on a curve can be cut apart.
 TIES = 14
