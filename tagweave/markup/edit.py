@@ -175,6 +175,25 @@ def insert_children(e: Node, at: int, nodes: list[Node]) -> None:
     _insert(e, at, nodes)
 
 
+def remove_range(e: Node, start: int, end: int) -> None:
+    """The children from one place up to another go."""
+    for c in e.children[start:end]:
+        c.parent = None
+    del e.children[start:end]
+
+
+def append_to(e: Node, parent: Node) -> None:
+    parent.append(e)
+
+
+def has_parent(e: Node) -> bool:
+    return e.parent is not None
+
+
+def has_attributes(e: Node) -> bool:
+    return bool(e.attrs)
+
+
 def as_declaration(comment: Node) -> Node | None:
     """The declaration that a comment holds in its place, as ``<?xml version="1.0"?>`` read as HTML has become; else ``None``."""
     data = comment.value

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,6 +81,17 @@ def stream_elements(pages: DataFrame, mode: str = "html") -> DataFrame:
     return per_page(pages, work, STREAMED)
 
 
+def select_by(pages: DataFrame, test: Callable[[Node], bool], mode: str = "html") -> DataFrame:
+    """As ``select_pages`` by a Python function on elements, for what no selector says."""
+
+    def work(k, h, u):
+        doc = document(h, u, mode)
+        found = [e for e in doc.walk() if e.kind == "element" and test(e)]
+        return [(k, doc.base_uri, i, e.tag, X.text(e), X.own_text(e), [{"name": n, "value": v} for n, v in e.attrs], X.outer_html(e, mode == "xml")) for i, e in enumerate(found)]
+
+    return per_page(pages, work, FOUND)
+
+
 MATCHED = pa.schema([("page_id", pa.int64()), ("ord", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("html", pa.string()), ("read", pa.int32())])
 
 
@@ -255,14 +266,15 @@ METADATA = {
 }
 
 
-def metadata(nodes: DataFrame) -> DataFrame:
-    """One row per page: the metadata fields, null where the page has no such tag, and htmlTitle.
+def metadata(nodes: DataFrame, more: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """One row per page: the metadata fields, null where the page has no such tag, and htmlTitle. ``more`` names
+    further fields, each with a selector without combinators and the attribute that it comes from.
 
     One scan of the nodes and one aggregation by page; icons are put behind the page's address as they are
     unless they begin with http.
     """
     aggs = []
-    for name, (css, attr) in METADATA.items():
+    for name, (css, attr) in (METADATA | (more or {})).items():
         test = R.predicate(selector.parse(css))
         aggs.append(F.min_by(F.when(test, F.coalesce(N.attr(attr), F.lit(""))), F.when(test, F.col("pre"))).alias(name))
     scoped = nodes.withColumns({"scope": F.lit(0)}).withColumn("attrs", F.coalesce("attrs", F.array().cast("array<struct<name:string,value:string>>")))

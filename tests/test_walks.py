@@ -114,7 +114,10 @@ def test_edits_of_documents():
     edit.split_text(p, "5")
     assert [c.value for c in p.children] == ["Hello", " there"]
     edit.insert_children(p, -1, [parse("x").children[0]])
-    assert p.children[-1].tag == "html"
+    assert p.children[-1].tag == "html" and edit.has_parent(p) and not edit.has_attributes(p)
+    edit.remove_range(p, 1, 3)
+    edit.append_to(p.children[0], match.select(doc, "body")[0])
+    assert text.inner_html(match.select(doc, "body")[0]) == "<p></p>Hello"
     xml = parse_xml("<a/>")
     edit.set_charset(xml, "utf-8")
     assert text.outer_html(xml, xml=True) == '<?xml version="1.0" encoding="utf-8"?><a />'
@@ -142,7 +145,9 @@ def test_page_operators(pages, spark):
     assert 'charset="ascii"' in P.with_charset(pages, "ascii").where("page_id = 1").first().html and "<title>B</title>" in P.with_title(pages, "B").where("page_id = 2").first().html
     assert [(r.action, r.method, r.controls) for r in P.forms(pages).collect()] == [("http://h/go", "post", 2)]
     assert [(r.url, r.method, r.params) for r in P.form_requests(P.form_data(pages)).collect()] == [("http://h/go", "post", "a=1+2&t=x%26y")]
+    assert [r.tag for r in P.select_by(pages, lambda e: len(e.attrs) > 2).collect()] == ["form"]
     nodes = parse_pages(pages)
+    assert [r.enc for r in P.metadata(nodes, {"enc": ("meta[charset]", "charset")}).orderBy("page_id").collect()] == ["utf-8", None]
     fields = R.select(nodes, "input, textarea")
     assert sorted(r.value for r in L.value(nodes, fields.drop("value")).collect()) == ["1 2", "x&y"]
     p = R.select(nodes, "p")
