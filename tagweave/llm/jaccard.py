@@ -1,17 +1,18 @@
 """Groups of texts whose sets of word shingles have a Jaccard likeness of ``least`` or more, exactly.
 
-SimHash leads: fingerprints of all texts are linked by BK-trees within ``RADIUS`` bits (``bktree``), and each link
-is verified on the whole sets. Few pairs at a likeness of 0.8 are that near (they differ in 4 to 16 of 64
-bits, for which no block of bits is left to shard by), so an exact join completes the links: two sets with likeness t share one
-of their first n - ceil(t n) + 1 shingles in any order that is common to all sets (prefix filter), and the
-first that they share leaves enough room behind it (positional filter). The order puts shingles last that
+With a ``radius``, SimHash links come first and hold as they are (operator 9's relation, on sets): texts whose fingerprints
+differ in so many bits or fewer are one group. Few pairs at a likeness of 0.8 are that near (they differ in 4 to 16 of 64
+bits, for which no block of bits is left to shard by), so an exact join adds the links of likeness: two sets with likeness t share one
+of their first n - ceil(t n) + 1 shingles in any order that is common to all sets (prefix filter), the
+first that they share leaves enough room behind it (positional filter), and they differ in at least as many shingles as the
+parities of their shingles by ``BITS`` places differ (bitmap filter). The order puts shingles last that
 a sample of texts has often, so that common lines bring few candidates; the sample decides the cost alone,
 not what is found.
 
-Texts with the same set are one node. In the first round each node is verified with one smaller one of about its size:
-one that SimHash links it to, else the one that it shares most shingles of the prefix with; what is alike is joined. In the second every pair that
-still lies in different groups is verified, so that a large group of near copies costs no square of its size. To be verified,
-texts go to the smaller of their pair; one with very many partners has several places.
+Texts with the same set are one node. In each of the first ``ROUNDS`` rounds a node is verified with one node of another group:
+of the few sets in the middle of those it shares a shingle with, the one whose parities are nearest; what is alike is joined. So near
+copies meet round the text that they come from. In the last round every pair that passes the filters and
+still lies in different groups is verified. To be verified, texts go to one of their pair; one with very many partners has several places.
 
 Defined results: ASCII case and white space are folded; a text of fewer words than a shingle has one, the
 whole; texts without words are alike; rows without ``doc_id`` get no group; repeated rows repeat, and of rows
@@ -20,6 +21,7 @@ that share an id each has the group of its own text; an empty table gives no row
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +35,9 @@ from tagweave.llm import bktree, common
 from tagweave.llm.components import connected_components
 
 SAMPLE, OFTEN, COMMON = 5_000, 3, 200_000  # they set the order of shingles, which changes the cost alone
-RADIUS, PARTNERS, PARTS = 3, 500, 3  # partners that one place takes before another is opened; parts in which texts are verified
+PARTNERS = 500  # that one place takes before another is opened
+BITS, ROUNDS, MIDDLE, SEEN = 512, 2, 8, 4096  # MIDDLE sets stand for those of one shingle, found from SEEN of them; they change the cost alone
+SPOTS = 1 << 24  # hashes of ids by which texts that nothing asks for are passed over; more ids than that change the cost alone
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -47,10 +51,10 @@ def name_of(found: np.ndarray) -> int:
 
 
 class _Prefixes:
-    """doc_id, the name and size of the set, its fingerprint, and its prefix."""
+    """doc_id, the name and size of the set, its fingerprint, its parities, and its prefix."""
 
-    SCHEMA = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("items", pa.list_(pa.int64()))])
-    DDL = "doc_id bigint, sig bigint, n int, fp bigint, items array<bigint>"
+    SCHEMA = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bits", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
+    DDL = "doc_id bigint, sig bigint, n int, fp bigint, bits array<bigint>, items array<bigint>"
 
     def __init__(self, words: int, least: float, often):
         self.words, self.least, self.often = words, least, often
@@ -64,9 +68,9 @@ class _Prefixes:
                 found = np.unique(hashes.view(np.int64))
                 # of the set, not of the text, so that equal sets have equal fingerprints
                 fp = int(np.uint64(bktree.fingerprint(found.view(np.uint64))).astype(np.int64))
-                rows.append((doc_id, name_of(found), len(found), fp, prefix(found, self.least, often).tolist()))
+                rows.append((doc_id, name_of(found), len(found), fp, parities(found).tolist(), prefix(found, self.least, often).tolist()))
             if rows:
-                yield common.table(dict(zip(("doc_id", "sig", "n", "fp", "items"), zip(*rows), strict=True)), self.SCHEMA)
+                yield common.table(dict(zip(self.SCHEMA.names, zip(*rows), strict=True)), self.SCHEMA)
 
 
 class _Items:
@@ -94,12 +98,27 @@ def prefix(found: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]
     return found[np.lexsort((found, rank))][: len(found) - math.ceil(least * len(found) - 1e-9) + 1]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` places whether an odd number of the set's hashes fall there, packed.
+
+    A shingle that one of two sets has and the other has not changes one place, so two sets differ in as many
+    shingles as in places, at least.
+    """
+    return np.packbits((np.bincount(found & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    if name == "bits":
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, BITS // 64)
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
     """Rows sorted by the first column as whole groups of it, several in a chunk: columns with ``starts`` of the groups."""
-    rest = {c: np.zeros(0, np.int64) for c in names}
+    rest = {c: np.zeros((0, BITS // 64) if c == "bits" else 0, np.int64) for c in names}
     for batch in _with_end(batches):
         if batch is not None:
-            rest = {c: np.r_[rest[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)] for c in names}
+            rest = {c: np.concatenate([rest[c], _column(batch, c)]) for c in names}
         key = rest[names[0]]
         if not len(key):
             continue
@@ -131,52 +150,124 @@ class _Shared:
 
 
 class _Pairs:
-    """Pairs (a, b) that may be alike of rows (token, at, sig, n, comp) sorted by token, with how often they meet; a is the smaller set."""
+    """Pairs (a, b) of different groups that may be alike, of rows (token, at, sig, n, comp, bits) sorted by token, with an
+    estimate of their likeness. Across: all such pairs; else for each set b the likeliest a of those in the middle."""
 
-    NAMES = ("token", "at", "sig", "n", "comp")
+    NAMES = ("token", "at", "sig", "n", "comp", "bits")
     SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
 
     def __init__(self, least: float, across: bool):
         self.least, self.across = least, across
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, held = [], [], 0
+        found, held = [], 0
         for g in _groups(batches, self.NAMES):
-            for lo, hi in zip(g["starts"].tolist(), [*g["starts"][1:].tolist(), len(g["token"])], strict=True):
-                for x, y in self._group({c: g[c][lo:hi] for c in self.NAMES}) if hi - lo > 1 else ():
-                    a.append(x), b.append(y)
-                    held += len(x)
-                    if held > 1 << 18:
-                        yield self._out(a, b)
-                        a, b, held = [], [], 0
+            g["bits"] = g["bits"].view(np.uint64)  # of negative numbers NumPy counts the bits of the absolute value
+            starts, size = g.pop("starts"), len(g["token"])
+            sizes = np.diff(np.r_[starts, size])
+            mixed = np.maximum.reduceat(g["comp"], starts) != np.minimum.reduceat(g["comp"], starts)
+            large = mixed & (sizes > 2 * MIDDLE)
+            small = np.repeat(mixed & ~large, sizes)
+            parts = [self._small({c: v[small] for c, v in g.items()})]
+            parts += [self._large({c: v[lo:hi] for c, v in g.items()}) for lo, hi in zip(starts[large].tolist(), (starts + sizes)[large].tolist(), strict=True)]
+            for pairs in itertools.chain.from_iterable(parts):
+                found.append(pairs)
+                held += len(pairs[0])
+                if held > 1 << 18:
+                    yield self._out(found)
+                    found, held = [], 0
         if held:
-            yield self._out(a, b)
-
-    def _out(self, a, b):
-        pairs, c = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0, return_counts=True)
-        return common.table({"a": pairs[:, 0], "b": pairs[:, 1], "c": c}, self.SCHEMA)
-
-    def _group(self, g: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield self._out(found)
+
+    def _out(self, found):
+        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
+        return common.table({"a": pairs[:, 0], "b": pairs[:, 1], "c": c[first]}, self.SCHEMA)
+
+    def _likeness(self, g: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Millionths, as the parities have it, for pairs of rows; -1 of pairs that can't be alike or are of one group."""
+        ni, nj, both = g["n"][i], g["n"][j], g["n"][i] + g["n"][j]
+        can = (g["comp"][i] != g["comp"][j]) & (np.minimum(ni, nj) >= self.least * np.maximum(ni, nj) - 1e-9)
+        can &= np.minimum(ni - g["at"][i], nj - g["at"][j]) >= self.least / (1 + self.least) * both - 1e-9
+        out, k = np.full(len(can), -1), np.flatnonzero(can)
+        both, apart = both[k], np.bitwise_count(g["bits"][i[k]] ^ g["bits"][j[k]]).sum(1, dtype=np.int64)
+        out[k] = np.where(apart <= (1 - self.least) / (1 + self.least) * both + 1e-9, 1_000_000 - 1_000_000 * apart // np.maximum(both, 1), -1)
+        return out
+
+    def _small(self, g: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Many groups at once: rows are compared with the next, those after the next, and so on."""
+        token, n, sig = g["token"], g["n"], g["sig"]
+        best, partner = np.full(len(n), -1), np.full(len(n), -1)
+        for step in range(1, 2 * MIDDLE):
+            i = np.flatnonzero(token[step:] == token[:-step])
+            if not len(i):
+                break
+            c = self._likeness(g, i, i + step)
+            i, c = i[c >= 0], c[c >= 0]
+            j = i + step
+            if self.across and len(i):
+                less = (n[i] < n[j]) | (n[i] == n[j]) & (sig[i] < sig[j])
+                yield sig[np.where(less, i, j)], sig[np.where(less, j, i)], c
+            for x, y in (i, j), (j, i):
+                better = c > best[x]
+                best[x[better]], partner[x[better]] = c[better], y[better]
+        b = np.flatnonzero(partner >= 0)
+        if not self.across and len(b):
+            yield sig[partner[b]], sig[b], best[b]
+
+    def _large(self, g: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         order = np.lexsort((g["sig"], g["n"]))
-        at, sig, n, comp = (g[c][order] for c in ("at", "sig", "n", "comp"))
-        if not self.across:
-            first = 0
-            while first < len(n):
-                last = int(np.searchsorted(n, n[first] / self.least + 1e-9, "right"))
-                if last - first > 1:
-                    yield np.full(last - first - 1, sig[first]), sig[first + 1 : last]
-                first = last
-            return
+        g = {c: v[order] for c, v in g.items()}
+        sig, n, comp = g["sig"], g["n"], g["comp"]
         kinds, size = np.unique(comp, return_counts=True)
-        largest = kinds[size.argmax()]
-        places = np.arange(len(n))
-        for i in np.flatnonzero(comp != largest):
-            room = np.minimum(n[i] - at[i], n - at)
-            alike = (comp != comp[i]) & ((comp == largest) | (places < i)) & (np.minimum(n, n[i]) >= self.least * np.maximum(n, n[i]) - 1e-9)
-            alike &= room >= self.least / (1 + self.least) * (n + n[i]) - 1e-9
-            if alike.any():
-                j = np.flatnonzero(alike)
-                yield sig[np.minimum(j, i)], sig[np.maximum(j, i)]
+        main = comp == kinds[size.argmax()]
+
+        def like(i: int) -> tuple[np.ndarray, np.ndarray]:
+            j = np.arange(np.searchsorted(n, self.least * n[i] - 1e-9), np.searchsorted(n, n[i] / self.least + 1e-9, "right"))
+            if self.across:
+                j = j[main[j] | (j < i)]
+            c = self._likeness(g, np.full(len(j), i), j)
+            return j[c >= 0], c[c >= 0]
+
+        if self.across:
+            for i in np.flatnonzero(~main).tolist():
+                j, c = like(i)
+                if len(j):
+                    yield sig[np.minimum(i, j)], sig[np.maximum(i, j)], c
+            return
+        best, partner = np.full(len(n), -1), np.full(len(n), -1)
+        for i in np.r_[_middle(g["bits"], main), _middle(g["bits"], ~main)].tolist():
+            j, c = like(i)
+            better = c > best[j]
+            best[j[better]], partner[j[better]] = c[better], i
+        b = np.flatnonzero(partner >= 0)
+        if len(b):
+            yield sig[partner[b]], sig[b], best[b]
+
+
+def _middle(bits: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places of ``MIDDLE`` sets that are nearest to the parities that most of these sets have."""
+    places = np.flatnonzero(of)
+    if len(places) <= MIDDLE:
+        return places
+    seen = np.unpackbits(bits[places[:: -(-len(places) // SEEN)]].view(np.uint8), axis=1)
+    most = np.packbits(2 * seen.sum(0, dtype=np.int64) > len(seen)).view(np.uint64)
+    return places[np.argsort(np.bitwise_count(bits[places] ^ most).sum(1, dtype=np.int64), kind="stable")[:MIDDLE]]
+
+
+class _Wanted:
+    """Of rows (doc_id, text, spot) those whose spot is among the wanted."""
+
+    DDL = "doc_id bigint, text string"
+
+    def __init__(self, spots):
+        self.spots = spots
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spots = self.spots.value
+        for batch in batches:
+            at = batch.column("spot").to_numpy(zero_copy_only=False)
+            yield batch.select(["doc_id", "text"]).filter(pa.array((spots[at >> 3] >> (at & 7) & 1).astype(bool)))
 
 
 class _Verify:
@@ -224,46 +315,66 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, leas
     rest = pairs.join(many.hint("merge"), "a").select(F.col("b").alias("sig"), F.lit(1).alias("role"), F.xxhash64("a", salt).alias("place"))
     # a text comes from the row with the smallest id of its set
     wanted = common.materialise(heads.unionByName(rest).join(nodes.select("sig", F.col("node").alias("doc_id")).hint("merge"), "sig"), "wanted")
-    out, tables = None, []
-    for k in range(PARTS):  # so many times the texts are read, and so much less of them is in the shuffle at once
-        part = wanted.where(F.pmod("place", F.lit(PARTS)) == k)
-        texts = docs.join(part.hint("merge"), "doc_id").select("place", "role", "sig", "text")
-        links = texts.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_Verify(words, least), "u bigint, v bigint")
-        tables.append(common.materialise(links, "alike"))
-        out = tables[-1] if out is None else out.unionByName(tables[-1])
-    found = common.materialise(out, "links")
-    common.discard(pairs, many, wanted, *tables)
+    texts = _texts(docs, wanted).join(wanted.hint("merge"), "doc_id").select("place", "role", "sig", "text")
+    links = texts.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_Verify(words, least), "u bigint, v bigint")
+    found = common.materialise(links, "alike")
+    common.discard(pairs, many, wanted)
     return found
 
 
-def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every row with an id: the smallest id of its group."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and text of the wanted rows and a few more, without a shuffle; a map of at most ``SPOTS`` bits is broadcast."""
+    spark, spot = docs.sparkSession, F.pmod(F.xxhash64("doc_id"), F.lit(SPOTS))
+    spots = np.zeros(SPOTS // 8, np.uint8)
+    for k, found in wanted.select((spot + 1).alias("x")).groupBy(F.bitmap_bucket_number("x")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x"))).collect():
+        spots[(k - 1) * 4096 : k * 4096] = np.frombuffer(found, np.uint8)
+    return docs.select("doc_id", "text", spot.alias("spot")).mapInArrow(_Wanted(spark.sparkContext.broadcast(spots)), _Wanted.DDL)
+
+
+def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int | None = None) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: the smallest id of its group.
+
+    Groups are those of the Jaccard likeness alone, or with a ``radius`` of SimHash links within so many bits as well.
+    """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     sets = common.materialise(docs.mapInArrow(_Prefixes(words, least, _order(docs, words)), _Prefixes.DDL), "prefixes")
-    nodes = common.materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("items").alias("items")), "nodes")
+    nodes = common.materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bits", "items")]), "nodes")
     rows = nodes.select("sig", "n", F.posexplode("items").alias("at", "token")).select("token", "at", "sig", "n")
     tokens = common.materialise(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_Shared(), _Shared.DDL), "tokens")
 
-    def pairs(rows: DataFrame, across: bool) -> DataFrame:
-        rows = rows.select("token", "at", "sig", "n", "comp").repartition("token").sortWithinPartitions("token")
-        return rows.mapInArrow(_Pairs(least, across), "a bigint, b bigint, c bigint")
-
-    near = bktree.near_links(nodes.groupBy("fp").agg(F.min("sig").alias("node")), RADIUS)
-    size = nodes.select("sig", "n")
-    near = near.join(size.withColumnsRenamed({"sig": "u", "n": "nu"}).hint("merge"), "u").join(size.withColumnsRenamed({"sig": "v", "n": "nv"}).hint("merge"), "v")
-    first = F.struct("nu", "u") < F.struct("nv", "v")
-    near = near.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("b"), F.lit(1 << 40).alias("c"))
-    met = pairs(tokens.withColumn("comp", F.col("sig")), False).unionByName(near).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    one = met.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    links = _alike(one, docs, nodes, words, least)
-    found = common.materialise(connected_components(links).withColumnRenamed("node", "sig"), "components")
-    grouped = tokens.join(found.hint("merge"), "sig", "left").withColumn("comp", F.coalesce("component", "sig"))
-    more = _alike(pairs(grouped, True).select("a", "b"), docs, nodes, words, least)
+    tables = [common.materialise(_near(nodes, radius), "near")]
+    every = None
+    for across in (*[False] * ROUNDS, True):
+        every = _components(tables)
+        named = nodes.select("sig", "bits").join(every.hint("merge"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("comp"), "bits")
+        grouped = tokens.join(named.hint("merge"), "sig").select(*_Pairs.NAMES).repartition("token").sortWithinPartitions("token")
+        pairs = grouped.mapInArrow(_Pairs(least, across), "a bigint, b bigint, c bigint")
+        if not across:
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+        tables.append(_alike(pairs.select("a", "b"), docs, nodes, words, least))
+        common.discard(every)
     common.discard(tokens)
-    every = common.materialise(connected_components(links.union(more)).withColumnRenamed("node", "sig"), "components")
-    common.discard(found, links, more)
+    every = _components(tables)
+    common.discard(*tables)
     named = nodes.select("sig", "node").join(every.hint("merge"), "sig", "left").select("sig", "node", F.coalesce("component", "sig").alias("group"))
     named = common.materialise(named, "named")
     smallest = named.groupBy("group").agg(F.min("node").alias("component_id"))
     groups = common.materialise(named.join(smallest.hint("merge"), "group").select("sig", "component_id"), "groups")
     return sets.select("doc_id", "sig").join(groups.hint("merge"), "sig").select("doc_id", "component_id")
+
+
+def _near(nodes: DataFrame, radius: int | None) -> DataFrame:
+    """Links (u, v) that join all sets whose fingerprints are within ``radius`` bits, directly or by others."""
+    if radius is None:
+        return nodes.select(F.col("sig").alias("u"), F.col("sig").alias("v")).limit(0)
+    first = common.materialise(nodes.groupBy("fp").agg(F.min("sig").alias("node")), "fingerprints")
+    same = nodes.select("fp", "sig").join(first.hint("merge"), "fp").where("sig <> node")
+    return bktree.near_links(first, radius).unionByName(same.select(F.col("sig").alias("u"), F.col("node").alias("v")))
+
+
+def _components(links: list[DataFrame]) -> DataFrame:
+    """(sig, component) of the sets in these links."""
+    whole = links[0]
+    for more in links[1:]:
+        whole = whole.unionByName(more)
+    return common.materialise(connected_components(whole).withColumnRenamed("node", "sig"), "components")

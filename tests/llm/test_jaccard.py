@@ -68,3 +68,43 @@ def test_large_groups_of_near_copies_take_several_places(docs, monkeypatch):
         rows.append((k, " ".join(copy)))
     got = {r.component_id for r in jaccard.jaccard_components(docs(rows)).collect()}
     assert got == {0} == set(plain(rows).values())
+
+
+def test_large_group_of_near_copies_is_verified_round_its_middle(docs, monkeypatch):
+    """Copies with one word changed are alike their source; two of them are not (62 of 82 shingles or so)."""
+    rng = random.Random(4)
+    base, rows = [f"w{k}" for k in range(76)], []
+    for k in range(200):
+        copy = list(base)
+        copy[5 + k % 66] = f"x{rng.random()}"
+        rows.append((k + 1, " ".join(copy)))
+    rows.append((500, " ".join(base)))
+    seen, alike = [], jaccard._alike
+    monkeypatch.setattr(jaccard, "_alike", lambda pairs, *rest: seen.append(pairs.distinct().count()) or alike(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(rows)).collect()}
+    assert got == plain(rows) and set(got.values()) == {1}
+    assert sum(seen) <= 3 * len(rows), seen
+
+
+def test_pairs_that_may_be_alike_are_all_found_in_small_and_large_groups():
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng, sets = random.Random(8), []
+    for size in [2] * 30 + [60]:
+        base = [f"w{rng.random()}" for _ in range(rng.randint(6, 200))]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.random()}"
+            sets.append(jaccard.shingles(" ".join(copy), 5))
+    apart = [int(np.bitwise_count((jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64)).sum()) for a, b in itertools.combinations(sets, 2)]
+    assert all(d <= len(np.setxor1d(a, b)) for d, (a, b) in zip(apart, itertools.combinations(sets, 2), strict=True)) and max(apart) > 200
+    rows = sorted((t, at, k, len(s), k, jaccard.parities(s).tolist()) for k, s in enumerate(sets) for at, t in enumerate(jaccard.prefix(s, 0.8, None).tolist()))
+    schema = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("sig", pa.int64()), ("n", pa.int32()), ("comp", pa.int64()), ("bits", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    found = {frozenset(p) for out in jaccard._Pairs(0.8, True)(iter([batch.slice(0, 700), batch.slice(700)])) for p in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
+    alike = {frozenset((i, j)) for i, j in itertools.combinations(range(len(sets)), 2) if (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)}
+    assert alike <= found and 100 < len(alike) and len(found) < 2 * len(alike)
