@@ -31,10 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays; of rows that repeat an id, one.
 
-    Near-duplicates are linked by SimHash and verified, and all groups are completed, by a Jaccard likeness of 0.8 or
-    more of five-word shingles. Rows without an id stay, their texts are in no group.
+    Near-duplicates are texts whose SimHashes differ in three bits or fewer, and texts with a Jaccard likeness of 0.8
+    or more, both of five-word shingles. Rows without an id stay, their texts are in no group.
     """
-    groups = jaccard.jaccard_components(docs, 0.8, words=5)
+    groups = jaccard.jaccard_components(docs, 0.8, words=5, radius=3)
     ids = groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     stay = common.materialise(ids.where("doc_id = component_id").select("doc_id", "n"), "stay")
     kept = docs.select(*COLUMNS).join(stay.hint("merge"), "doc_id")

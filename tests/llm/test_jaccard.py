@@ -108,3 +108,23 @@ def test_pairs_that_may_be_alike_are_all_found_in_small_and_large_groups():
     found = {frozenset(p) for out in jaccard._Pairs(0.8, True)(iter([batch.slice(0, 700), batch.slice(700)])) for p in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)}
     alike = {frozenset((i, j)) for i, j in itertools.combinations(range(len(sets)), 2) if (both := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - both)}
     assert alike <= found and 100 < len(alike) and len(found) < 2 * len(alike)
+
+
+def test_pipeline_keeps_the_links_of_simhash(spark, docs):
+    """These texts are one bit to three apart at a likeness of 0.78."""
+    import corpus_pipeline
+    import numpy as np
+
+    from tagweave.llm import bktree
+
+    rng = random.Random(444)
+    words = [f"w{rng.randrange(1000)}" for _ in range(60)]
+    near = list(words)
+    for k in range(2):
+        near[rng.randrange(8, 50)] = f"x{k}"
+    texts = " ".join(words), " ".join(near)
+    (a, b), (x, y) = (jaccard.shingles(t, 5) for t in texts), (bktree.fingerprint(jaccard.shingles(t, 5).view(np.uint64)) for t in texts)
+    assert len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)) and (x ^ y).bit_count() <= 3
+    rows = [(1, texts[0]), (2, texts[1]), (3, "quite another text of a few words more")]
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(rows)).collect()} == {1: 1, 2: 2, 3: 3}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()) == [1, 3]
