@@ -21,6 +21,7 @@ that share an id each has the group of its own text; an empty table gives no row
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import bktree, common
@@ -37,6 +38,7 @@ from tagweave.llm.components import connected_components
 SAMPLE, OFTEN, COMMON = 5_000, 3, 200_000  # they set the order of shingles, which changes the cost alone
 PARTNERS = 500  # that one place takes before another is opened
 BITS, ROUNDS, MIDDLE, SEEN = 512, 2, 8, 4096  # MIDDLE sets stand for those of one shingle, found from SEEN of them; they change the cost alone
+TEXTS = 1_000  # rows of texts that go to Python at once, for memory
 SPOTS = 1 << 24  # hashes of ids by which texts that nothing asks for are passed over; more ids than that change the cost alone
 
 
@@ -265,7 +267,7 @@ class _Wanted:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots = self.spots.value
-        for batch in batches:
+        for batch in common.slices(batches, 512):
             at = batch.column("spot").to_numpy(zero_copy_only=False)
             yield batch.select(["doc_id", "text"]).filter(pa.array((spots[at >> 3] >> (at & 7) & 1).astype(bool)))
 
@@ -317,7 +319,8 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, leas
     wanted = common.materialise(heads.unionByName(rest).join(nodes.select("sig", F.col("node").alias("doc_id")).hint("merge"), "sig"), "wanted")
     texts = _texts(docs, wanted).join(wanted.hint("merge"), "doc_id").select("place", "role", "sig", "text")
     links = texts.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_Verify(words, least), "u bigint, v bigint")
-    found = common.materialise(links, "alike")
+    with _few_texts(docs.sparkSession):
+        found = common.materialise(links, "alike")
     common.discard(pairs, many, wanted)
     return found
 
@@ -337,7 +340,9 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5, radi
     Groups are those of the Jaccard likeness alone, or with a ``radius`` of SimHash links within so many bits as well.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    sets = common.materialise(docs.mapInArrow(_Prefixes(words, least, _order(docs, words)), _Prefixes.DDL), "prefixes")
+    sets = docs.mapInArrow(_Prefixes(words, least, _order(docs, words)), _Prefixes.DDL)
+    with _few_texts(docs.sparkSession):
+        sets = common.materialise(sets, "prefixes")
     nodes = common.materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bits", "items")]), "nodes")
     rows = nodes.select("sig", "n", F.posexplode("items").alias("at", "token")).select("token", "at", "sig", "n")
     tokens = common.materialise(rows.repartition("token").sortWithinPartitions("token").mapInArrow(_Shared(), _Shared.DDL), "tokens")
@@ -363,6 +368,18 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5, radi
     return sets.select("doc_id", "sig").join(groups.hint("merge"), "sig").select("doc_id", "component_id")
 
 
+@contextlib.contextmanager
+def _few_texts(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile goes to Python in batches of ``TEXTS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _near(nodes: DataFrame, radius: int | None) -> DataFrame:
     """Links (u, v) that join all sets whose fingerprints are within ``radius`` bits, directly or by others."""
     if radius is None:
