@@ -74,6 +74,7 @@ class _Fingerprints:
     def __init__(self, words: int):
         self.words = words
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 512):
             fps = np.asarray([simhash(t, self.words) for t in common.texts(batch)], np.uint64).view(np.int64)
@@ -156,6 +157,7 @@ class _Links:
     def __init__(self, radius: int):
         self.radius = radius
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         n, most = 0, TOGETHER

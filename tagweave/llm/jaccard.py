@@ -21,7 +21,6 @@ that share an id each has the group of its own text; an empty table gives no row
 
 from __future__ import annotations
 
-import contextlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -38,7 +37,6 @@ from tagweave.llm.components import connected_components
 SAMPLE, OFTEN, COMMON = 5_000, 3, 200_000  # they set the order of shingles, which changes the cost alone
 PARTNERS = 500  # that one place takes before another is opened
 BITS, ROUNDS, MIDDLE, SEEN = 512, 2, 8, 4096  # MIDDLE sets stand for those of one shingle, found from SEEN of them; they change the cost alone
-TEXTS = 1_000  # rows of texts that go to Python at once, for memory
 SPOTS = 1 << 24  # hashes of ids by which texts that nothing asks for are passed over; more ids than that change the cost alone
 
 
@@ -61,6 +59,7 @@ class _Prefixes:
     def __init__(self, words: int, least: float, often):
         self.words, self.least, self.often = words, least, often
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = self.often.value
         for batch in common.slices(batches, 256):
@@ -83,6 +82,7 @@ class _Items:
     def __init__(self, words: int):
         self.words = words
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 256):
             for text in common.texts(batch):
@@ -143,6 +143,7 @@ class _Shared:
     SCHEMA = pa.schema([("token", pa.int64()), ("at", pa.int32()), ("sig", pa.int64()), ("n", pa.int32())])
     DDL = "token bigint, at int, sig bigint, n int"
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, self.NAMES):
             sizes = np.diff(np.r_[g["starts"], len(g["token"])])
@@ -161,6 +162,7 @@ class _Pairs:
     def __init__(self, least: float, across: bool):
         self.least, self.across = least, across
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
         for g in _groups(batches, self.NAMES):
@@ -265,6 +267,7 @@ class _Wanted:
     def __init__(self, spots):
         self.spots = spots
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots = self.spots.value
         for batch in common.slices(batches, 512):
@@ -281,6 +284,7 @@ class _Verify:
     def __init__(self, words: int, least: float):
         self.words, self.least = words, least
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, first, head = None, np.zeros(0, np.int64), None
         for batch in common.slices(batches, 256):
@@ -319,7 +323,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, leas
     wanted = common.materialise(heads.unionByName(rest).join(nodes.select("sig", F.col("node").alias("doc_id")).hint("merge"), "sig"), "wanted")
     texts = _texts(docs, wanted).join(wanted.hint("merge"), "doc_id").select("place", "role", "sig", "text")
     links = texts.repartition("place").sortWithinPartitions("place", "role").mapInArrow(_Verify(words, least), "u bigint, v bigint")
-    with _few_texts(docs.sparkSession):
+    with common.few_texts(docs.sparkSession):
         found = common.materialise(links, "alike")
     common.discard(pairs, many, wanted)
     return found
@@ -341,7 +345,7 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5, radi
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     sets = docs.mapInArrow(_Prefixes(words, least, _order(docs, words)), _Prefixes.DDL)
-    with _few_texts(docs.sparkSession):
+    with common.few_texts(docs.sparkSession):
         sets = common.materialise(sets, "prefixes")
     nodes = common.materialise(sets.groupBy("sig").agg(F.min("doc_id").alias("node"), *[F.any_value(c).alias(c) for c in ("n", "fp", "bits", "items")]), "nodes")
     rows = nodes.select("sig", "n", F.posexplode("items").alias("at", "token")).select("token", "at", "sig", "n")
@@ -368,18 +372,6 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5, radi
     return sets.select("doc_id", "sig").join(groups.hint("merge"), "sig").select("doc_id", "component_id")
 
 
-@contextlib.contextmanager
-def _few_texts(spark: SparkSession) -> Iterator[None]:
-    """What is written meanwhile goes to Python in batches of ``TEXTS`` rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(TEXTS))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def _near(nodes: DataFrame, radius: int | None) -> DataFrame:
     """Links (u, v) that join all sets whose fingerprints are within ``radius`` bits, directly or by others."""
     if radius is None:

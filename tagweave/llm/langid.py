@@ -52,21 +52,21 @@ def grams_of(word: str, n: int) -> list[str]:
 class _CountWords:
     SCHEMA = pa.schema([("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())])
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
 
         def flush():
-            rows = [(lang, item, n) for lang, c in counts.items() for item, n in c.items()]
-            counts.clear()
-            return common.table(dict(zip(("lang", "item", "n"), zip(*rows), strict=True)), self.SCHEMA) if rows else None
+            while counts:
+                lang, c = counts.popitem()
+                yield common.table({"lang": [lang] * len(c), "item": list(c), "n": list(c.values())}, self.SCHEMA)
 
         for batch in common.slices(batches, 256):
             for lang, text in zip(batch.column("lang").to_pylist(), common.texts(batch), strict=True):
                 counts[lang].update(words_of(text))
             if sum(map(len, counts.values())) > HELD:
-                yield flush()
-        if (rest := flush()) is not None:
-            yield rest
+                yield from flush()
+        yield from flush()
 
 
 class _CountGrams:
@@ -75,24 +75,24 @@ class _CountGrams:
     def __init__(self, longest: int):
         self.longest = longest
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int], dict[str, int]] = defaultdict(lambda: defaultdict(int))
 
         def flush():
-            rows = [(lang, size, g, n) for (lang, size), c in counts.items() for g, n in c.items()]
-            counts.clear()
-            return common.table(dict(zip(("lang", "size", "item", "n"), zip(*rows), strict=True)), self.SCHEMA) if rows else None
+            while counts:
+                (lang, size), c = counts.popitem()
+                yield common.table({"lang": [lang] * len(c), "size": [size] * len(c), "item": list(c), "n": list(c.values())}, self.SCHEMA)
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 512):
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n")), strict=True):
                 for size in range(1, self.longest + 1):
                     own = counts[lang, size]
                     for g in grams_of(word, size):
                         own[g] += n
             if sum(map(len, counts.values())) > HELD:
-                yield flush()
-        if (rest := flush()) is not None:
-            yield rest
+                yield from flush()
+        yield from flush()
 
 
 def hash_of(item: str) -> int:
@@ -184,6 +184,7 @@ class _Predict:
     def __init__(self, model, schema: pa.Schema):
         self.model, self.schema = model, schema
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = self.model.value
         rows = _Rows(model)
@@ -222,7 +223,8 @@ def learn(docs: DataFrame, word_share: float = WORD_SHARE, gram_share: float = G
     spark = docs.sparkSession
     train = docs.where("lang is not null and text is not null").select("lang", "text")
     words = train.mapInArrow(_CountWords(), "lang string, item string, n bigint").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    words = common.materialise(words, "words")
+    with common.few_texts(spark):
+        words = common.materialise(words, "words")
     grams = words.mapInArrow(_CountGrams(longest), "lang string, size int, item string, n bigint").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     grams = common.materialise(grams, "grams")
     both = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(grams)

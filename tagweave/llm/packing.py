@@ -145,7 +145,9 @@ def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size:
     """
     spark = docs.sparkSession
     ddl = "part int, nth bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    pieces = common.materialise(docs.select("doc_id", "text").mapInArrow(_Pieces(tokenizer_path, end_id, size, with_ids, special), ddl), "pieces")
+    pieces = docs.select("doc_id", "text").mapInArrow(_Pieces(tokenizer_path, end_id, size, with_ids, special), ddl)
+    with common.few_texts(spark):
+        pieces = common.materialise(pieces, "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     before = common.materialise(before, "ranks")  # one row per task and length

@@ -14,6 +14,8 @@ import re
 import numpy as np
 import regex
 
+from tagweave.llm import common
+
 # The pre-token pattern that the byte-level scheme of the vocabulary files defines.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -100,3 +102,12 @@ class Encoder:
 def encoder(path: str, most: int = 500_000, special: bool = False) -> Encoder:
     """The worker's encoder; it outlives a task, and its table takes about 200 bytes for each chunk."""
     return Encoder(path, most, special)
+
+
+def _forget() -> bool:
+    held = encoder.cache_info().currsize > 0
+    encoder.cache_clear()
+    return held
+
+
+common.kept(_forget)

@@ -120,3 +120,17 @@ def test_words_known_in_one_language_keep_their_counts_in_the_others(docs):
     model = langid.learn(docs(rows), word_share=0.05)
     es, fr = model.score("shared").tolist()
     assert abs((fr - es) - math.log(51.5 / 49.5)) < 1e-9
+
+
+def test_a_worker_lets_go_of_the_tokenizer_tables():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tagweave.llm import jaccard, tokens
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "lang": ["en", "de"], "text": ["one two one", "zwei"]})
+    for run in (langid._CountWords(), jaccard._Items(2)):
+        tokens.encoder(path).raw("a table that a task before has left")
+        assert sum(b.num_rows for b in run(iter([batch]))) == 3
+        assert tokens.encoder.cache_info().currsize == 0
