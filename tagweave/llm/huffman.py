@@ -193,6 +193,7 @@ class _Count:
     def __init__(self, kind: str):
         self.kind = kind
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in common.slices(batches):
@@ -212,6 +213,7 @@ class _Write:
     def __init__(self, packed: bytes, limit: int, kind: str, folder: str, most: int):
         self.packed, self.limit, self.kind, self.folder, self.most = packed, limit, kind, folder, most
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(self.packed, self.limit)
         store, root = pafs.FileSystem.from_uri(self.folder)
@@ -251,6 +253,7 @@ class _Read:
     def __init__(self, with_ids: bool):
         self.with_ids = with_ids
 
+    @common.lean
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
             doc_ids, sizes, ids = unpack(batch.column("content")[0].as_py())
@@ -271,7 +274,9 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, ordered: bool
     if ordered:
         docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "part int, seq bigint, doc_id bigint, ids binary"
-    return common.materialise(docs.mapInArrow(_Tokenise(tokenizer_path, end_id, special), schema), "tokens")
+    rows = docs.mapInArrow(_Tokenise(tokenizer_path, end_id, special), schema)
+    with common.few_texts(docs.sparkSession):
+        return common.materialise(rows, "tokens")
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, limit: int = LIMIT, shard_tokens: int = SHARD_TOKENS, special: bool = False) -> DataFrame:

@@ -21,8 +21,8 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 # White space in any of the libraries' senses, and characters that some of them count as such.
 _SPACE = r"\s\x1c-\x1f\x85᠎​⁠﻿"
-_DOUBLE = re.compile(f"[{_SPACE}]{{2}}")
-_ENDS = frozenset(".,;:!?")
+_SPACES = re.compile(f"[{_SPACE}]")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII without the apostrophe, with which suffixes begin
 _CUT = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
 
 
@@ -34,7 +34,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Chunks(dict):
-    """Chunk -> ids as bytes (unsigned 32 bits each); emptied when it has ``most`` entries.
+    """Chunk -> ids as bytes (unsigned 32 bits each); None if it is empty or has white space at an end, so that a text can't
+    be cut around it. Emptied when it has ``most`` entries.
 
     ``lead`` is what stands before a chunk: nothing, or the blank at which the text was cut.
     """
@@ -44,21 +45,29 @@ class _Chunks(dict):
         self.lead, self.encoder, self.most = lead, encoder, most
         self.lead_letter = encoder.letters[0x20] if lead else ""
 
-    def __missing__(self, chunk: str) -> bytes:
-        enc = self.encoder
-        if chunk.isalpha():  # the same letters as \p{L}: one pre-token
-            letters = chunk if chunk.isascii() else chunk.encode("utf-8").decode("latin-1").translate(enc.letters)
-            found = b"".join([enc.id_bytes[t.id] for t in enc.tokenize(self.lead_letter + letters)])
-        elif chunk[-1:] in _ENDS and chunk[:-1].isalpha():
-            found = self[chunk[:-1]] + enc.ends[chunk[-1]]
-        else:
-            found = b"".join([enc.piece(p) for p in enc.pattern.findall(self.lead + chunk)])
+    def __missing__(self, chunk: str) -> bytes | None:
+        found = self._ids(chunk)
         if len(chunk) <= 64:
             if len(self) >= self.most:
                 self.clear()
             self[chunk] = found
         return found
 
+    def _ids(self, chunk: str) -> bytes | None:
+        enc = self.encoder
+        if chunk.isalpha():  # the same letters as \p{L}: one pre-token
+            letters = chunk if chunk.isascii() else chunk.encode("utf-8").decode("latin-1").translate(enc.letters)
+            return b"".join([enc.id_bytes[t.id] for t in enc.tokenize(self.lead_letter + letters)])
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha():  # marks are one more pre-token
+            return self[word] + enc.marks(chunk[len(word) :])
+        if not chunk or _SPACES.match(chunk[0]) or _SPACES.match(chunk[-1]):
+            return None
+        return self.plainly(chunk)
+
+    def plainly(self, chunk: str) -> bytes:
+        return b"".join([self.encoder.piece(p) for p in self.encoder.pattern.findall(self.lead + chunk)])
+
 
 class Encoder:
     """Ids of a text under one vocabulary file. Strings of added tokens count as ordinary text, or with
@@ -83,19 +92,39 @@ class Encoder:
         self.pattern = regex.compile(PRETOKEN)
         self.size = self.tokenizer.get_vocab_size()
         self.id_bytes = [k.to_bytes(4, "little") for k in range(self.size)]
-        self.ends = {} if self.plain else {c: self.piece(c) for c in _ENDS}
-        self.first, self.later = _Chunks("", self, most // 4), _Chunks(" ", self, most)
+        self.line, self.seen = b"" if self.plain else self.piece("\n"), {}
+        self.first, self.later = _Chunks("", self, most // 16), _Chunks(" ", self, most)
 
     def piece(self, piece: str) -> bytes:
         letters = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         return b"".join([self.id_bytes[t.id] for t in self.tokenize(letters)])
 
+    def marks(self, tail: str) -> bytes:
+        found = self.seen.get(tail)
+        if found is None:
+            found = self.piece(tail)
+            if len(tail) <= 8:
+                if len(self.seen) >= 10_000:
+                    self.seen.clear()
+                self.seen[tail] = found
+        return found
+
     def raw(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.plain or (self.added is not None and self.added.search(text)):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split(" ") if _DOUBLE.search(text) is None else _CUT.split(text)
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        # a line break between two characters that are not white space is a pre-token of its own
+        lines = [line.split(" ") for line in text.split("\n")]
+        try:
+            return self.line.join([self.first[p[0]] + b"".join(map(self.later.__getitem__, p[1:])) for p in lines])
+        except TypeError:  # a None: white space beside white space or at an end
+            pass
+        parts, table, out = _CUT.split(text), self.first, []
+        for part in parts:
+            found = table[part]
+            out.append(table.plainly(part) if found is None else found)
+            table = self.later
+        return b"".join(out)
 
 
 @functools.lru_cache(maxsize=2)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tagweave.llm import huffman, packing
-from tagweave.llm.tokens import encoder
+from tagweave.llm.tokens import Encoder, encoder
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 TEXTS = [None, "", " ", "a", "Hello, world!  Two  spaces\n\n x", "ß漢😀 <|endoftext|>'s don't 12345", "same", "same", "word " * 5000]
@@ -28,6 +28,17 @@ def test_encoder_equals_library():
         assert np.frombuffer(enc.raw(text), "<u4").tolist() == e.ids, repr(text)
 
 
+def test_line_breaks_and_marks_make_no_chunks_of_their_own():
+    """Every pair of words around a break, and every word with its marks, went through the model as a new chunk."""
+    words = ["alpha", "béta", "gamma", "漢字", "it's", "v2"]
+    texts = [f"so {a}{m}\n{b}{m} so" for a in words for b in words for m in ("", ".", "$$$", "'s", "_(")]
+    texts += ["a\n\nb", "\na", "a\n", "a \nb", "\n", "a\r\nb", "a\n b", " a", "a ", "a  b\nc"]
+    lib, enc = library(), Encoder(PATH)
+    for text, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.raw(text), "<u4").tolist() == e.ids, repr(text)
+    assert len(enc.first) + len(enc.later) < 100
+
+
 def expected(rows):
     lib, out, start = library(), [], 0
     for doc, text in sorted(rows):
