@@ -5,9 +5,10 @@ differ in so many bits or fewer are one group. Few pairs at a likeness of 0.8 ar
 bits, for which no block of bits is left to shard by), so an exact join adds the links of likeness: two sets with likeness t share one
 of their first n - ceil(t n) + 1 shingles in any order that is common to all sets (prefix filter), the
 first that they share leaves enough room behind it (positional filter), and they differ in at least as many shingles as the
-parities of their shingles by ``BITS`` places differ (bitmap filter). The order puts shingles last that
-a sample of texts has often, so that common lines bring few candidates; the sample decides the cost alone,
-not what is found.
+parities of their shingles by ``BITS`` places differ (bitmap filter). Long sets, which these parities don't tell apart, have longer
+prefixes and must share several of them (``shared``), since the pairs of long texts that have some shingle in common grow with the square
+of their number. The order puts shingles last that a sample of texts has often, so that common lines bring few candidates; the sample
+decides the cost alone, not what is found.
 
 Texts with the same set are one node. In each of the first ``ROUNDS`` rounds a node is verified with one node of another group:
 of the few sets in the middle of those it shares a shingle with, the one whose parities are nearest; what is alike is joined. So near
@@ -37,6 +38,7 @@ from tagweave.llm.components import connected_components
 SAMPLE, OFTEN, COMMON = 5_000, 3, 200_000  # they set the order of shingles, which changes the cost alone
 PARTNERS = 500  # that one place takes before another is opened
 BITS, ROUNDS, MIDDLE, SEEN = 512, 2, 8, 4096  # MIDDLE sets stand for those of one shingle, found from SEEN of them; they change the cost alone
+LONG, EACH = 512, 64  # sets of LONG shingles or more must share one for each EACH of them, which changes the cost alone
 SPOTS = 1 << 24  # hashes of ids by which texts that nothing asks for are passed over; more ids than that change the cost alone
 
 
@@ -90,14 +92,22 @@ class _Items:
 
 
 def prefix(found: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """The first shingles in the common order; one of them is in every set that is alike."""
+    """The first shingles in the common order; ``shared`` of them are in the prefix of every set that is alike."""
     if not len(found):
         return found
     rank = np.zeros(len(found), np.int64)
     if often is not None and len(often[0]):
         at = np.minimum(np.searchsorted(often[0], found), len(often[0]) - 1)
         rank = np.where(often[0][at] == found, often[1][at], 0)
-    return found[np.lexsort((found, rank))][: len(found) - math.ceil(least * len(found) - 1e-9) + 1]
+    return found[np.lexsort((found, rank))][: len(found) - math.ceil(least * len(found) - 1e-9) + int(shared(np.asarray(len(found)), least))]
+
+
+def shared(n: np.ndarray, least: float) -> np.ndarray:
+    """How many shingles the prefixes of alike sets have in common, for sets of n; of two sizes the smaller number holds.
+
+    Alike sets share ceil(least n) at least for the n of either, and the rest behind a prefix has all of these but so many.
+    """
+    return np.where(n < LONG, 1, np.maximum(1, np.minimum(1 + n // EACH, np.ceil(least * n - 1e-9)))).astype(np.int64)
 
 
 def parities(found: np.ndarray) -> np.ndarray:
@@ -153,11 +163,13 @@ class _Shared:
 
 
 class _Pairs:
-    """Pairs (a, b) of different groups that may be alike, of rows (token, at, sig, n, comp, bits) sorted by token, with an
-    estimate of their likeness. Across: all such pairs; else for each set b the likeliest a of those in the middle."""
+    """Pairs (a, b) of different groups that may be alike, of rows (token, at, sig, n, comp, bits) sorted by token. Across: all
+    such pairs, with the number k of shingles met here, the number that it ``need``s in all, and in c whether one of these leaves
+    enough room behind it (1 or 0). Else for each set b the likeliest a of those in the middle, with an estimate c of their likeness."""
 
     NAMES = ("token", "at", "sig", "n", "comp", "bits")
-    SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64())])
+    SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("k", pa.int64()), ("need", pa.int64())])
+    DDL = "a bigint, b bigint, c bigint, k bigint, need bigint"
 
     def __init__(self, least: float, across: bool):
         self.least, self.across = least, across
@@ -167,6 +179,7 @@ class _Pairs:
         found, held = [], 0
         for g in _groups(batches, self.NAMES):
             g["bits"] = g["bits"].view(np.uint64)  # of negative numbers NumPy counts the bits of the absolute value
+            g["need"] = shared(g["n"], self.least) if self.across else np.ones_like(g["n"])
             starts, size = g.pop("starts"), len(g["token"])
             sizes = np.diff(np.r_[starts, size])
             mixed = np.maximum.reduceat(g["comp"], starts) != np.minimum.reduceat(g["comp"], starts)
@@ -184,21 +197,27 @@ class _Pairs:
             yield self._out(found)
 
     def _out(self, found):
-        a, b, c = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs, first = np.unique(np.stack([a, b], 1), axis=0, return_index=True)
-        return common.table({"a": pairs[:, 0], "b": pairs[:, 1], "c": c[first]}, self.SCHEMA)
-
-    def _likeness(self, g: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Millionths, as the parities have it, for pairs of rows; -1 of pairs that can't be alike or are of one group."""
+        a, b, c, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-c, b, a))
+        a, b, c, need = a[order], b[order], c[order], need[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return common.table({"a": a[first], "b": b[first], "c": c[first], "k": np.diff(np.r_[first, len(a)]), "need": need[first]}, self.SCHEMA)
+
+    def _likeness(self, g: dict, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Millionths, as the parities have it, for pairs of rows, -1 of pairs that can't be alike or are of one group; and how
+        many shingles they must share. Of several the first alone has the room behind it: across, c is 1 or 0 for that."""
         ni, nj, both = g["n"][i], g["n"][j], g["n"][i] + g["n"][j]
         can = (g["comp"][i] != g["comp"][j]) & (np.minimum(ni, nj) >= self.least * np.maximum(ni, nj) - 1e-9)
-        can &= np.minimum(ni - g["at"][i], nj - g["at"][j]) >= self.least / (1 + self.least) * both - 1e-9
+        room = np.minimum(ni - g["at"][i], nj - g["at"][j]) >= self.least / (1 + self.least) * both - 1e-9
+        need = np.minimum(g["need"][i], g["need"][j])
+        can &= room | (need > 1)
         out, k = np.full(len(can), -1), np.flatnonzero(can)
         both, apart = both[k], np.bitwise_count(g["bits"][i[k]] ^ g["bits"][j[k]]).sum(1, dtype=np.int64)
-        out[k] = np.where(apart <= (1 - self.least) / (1 + self.least) * both + 1e-9, 1_000_000 - 1_000_000 * apart // np.maximum(both, 1), -1)
-        return out
+        value = room[k].astype(np.int64) if self.across else 1_000_000 - 1_000_000 * apart // np.maximum(both, 1)
+        out[k] = np.where(apart <= (1 - self.least) / (1 + self.least) * both + 1e-9, value, -1)
+        return out, need
 
-    def _small(self, g: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _small(self, g: dict) -> Iterator[tuple[np.ndarray, ...]]:
         """Many groups at once: rows are compared with the next, those after the next, and so on."""
         token, n, sig = g["token"], g["n"], g["sig"]
         best, partner = np.full(len(n), -1), np.full(len(n), -1)
@@ -206,47 +225,47 @@ class _Pairs:
             i = np.flatnonzero(token[step:] == token[:-step])
             if not len(i):
                 break
-            c = self._likeness(g, i, i + step)
-            i, c = i[c >= 0], c[c >= 0]
+            c, need = self._likeness(g, i, i + step)
+            i, c, need = i[c >= 0], c[c >= 0], need[c >= 0]
             j = i + step
             if self.across and len(i):
                 less = (n[i] < n[j]) | (n[i] == n[j]) & (sig[i] < sig[j])
-                yield sig[np.where(less, i, j)], sig[np.where(less, j, i)], c
+                yield sig[np.where(less, i, j)], sig[np.where(less, j, i)], c, need
             for x, y in (i, j), (j, i):
                 better = c > best[x]
                 best[x[better]], partner[x[better]] = c[better], y[better]
         b = np.flatnonzero(partner >= 0)
         if not self.across and len(b):
-            yield sig[partner[b]], sig[b], best[b]
+            yield sig[partner[b]], sig[b], best[b], g["need"][b]
 
-    def _large(self, g: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def _large(self, g: dict) -> Iterator[tuple[np.ndarray, ...]]:
         order = np.lexsort((g["sig"], g["n"]))
         g = {c: v[order] for c, v in g.items()}
         sig, n, comp = g["sig"], g["n"], g["comp"]
         kinds, size = np.unique(comp, return_counts=True)
         main = comp == kinds[size.argmax()]
 
-        def like(i: int) -> tuple[np.ndarray, np.ndarray]:
+        def like(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             j = np.arange(np.searchsorted(n, self.least * n[i] - 1e-9), np.searchsorted(n, n[i] / self.least + 1e-9, "right"))
             if self.across:
                 j = j[main[j] | (j < i)]
-            c = self._likeness(g, np.full(len(j), i), j)
-            return j[c >= 0], c[c >= 0]
+            c, need = self._likeness(g, np.full(len(j), i), j)
+            return j[c >= 0], c[c >= 0], need[c >= 0]
 
         if self.across:
             for i in np.flatnonzero(~main).tolist():
-                j, c = like(i)
+                j, c, need = like(i)
                 if len(j):
-                    yield sig[np.minimum(i, j)], sig[np.maximum(i, j)], c
+                    yield sig[np.minimum(i, j)], sig[np.maximum(i, j)], c, need
             return
         best, partner = np.full(len(n), -1), np.full(len(n), -1)
         for i in np.r_[_middle(g["bits"], main), _middle(g["bits"], ~main)].tolist():
-            j, c = like(i)
+            j, c, _ = like(i)
             better = c > best[j]
             best[j[better]], partner[j[better]] = c[better], i
         b = np.flatnonzero(partner >= 0)
         if len(b):
-            yield sig[partner[b]], sig[b], best[b]
+            yield sig[partner[b]], sig[b], best[b], g["need"][b]
 
 
 def _middle(bits: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -357,8 +376,10 @@ def jaccard_components(docs: DataFrame, least: float = 0.8, words: int = 5, radi
         every = _components(tables)
         named = nodes.select("sig", "bits").join(every.hint("merge"), "sig", "left").select("sig", F.coalesce("component", "sig").alias("comp"), "bits")
         grouped = tokens.join(named.hint("merge"), "sig").select(*_Pairs.NAMES).repartition("token").sortWithinPartitions("token")
-        pairs = grouped.mapInArrow(_Pairs(least, across), "a bigint, b bigint, c bigint")
-        if not across:
+        pairs = grouped.mapInArrow(_Pairs(least, across), _Pairs.DDL)
+        if across:
+            pairs = pairs.groupBy("a", "b").agg(F.sum("k").alias("k"), F.max("need").alias("need"), F.max("c").alias("c")).where("k >= need and c = 1")
+        else:
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
         tables.append(_alike(pairs.select("a", "b"), docs, nodes, words, least))
         common.discard(every)

@@ -128,3 +128,43 @@ def test_pipeline_keeps_the_links_of_simhash(spark, docs):
     rows = [(1, texts[0]), (2, texts[1]), (3, "quite another text of a few words more")]
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(rows)).collect()} == {1: 1, 2: 2, 3: 3}
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()) == [1, 3]
+
+
+def test_long_texts_that_share_a_few_shingles_are_not_verified(docs, monkeypatch):
+    """Each two of these have a phrase in common, and their 512 parities can't tell such long sets apart."""
+    rng, n = random.Random(12), 30
+    phrases = {(i, j): " ".join(f"p{rng.random()}" for _ in range(7)) for i in range(n) for j in range(i)}
+    rows = []
+    for k in range(n):
+        own = [p for pair, p in phrases.items() if k in pair] + [f"w{rng.random()}" for _ in range(1200)]
+        rng.shuffle(own)
+        rows.append((k + 1, " ".join(own)))
+    near = rows[0][1].split()
+    for k in range(0, len(near), 60):
+        near[k] = "x"
+    rows.append((100, " ".join(near)))
+    seen, alike = [], jaccard._alike
+    monkeypatch.setattr(jaccard, "_alike", lambda pairs, *rest: seen.append(pairs.distinct().count()) or alike(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(rows)).collect()}
+    assert got == plain(rows) and got[100] == 1
+    assert seen[-1] <= 3, seen  # 150 or more if one shingle is enough
+
+
+def test_alike_long_sets_share_as_many_shingles_as_they_must():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, least in [(n, least) for n in (1, 2, 511, 512, 513, 640, 1500, 5000) for least in (0.02, 0.5, 0.8, 1.0)] * 4:
+        gone = rng.integers(0, n - math.ceil(least * n) + 1)
+        most = math.floor((n - gone) / least + 1e-9) - n  # so many more, and the likeness is the least or just over
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        b = np.union1d(a[rng.permutation(len(a))[gone:]], rng.integers(-(2**62), 2**62, int(rng.integers(0, max(0, min(most, 4 * n)) + 1))))
+        both = len(np.intersect1d(a, b))
+        if both < least * (len(a) + len(b) - both) - 1e-9:
+            continue
+        pre = [jaccard.prefix(s, least, None) for s in (a, b)]
+        need = min(int(jaccard.shared(np.asarray(len(s)), least)) for s in (a, b))
+        assert len(np.intersect1d(*pre)) >= need >= 1
+        assert need == 1 or min(len(a), len(b)) >= jaccard.LONG
