@@ -21,9 +21,10 @@ def _of(found: DataFrame) -> DataFrame:
 
 
 def _related(nodes: DataFrame, found: DataFrame, on: Column, css: str | None = None, distinct: bool = True) -> DataFrame:
-    out = _elements(nodes).join(_of(found), "doc").where(on)
-    out = out.dropDuplicates(_AT) if distinct else out
-    out = out.drop("o_pre", "o_end", "o_parent", "o_eidx") if distinct else out.drop("o_end", "o_parent", "o_eidx")
+    if distinct:  # a semi join returns an element once; whole rows made distinct are sorted and shuffled again
+        out = R.joined_once(_elements(nodes), _of(found), on)
+    else:
+        out = _elements(nodes).join(_of(found), "doc").where(on).drop("o_end", "o_parent", "o_eidx")
     return out.join(R.select(nodes, css).select(*_AT), _AT, "left_semi") if css else out
 
 

@@ -11,8 +11,7 @@ from tagweave.operators import select as R
 
 
 def _join(nodes: DataFrame, found: DataFrame, on) -> DataFrame:
-    own = found.select("doc", *(F.col(c).alias(f"o_{c}") for c in ("pre", "end", "parent", "sib_idx", "eidx"))).dropDuplicates(["doc", "o_pre"])
-    return nodes.join(own, "doc").where(on).drop("o_pre", "o_end", "o_parent", "o_sib_idx", "o_eidx").dropDuplicates(["doc", "pre"])
+    return R.joined_once(nodes, found.select("doc", *(F.col(c).alias(f"o_{c}") for c in ("pre", "end", "parent", "sib_idx", "eidx"))), on)
 
 
 def child_nodes(nodes: DataFrame, found: DataFrame, *kinds: str) -> DataFrame:

@@ -97,6 +97,11 @@ def with_below(frame: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.withColumn("__next", F.min("__mark").over(later)).where("__own and __next < end").drop("__mark", "__own", "__next")
 
 
+def joined_once(nodes: DataFrame, found: DataFrame, on: Column) -> DataFrame:
+    """Rows of ``nodes`` for which a row of ``found`` of their page meets ``on``, each once."""
+    return nodes.join(found.withColumnRenamed("doc", "o_doc"), (F.col("doc") == F.col("o_doc")) & on, "left_semi")
+
+
 class _Compiler:
     def __init__(self, nodes: DataFrame):
         self.nodes = nodes

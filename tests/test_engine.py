@@ -123,3 +123,10 @@ def test_repeated_and_null_page_ids_stay_apart(spark):
     assert L.first(p).count() == 4 and L.eq(p, 0).count() == 4 and sorted(r.text for r in L.joined_text(nodes, p).collect()) == ["one", "three", "three", "two"]
     assert L.closest(nodes, p, "div").count() == 4 and pages_of.metadata(nodes).count() == 4 and V.has_text(nodes, p).count() == 4
     assert nodes.select("doc").distinct().count() == 4
+
+
+def test_relatives_are_found_without_making_whole_rows_distinct(nodes):
+    for found in (L.children(nodes, R.select(nodes, "ul")), V.child(nodes, R.select(nodes, "ul"), 0)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "LeftSemi" in plan, plan
+    assert [r.tag for r in L.children(nodes, R.select(nodes, "ul, ul").unionByName(R.select(nodes, "ul"))).collect()] == ["li"] * 3
