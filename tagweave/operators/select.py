@@ -171,13 +171,15 @@ class _Compiler:
         if plan.name == "match_text":
             raise S.SelectorError("':matchText' finds elements that are made of texts; select_pages does so")
         kind, needle = plan.args
-        texts = X.texts(self.nodes, frame.select("doc", "pre", "end").distinct(), kind).withColumnRenamed("text", "found_text")
-        found = F.coalesce("found_text", F.lit(""))
-        if plan.name == "text_re":
-            test = found.rlike(needle)
-        else:
-            test = (F.lower(found) if kind in ("text", "own", "data") else found).contains(needle)
-        return frame.join(texts, ["doc", "pre"], "left").where(test).drop("found_text")
+
+        def test(found: Column) -> Column:
+            if plan.name == "text_re":
+                return found.rlike(needle)
+            return (F.lower(found) if kind in ("text", "own", "data") else found).contains(needle)
+
+        # tested before the join, so that it is an answer and no text that is joined
+        texts = X.texts(self.nodes, frame.select("doc", "pre", "end").distinct(), kind).select("doc", "pre", test(F.col("text")).alias("__hit"))
+        return frame.join(texts, ["doc", "pre"], "left").where(F.coalesce("__hit", test(F.lit("")))).drop("__hit")
 
 
 def elements(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 What an element's text consists of is one stretch of its page's text: the page's pieces are put together once
 in document order, and an element's text is cut out of that by offsets, which one running sum for each page
-yields. So elements inside one another cost no more than others.
+yields. So elements inside one another cost no more than others. White space is normalised in the pieces, once for each
+page, and not in what is cut out of it.
 """
 
 from __future__ import annotations
@@ -33,7 +34,22 @@ def _events(nodes: DataFrame, kind: str) -> DataFrame:
 
 
 def _string(pieces: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(pieces), lambda e: e["s"]), "")
+    return F.array_join(F.sort_array(pieces)["s"], "")
+
+
+def _single(s: Column) -> Column:
+    """Single spaces; a kept space at the end of a piece stands for the space that would part it from the next."""
+    s = F.when(s.contains("  "), F.regexp_replace(s, " +", " ")).otherwise(s)
+    return F.replace(s, F.lit(KEPT[0x20] + " "), F.lit(KEPT[0x20]))
+
+
+def _plain(s: Column) -> Column:
+    """White space that was kept, as it stands."""
+    return F.when(s.rlike(f"[{''.join(KEPT.values())}]"), F.translate(s, "".join(KEPT.values()), "".join(map(chr, KEPT)))).otherwise(s)
+
+
+def _trimmed(s: Column) -> Column:
+    return F.btrim(s, F.lit(" \t\n\f\r"))
 
 
 def _below(nodes: DataFrame, tops: DataFrame, kind: str) -> DataFrame:
@@ -42,15 +58,25 @@ def _below(nodes: DataFrame, tops: DataFrame, kind: str) -> DataFrame:
     pieces = _events(nodes, kind).drop("parent").join(tops.select("doc").distinct(), "doc", "left_semi").withColumns({"mark": F.lit(0), "top": none.cast("int")})
     begin = tops.select("doc", c("pre").alias("at"), F.lit(_BEGIN).alias("rank"), F.lit("").alias("s"), F.lit(0).alias("tie"), F.lit(1).alias("mark"), c("pre").alias("top"))
     finish = tops.select("doc", c("end").alias("at"), F.lit(_LEAVE).alias("rank"), F.lit("").alias("s"), (1 - 2 * c("pre")).alias("tie"), F.lit(2).alias("mark"), c("pre").alias("top"))
-    order = Window.partitionBy("doc").orderBy("at", "rank", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    rows = pieces.unionByName(begin).unionByName(finish).withColumn("sum", F.sum(F.length("s")).over(order))
+    order = Window.partitionBy("doc").orderBy("at", "rank", "tie")
+    rows = pieces.unionByName(begin).unionByName(finish)
+    if kind == "text":  # of spaces that meet where pieces do one stays
+        rows = rows.withColumn("s", _single(c("s")))
+        last = F.last(F.when(c("s") != "", F.substr("s", F.lit(-1))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("last", last).withColumn("s", _plain(F.when(c("s").startswith(" ") & c("last").isin(" ", KEPT[0x20]), F.substr("s", F.lit(2))).otherwise(c("s"))))
+    rows = rows.withColumn("sum", F.sum(F.octet_length("s")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     page = rows.groupBy("doc").agg(
-        _string(F.collect_list(F.when(c("mark") == 0, F.struct("at", "rank", "tie", "s")))).alias("whole"),
-        F.array_sort(F.collect_list(F.when(c("mark") > 0, F.struct("top", "mark", "sum")))).alias("marks"),
+        _string(F.collect_list(F.when(c("mark") == 0, F.struct("at", "rank", "tie", "s")))).cast("binary").alias("whole"),
+        F.sort_array(F.collect_list(F.when(c("mark") > 0, F.struct("top", "mark", "sum")))).alias("marks"),
     )
-    ends = F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda k: F.struct(F.get("marks", k)["top"].alias("pre"), F.get("marks", k)["sum"].alias("a"), F.get("marks", k + 1)["sum"].alias("b")))
-    cut = page.select("doc", "whole", F.inline(ends))
-    return cut.select("doc", "pre", F.substr("whole", (c("a") + 1).cast("int"), (c("b") - c("a")).cast("int")).alias("text"))
+
+    def cut(whole: Column, k: Column) -> Column:  # by bytes: characters would be counted from the beginning of the page each time
+        a, b = F.get("marks", k)["sum"], F.get("marks", k + 1)["sum"]
+        return F.struct(F.get("marks", k)["top"].alias("pre"), F.substr(whole, (a + 1).cast("int"), (b - a).cast("int")).cast("string").alias("text"))
+
+    # as the variable of a function the page's text isn't copied for each cut
+    cuts = F.transform(F.array("whole"), lambda whole: F.transform(F.sequence(F.lit(0), F.size("marks") - 2, F.lit(2)), lambda k: cut(whole, k)))
+    return page.select("doc", F.inline(F.get(cuts, F.lit(0))))
 
 
 def texts(nodes: DataFrame, roots: DataFrame, kind: str = "text") -> DataFrame:
@@ -68,9 +94,8 @@ def texts(nodes: DataFrame, roots: DataFrame, kind: str = "text") -> DataFrame:
         out = _below(nodes, tops, kind)
     if kind not in ("text", "own"):
         return out
-    # a kept space at the end of a piece stands for the space that would part it from the next
-    text = F.trim(F.regexp_replace(F.regexp_replace("text", " +", " "), f"({KEPT[0x20]}) ", "$1"))
-    return out.withColumn("text", F.btrim(F.translate(text, "".join(KEPT.values()), "".join(map(chr, KEPT))), F.lit(" \t\n\f\r")))
+    text = F.col("text") if kind == "text" else _plain(_single(F.col("text")))
+    return out.withColumn("text", _trimmed(text))
 
 
 def with_text(nodes: DataFrame, found: DataFrame, kind: str = "text", name: str = "text") -> DataFrame:

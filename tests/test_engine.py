@@ -125,6 +125,39 @@ def test_repeated_and_null_page_ids_stay_apart(spark):
     assert nodes.select("doc").distinct().count() == 4
 
 
+def test_texts_of_all_elements_on_odd_white_space(spark):
+    odd = [
+        "<p>a b <i> c</i> <b> </b> d</p> e<p> f </p>g<br> h <br><br>i",
+        "x <pre> k  l\n</pre> m<pre>n </pre> <i> o</i><pre> </pre><pre>\t</pre> p",
+        "<div><div> ä <span>ß \xa0 </span> ö</div><textarea>\n q  r </textarea> s­ t<li> <b>u</b>v</div> w <hr> y",
+        "<pre>a </pre>  b<pre>\xa0 c</pre> d <![CDATA[ e ]]><svg><![CDATA[ f  g ]]> h</svg>",
+        "<p>\U0001f600 one<p>zwei 中文 <b>三</b>\xa0<i> </i>end",
+    ]
+    nodes = P.parse_pages(spark.createDataFrame([(k, "", h) for k, h in enumerate(odd)], "page_id bigint, url string, html string"))
+    got = {(r.page_id, r.pre): r.text for r in RT.with_text(nodes, find.all_elements(nodes)).collect()}
+    want = {(k, pre): text.text(n) for k, h in enumerate(odd) for pre, n in enumerate(parse(h).walk()) if n.kind == "element"}
+    assert got == want and len(want) > 40
+
+
+def test_texts_of_a_wide_page_are_not_counted_out_from_its_beginning(spark):
+    """Each text cut by characters cost a pass over what is before it: 10**10 steps and more here."""
+    import time
+
+    n = 16_000
+    nodes = P.parse_pages(spark.createDataFrame([(1, "", "".join(f"<p>{'äöü ' * 60}{k}." for k in range(n)))], "page_id bigint, url string, html string")).cache()
+    nodes.count()
+    began = time.perf_counter()
+    assert find.matching_text(nodes, "ü 77[.]").where("tag = 'p'").count() == 1
+    assert time.perf_counter() - began < 25
+    nodes.unpersist()
+
+
+def test_pieces_of_texts_are_sorted_without_a_function_for_each_comparison(nodes):
+    for found in (find.matching_own_text(nodes, "^.{1,3}$"), find.containing_text(nodes, "o")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "sort_array(" in plan and "array_sort(" not in plan, plan
+
+
 def test_relatives_are_found_without_making_whole_rows_distinct(nodes):
     for found in (L.children(nodes, R.select(nodes, "ul")), V.child(nodes, R.select(nodes, "ul"), 0)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
