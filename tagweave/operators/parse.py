@@ -74,6 +74,7 @@ def rows_of(doc: Document, page_id, source: str | None = None, number: int = 0)
     todo: list = [(doc, -1, 0, 0, (0, 1, 1, 1))]
     at = _positions(source) if source is not None else None
     ends: dict[int, int] = {}
+    base_uri = doc.base_uri
     while todo:
         item = todo.pop()
         if isinstance(item, int):
@@ -82,24 +83,37 @@ def rows_of(doc: Document, page_id, source: str | None = None, number: int = 0)
         node, parent, depth, sib, (eidx, ecount, tidx, tcount) = item
         pre = len(out)
         order[id(node)] = pre
-        element, kept = node.kind == "element", X.keeps_space(node.parent)
-        siblings = node.parent.children if node.parent is not None else []
-        follow = siblings[sib + 1] if sib + 1 < len(siblings) else None
-        block = X.is_block(node)
-        piece = None
-        if node.kind in X.TEXT:
-            piece = node.value.translate(KEPT) if kept or node.kind == "cdata" else T.normalise(node.value)
-        out.append((
-            number, page_id, pre, 0, parent, depth, node.kind, node.tag, node.raw_tag, node.ns, sib, eidx if element else None, ecount if element else None, tidx if element else None,
-            tcount if element else None, [{"name": k, "value": v} for k, v in node.attrs], node.attr("id") if element else None,
-            list(dict.fromkeys((node.attr("class") or "").lower().split())) if element else None, node.value if node.kind not in ("element", "document", "doctype") else None,
-            doc.base_uri, None if node.form is None else id(node.form),
-            all(c.kind in ("comment", "declaration", "doctype") or (c.kind == "text" and T.is_blank(c.value)) for c in node.children) if element else None,
-            piece, block or node.tag == "br",
-            block and follow is not None and (follow.kind in X.TEXT or (follow.kind == "element" and follow.tag not in T.BLOCK)),
-            {"start": at(node.start), "end": at(node.end)} if at and node.start >= 0 else None,
-            [{"name": n, "name_range": {"start": at(a), "end": at(b)}, "value_range": {"start": at(c), "end": at(d)}} for n, a, b, c, d in node.ranges] if at and element else None,
-        ))
+        src = {"start": at(node.start), "end": at(node.end)} if at and node.start >= 0 else None
+        if node.kind != "element":
+            piece = None
+            if node.kind in X.TEXT:
+                piece = node.value.translate(KEPT) if node.kind == "cdata" or X.keeps_space(node.parent) else T.normalise(node.value)
+            out.append((
+                number, page_id, pre, 0, parent, depth, node.kind, node.tag, node.raw_tag, node.ns, sib, None, None, None,
+                None, [{"name": k, "value": v} for k, v in node.attrs] if node.attrs else [], None,
+                None, node.value if node.kind not in ("document", "doctype") else None,
+                base_uri, None if node.form is None else id(node.form), None, piece, node.tag == "br", False, src, None,
+            ))
+            if not node.children:
+                ends[pre] = pre + 1
+                continue
+        else:
+            block, follow = node.tag in T.BLOCK, None
+            if block and node.parent is not None and sib + 1 < len(node.parent.children):
+                follow = node.parent.children[sib + 1]
+            out.append((
+                number, page_id, pre, 0, parent, depth, node.kind, node.tag, node.raw_tag, node.ns, sib, eidx, ecount, tidx,
+                tcount, [{"name": k, "value": v} for k, v in node.attrs] if node.attrs else [], node.attr("id") if node.attrs else None,
+                list(dict.fromkeys((node.attr("class") or "").lower().split())) if node.attrs else [], None,
+                base_uri, None if node.form is None else id(node.form),
+                all(c.kind in ("comment", "declaration", "doctype") or (c.kind == "text" and T.is_blank(c.value)) for c in node.children),
+                None, block or node.tag == "br",
+                block and follow is not None and (follow.kind in X.TEXT or (follow.kind == "element" and follow.tag not in T.BLOCK)), src,
+                [{"name": n, "name_range": {"start": at(a), "end": at(b)}, "value_range": {"start": at(c), "end": at(d)}} for n, a, b, c, d in node.ranges] if at else None,
+            ))
+            if not node.children:
+                ends[pre] = pre + 1
+                continue
         todo.append(pre)
         counts: dict[str, int] = {}
         elements = 0
